@@ -36,7 +36,7 @@ ROW_SOURCES = {
     "dma_district": "nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey NOT IN (1,2,24)",
 }
 
-# The fixture names that equal a raw table's column or function get a suffix-free WITH name.
+# Derived source tables carry a prefix, so that none hides a raw table.
 STEPS: dict[str, str] = {}
 for _table, _columns in COLUMNS.items():
     _distinct = "DISTINCT " if _table in DISTINCT_TABLES else ""
@@ -200,9 +200,20 @@ JOIN (SELECT x.{key}, g.b AS theme, sum(x.weight * g.v) AS v FROM {factor} x
   ON d.{key} = f.{key} AND d.theme = f.theme"""
 
 
-for _round in range(1, P.nmf_rounds + 1):
-    STEPS[f"w{_round}"] = _update("geo", f"w{_round - 1}", "label", f"h{_round - 1}")
-    STEPS[f"h{_round}"] = _update("label", f"h{_round - 1}", "geo", f"w{_round}")
+def _round_of(key: str, name: str, number: int, other_key: str, other: str) -> None:
+    """The inner updates of one factor in one round; the last one is <name><number>."""
+    before = f"{name}{number - 1}"
+    for inner in range(1, P.nmf_inner + 1):
+        after = f"{name}{number}" if inner == P.nmf_inner else f"{name}{number}i{inner}"
+        STEPS[after] = _update(key, before, other_key, other)
+        before = after
+
+
+for _number in range(1, P.nmf_rounds + 1):
+    _round_of("geo", "w", _number, "label", f"h{_number - 1}")
+    _round_of("label", "h", _number, "geo", f"w{_number}")
+STEPS["one_w"] = _update("geo", "w0", "label", "h0")
+STEPS["one_h"] = _update("label", "h0", "geo", "one_w")
 
 W, H = f"w{P.nmf_rounds}", f"h{P.nmf_rounds}"
 
@@ -336,8 +347,8 @@ UNION ALL SELECT 'order_facts', max(order_date_key), max(order_date_key), false
     "feature_long": "SELECT * FROM long_features",
     "feature_matrix": f"SELECT geo, {_matrix_columns()} FROM long_features WHERE geo IS NOT NULL GROUP BY geo",
     "feature_shares": "SELECT geo, family, feature, round(value, 6) AS value FROM shares",
-    "nmf_step": """SELECT 'region' AS side, CAST(geo AS VARCHAR) AS key, theme, round(weight, 6) AS weight FROM w1
-UNION ALL SELECT 'feature', label, theme, round(weight, 6) FROM h1""",
+    "nmf_step": """SELECT 'region' AS side, CAST(geo AS VARCHAR) AS key, theme, round(weight, 6) AS weight FROM one_w
+UNION ALL SELECT 'feature', label, theme, round(weight, 6) FROM one_h""",
     "nmf_factors": f"SELECT geo, theme, round(weight, 6) AS weight FROM {W}",
     "nmf_loss": " UNION ALL ".join(_loss(number) for number in range(P.nmf_rounds + 1)),
     "theme_top_features": f"""SELECT theme, position, label, round(weight, 6) AS weight
@@ -371,7 +382,7 @@ def _with_steps(sql: str) -> str:
     needed: set[str] = set()
     pending = [sql]
     while pending:
-        words = set(re.findall(r"[a-z_]+[0-9]*", pending.pop()))
+        words = set(re.findall(r"\w+", pending.pop()))
         for name in words & STEPS.keys() - needed:
             needed.add(name)
             pending.append(STEPS[name])

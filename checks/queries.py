@@ -290,7 +290,7 @@ def feature_shares(spark, src):
 def nmf_step(spark, src):
     """Both factors after one round, as rows."""
     shares, ws = _shares(spark, src)
-    factors = nmf.factorise(segments.model_cells(shares), "geo", "label", PARAMS.nmf_rank, 1, ws)
+    factors = nmf.factorise(segments.model_cells(shares), "geo", "label", PARAMS.nmf_rank, 1, 1, ws)
     w = segments.themes_long(factors.w.withColumn("geo", F.col("geo").cast("string")), "geo", PARAMS.nmf_rank)
     h = segments.themes_long(factors.h, "label", PARAMS.nmf_rank)
     rows = w.select(F.lit("region").alias("side"), F.col("geo").alias("key"), "theme", "weight").unionAll(
@@ -416,14 +416,3 @@ def segment_profile(spark, src):
     shares, _ = _shares(spark, src)
     profile = segments.segment_profile(shares, _fixed_labels(shares))
     return profile.withColumn("mean_share", rounded("mean_share")).withColumn("lift", rounded("lift"))
-
-
-@query
-def ranked_sessions(spark, src):
-    """Sessions per segment of the whole run: layout, k-means, mapping, personalised sessions."""
-    placed, _ = _layout(spark, src)
-    labels = segments.segment_labels(placed, PARAMS)
-    located = segments.sessions_with_segment(labels, src, PARAMS)
-    return located.groupBy("segment").agg(
-        F.count_distinct("session_key").alias("sessions"), F.count_distinct("dma_code").alias("regions")
-    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import key_fraction
@@ -12,6 +13,8 @@ from terrane.session import Workspace
 
 EPSILON = 1e-12
 
+Gram = list[list[float]]
+
 
 def components(rank: int) -> list[str]:
     return [f"w{c}" for c in range(rank)]
@@ -23,18 +26,27 @@ def initial_factor(cells: DataFrame, key: str, rank: int) -> DataFrame:
     return cells.select(key).distinct().select(key, *start)
 
 
-def gram(factor: DataFrame, rank: int) -> list[list[float]]:
-    """rank x rank inner products of the factor's columns, by one aggregate with one result row."""
-    names = components(rank)
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    row = iter(factor.agg(*sums).first())
+def _inner_products(rank: int) -> list[str]:
+    return [f"sum(w{i} * w{j})" for i in range(rank) for j in range(i, rank)]
+
+
+def _symmetric(values: Sequence[float], rank: int) -> Gram:
+    row = iter(values)
     matrix = [[0.0] * rank for _ in range(rank)]
     for i in range(rank):
         for j in range(i, rank):
-            matrix[i][j] = matrix[j][i] = next(row)
+            matrix[i][j] = matrix[j][i] = next(row) or 0.0
     return matrix
 
 
+def saved_with_gram(factor: DataFrame, name: str, rank: int, ws: Workspace) -> tuple[DataFrame, Gram]:
+    """Write a factor and collect the rank x rank inner products of its columns on the way."""
+    observed = Observation()
+    sums = [F.expr(text).alias(f"g{n}") for n, text in enumerate(_inner_products(rank))]
+    stored = ws.save(factor.observe(observed, *sums), name)
+    return stored, _symmetric([observed.get[f"g{n}"] for n in range(len(sums))], rank)
+
+
 def projected(cells: DataFrame, other: DataFrame, key: str, other_key: str, rank: int) -> DataFrame:
     """Per `key`: sum of cell value times the other factor's row.
 
@@ -42,39 +54,40 @@ def projected(cells: DataFrame, other: DataFrame, key: str, other_key: str, rank
     knows its size and broadcasts it only below the threshold. The sums are combined before
     the shuffle, so a hot region or feature sends one row per task.
     """
-    sums = [F.sum(F.col("value") * F.col(name)).alias(f"n{c}") for c, name in enumerate(components(rank))]
+    sums = [F.expr(f"sum(value * w{c}) AS n{c}") for c in range(rank)]
     return cells.join(other, other_key).groupBy(key).agg(*sums)
 
 
-def _updated(factor_gram: list[list[float]], component: int, rank: int) -> Column:
-    denominator = F.lit(EPSILON)
-    for c in range(rank):
-        denominator = denominator + F.col(f"w{c}") * F.lit(factor_gram[c][component])
-    return (F.col(f"w{component}") * F.col(f"n{component}") / denominator).alias(f"w{component}")
-
-
 def updated_factor(
-    cells: DataFrame, factor: DataFrame, other: DataFrame, key: str, other_key: str, rank: int
+    cells: DataFrame, factor: DataFrame, other: DataFrame, other_gram: Gram, key: str, other_key: str, rank: int, inner: int
 ) -> DataFrame:
-    """One multiplicative update of `factor` with `other` held fixed."""
-    numerators = projected(cells, other, key, other_key, rank)
-    other_gram = gram(other, rank)
-    return factor.join(numerators, key).select(key, *[_updated(other_gram, c, rank) for c in range(rank)])
+    """Multiplicative updates of `factor` with `other` held fixed.
+
+    The numerators do not change while `other` is fixed, so further updates in the same round
+    are projections only (accelerated updates: Gillis & Glineur, 2012).
+    """
+    current = factor.join(projected(cells, other, key, other_key, rank), key)
+    numerators = [f"n{c}" for c in range(rank)]
+    for _ in range(inner):
+        updates = []
+        for c in range(rank):
+            denominator = " + ".join(f"w{d} * {other_gram[d][c]!r}D" for d in range(rank))
+            updates.append(f"w{c} * n{c} / ({EPSILON!r}D + {denominator}) AS w{c}")
+        current = current.selectExpr(key, *numerators, *updates)
+    return current.drop(*numerators)
 
 
 def squared_norm(cells: DataFrame) -> float:
-    return cells.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    return cells.agg(F.expr("sum(value * value)")).first()[0] or 0.0
 
 
-def loss(cells: DataFrame, w: DataFrame, h: DataFrame, row: str, column: str, rank: int, norm: float) -> float:
+def loss(
+    cells: DataFrame, w: DataFrame, h: DataFrame, grams: tuple[Gram, Gram], row: str, column: str, rank: int, norm: float
+) -> float:
     """Squared Frobenius distance of the cells and the product, zeros included, without building the product."""
-    numerators = projected(cells, h, row, column, rank)
-    dot = F.lit(0.0)
-    for c in range(rank):
-        dot = dot + F.col(f"w{c}") * F.col(f"n{c}")
-    inner = w.join(numerators, row).agg(F.sum(dot)).first()[0] or 0.0
-    gram_w, gram_h = gram(w, rank), gram(h, rank)
-    crossed = sum(gram_w[i][j] * gram_h[i][j] for i in range(rank) for j in range(rank))
+    dot = " + ".join(f"w{c} * n{c}" for c in range(rank))
+    inner = w.join(projected(cells, h, row, column, rank), row).agg(F.expr(f"sum({dot})")).first()[0] or 0.0
+    crossed = sum(grams[0][i][j] * grams[1][i][j] for i in range(rank) for j in range(rank))
     return norm - 2.0 * inner + crossed
 
 
@@ -88,7 +101,7 @@ class Factors:
 
 
 def factorise(
-    cells: DataFrame, row: str, column: str, rank: int, rounds: int, ws: Workspace, trace: bool = False
+    cells: DataFrame, row: str, column: str, rank: int, rounds: int, inner: int, ws: Workspace, trace: bool = False
 ) -> Factors:
     """Alternate updates of both factors for a fixed number of rounds.
 
@@ -96,15 +109,17 @@ def factorise(
     versions are kept.
     """
     cells = ws.save(cells.select(row, column, "value"), "cells")
-    w = ws.save(initial_factor(cells, row, rank), "w0")
-    h = ws.save(initial_factor(cells, column, rank), "h0")
+    w, gram_w = saved_with_gram(initial_factor(cells, row, rank), "w0", rank, ws)
+    h, gram_h = saved_with_gram(initial_factor(cells, column, rank), "h0", rank, ws)
     norm = squared_norm(cells) if trace else 0.0
-    losses = [loss(cells, w, h, row, column, rank, norm)] if trace else []
+    losses = [loss(cells, w, h, (gram_w, gram_h), row, column, rank, norm)] if trace else []
     for step in range(1, rounds + 1):
-        w = ws.save(updated_factor(cells, w, h, row, column, rank), f"w{step}")
-        h = ws.save(updated_factor(cells, h, w, column, row, rank), f"h{step}")
+        moved = updated_factor(cells, w, h, gram_h, row, column, rank, inner)
+        w, gram_w = saved_with_gram(moved, f"w{step}", rank, ws)
+        moved = updated_factor(cells, h, w, gram_w, column, row, rank, inner)
+        h, gram_h = saved_with_gram(moved, f"h{step}", rank, ws)
         if trace:
-            losses.append(loss(cells, w, h, row, column, rank, norm))
+            losses.append(loss(cells, w, h, (gram_w, gram_h), row, column, rank, norm))
         ws.drop(f"w{step - 1}")
         ws.drop(f"h{step - 1}")
     return Factors(w, h, tuple(losses))

@@ -44,7 +44,8 @@ class Params:
     end_date: date = date(2021, 1, 2)
 
     nmf_rank: int = 4
-    nmf_rounds: int = 20
+    nmf_rounds: int = 8
+    nmf_inner: int = 3
     themes_top: int = 5
     perplexity: float = 5.0
     tsne_rounds: int = 60

@@ -61,8 +61,8 @@ DEFAULT_GRAIN = ("dma_code",)
 def geo_lookup(src: Tables) -> DataFrame:
     """Address with its region block. Addresses without a region code or district drop out."""
     regions = src("dma_geo_dim").withColumn("dma_code", region_code(F.col("dma_code")))
-    described = lookup_join(regions, src("dma_district"), ["dma_code"])
-    return lookup_join(src("address"), described, ["dma_geo_key"]).select("address_key", "dma_geo_key", *GEO_COLUMNS)
+    placed = lookup_join(src("address"), regions, ["dma_geo_key"])
+    return lookup_join(placed, src("dma_district"), ["dma_code"]).select("address_key", "dma_geo_key", *GEO_COLUMNS)
 
 
 def product_activity(src: Tables) -> DataFrame:
@@ -141,7 +141,7 @@ def order_lines(src: Tables, p: Params, labels: Collection[str] = LABELS) -> Dat
     lines = lookup_join(kept_order_lines(src, p), calendar, ["order_date_key"])
     lines = lookup_join(lines, src("order_flow"), ["order_flow_key"])
     lines = lookup_join(lines, prices, ["price_sub_type_key"])
-    lines = lines.join(sku_lookup(src, labels), ["product_key", "sku_key"])
+    lines = lookup_join(lines, sku_lookup(src, labels), ["product_key", "sku_key"])
     return join_nullable(lines, geo, "billto_address_key", F.col("order_id"))
 
 

@@ -25,7 +25,7 @@ def model_cells(shares: DataFrame) -> DataFrame:
 
 def theme_factors(shares: DataFrame, p: Params, ws: Workspace, trace: bool = False) -> nmf.Factors:
     """Features to themes: weights per region (w) and per feature (h)."""
-    return nmf.factorise(model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_rounds, ws, trace)
+    return nmf.factorise(model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_rounds, p.nmf_inner, ws, trace)
 
 
 def themes_long(factor: DataFrame, key: str, rank: int) -> DataFrame:
