@@ -13,8 +13,7 @@ from terrane.operators import clusters, neighbours, nmf, tsne
 from terrane.params import Params
 from terrane.plans import features, orders, refresh, segments, sessions
 from terrane.session import Workspace
-from terrane.sources.derived import derived_tables
-from terrane.sources.tables import Tables
+from terrane.sources.derived import DerivedTables
 
 PARAMS = Params(start_key=20240103, end_key=20240128, start_date=date(2024, 1, 3), end_date=date(2024, 1, 28))
 
@@ -36,11 +35,11 @@ def rounded(column: str | Column, digits: int = 6) -> Column:
     return F.round(column, digits) + F.lit(0.0)
 
 
-def query(build: Callable[[SparkSession, Tables], DataFrame]) -> Query:
+def query(build: Callable[[SparkSession, DerivedTables], DataFrame]) -> Query:
     """Register a function of the session and the derived tables under its own name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build(spark, derived_tables(spark, sf_dir))
+        return build(spark, DerivedTables(spark, sf_dir))
 
     _QUERIES[build.__name__] = run
     return run
@@ -347,31 +346,40 @@ def tsne_affinities(spark, src):
     return conditional.withColumn("p", rounded("p"))
 
 
-def _layout(spark, src) -> tuple[DataFrame, Workspace]:
+def _new_layout(spark, src) -> DataFrame:
     shares, ws = _shares(spark, src)
-    return segments.layout(segments.theme_factors(shares, PARAMS, ws), PARAMS, ws), ws
+    return segments.layout(segments.theme_factors(shares, PARAMS, ws), PARAMS, ws)
+
+
+_STORED_LAYOUTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _layout(spark, src) -> DataFrame:
+    """The stored layout of this session and input; the k-means queries read it as the steps of one run do."""
+    key = (spark.sparkContext.applicationId, src.sf_dir)
+    if key not in _STORED_LAYOUTS:
+        _STORED_LAYOUTS[key] = _new_layout(spark, src)
+    return _STORED_LAYOUTS[key]
 
 
 @query
 def tsne_2d(spark, src):
-    return _layout(spark, src)[0]
+    return _new_layout(spark, src)
 
 
 @query
 def kmeans_segments(spark, src):
-    return segments.segment_labels(_layout(spark, src)[0], PARAMS)
+    return segments.segment_labels(_layout(spark, src), PARAMS)
 
 
 @query
 def k_sweep(spark, src):
-    placed, ws = _layout(spark, src)
-    return segments.segment_count_sweep(placed, PARAMS, ws)
+    return segments.segment_count_sweep(_layout(spark, src), PARAMS, Workspace(spark, "sweep"))
 
 
 @query
 def cluster_stability(spark, src):
-    placed, ws = _layout(spark, src)
-    return segments.segment_stability(placed, PARAMS, ws)
+    return segments.segment_stability(_layout(spark, src), PARAMS, Workspace(spark, "stability"))
 
 
 def _fixed_labels(long: DataFrame) -> DataFrame:

@@ -15,15 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrane.operators.neighbours import nearest_neighbours
 from terrane.session import Workspace
 
 NODES = 3  # interpolation nodes per interval and dimension
-FINE_INTERVALS = 64  # intervals across a small layout
-MAX_INTERVALS = 256  # intervals across a large one: bounds the grid at (3 * 256)^2 nodes
+FINE_INTERVALS = 64  # intervals across a layout, where that keeps them within these widths
+FINE_WIDTH, COARSE_WIDTH = 1 / 8, 1.0
+MAX_INTERVALS = 256  # intervals across a very large layout: bounds the grid at (3 * 256)^2 nodes
 SEARCH_STEPS = 100
 EXAGGERATION = 12.0
 START_SPREAD = 1e-4
@@ -111,12 +112,14 @@ def start_layout(points: DataFrame, coords: Sequence[str]) -> DataFrame:
 
 
 def interval_width(span: float) -> float:
-    """A power of two: fine for a small layout, at most 1 until the grid is full, then coarser."""
-    if span <= 0.0:
-        return 1.0
-    fine = 2.0 ** math.ceil(math.log2(span / FINE_INTERVALS))
-    full = 2.0 ** math.ceil(math.log2(span / MAX_INTERVALS))
-    return max(min(fine, 1.0), full)
+    """A power of two. The kernel varies on a scale of 1, so finer than FINE_WIDTH is of no use."""
+    fine = max(span / FINE_INTERVALS, FINE_WIDTH)
+    full = max(span / MAX_INTERVALS, FINE_WIDTH)
+    return max(min(_power_of_two(fine), COARSE_WIDTH), _power_of_two(full))
+
+
+def _power_of_two(value: float) -> float:
+    return 2.0 ** math.ceil(math.log2(value))
 
 
 def _lagrange(t: np.ndarray) -> np.ndarray:
@@ -132,22 +135,24 @@ def charges(layout: DataFrame, width: float) -> DataFrame:
     """
     step = width / NODES
 
-    def axis(column: str) -> F.Column:
-        cell = F.floor(F.col(column) / width)
-        t = F.col(column) / step - cell * NODES
-        return F.array(
-            F.struct((cell * NODES).alias("n"), ((t - 1.5) * (t - 2.5) / 2).alias("w")),
-            F.struct((cell * NODES + 1).alias("n"), (-(t - 0.5) * (t - 2.5)).alias("w")),
-            F.struct((cell * NODES + 2).alias("n"), ((t - 0.5) * (t - 1.5) / 2).alias("w")),
+    def axis(column: str) -> str:
+        """Array of the three nodes (number n, weight w) near a coordinate."""
+        first = f"floor({column} / {width!r}D) * {NODES}"
+        t = f"({column} / {step!r}D - {first})"
+        weights = (
+            f"({t} - 1.5D) * ({t} - 2.5D) / 2D",
+            f"({t} - 0.5D) * (2.5D - {t})",
+            f"({t} - 0.5D) * ({t} - 1.5D) / 2D",
         )
+        return ", ".join(f"named_struct('n', {first} + {k}, 'w', {w})" for k, w in enumerate(weights))
 
     spread = (
-        layout.select("x", "y", axis("y").alias("by"), F.explode(axis("x")).alias("ax"))
-        .select("x", "y", "ax", F.explode("by").alias("ay"))
-        .select("x", "y", F.col("ax.n").alias("nx"), F.col("ay.n").alias("ny"), (F.col("ax.w") * F.col("ay.w")).alias("w"))
+        layout.selectExpr("x", "y", f"array({axis('y')}) AS by", f"inline(array({axis('x')})) AS (nx, wx)")
+        .selectExpr("x", "y", "nx", "wx", "inline(by) AS (ny, wy)")
+        .selectExpr("x", "y", "nx", "ny", "wx * wy AS w")
     )
     return spread.groupBy("nx", "ny").agg(
-        F.sum("w").alias("c"), F.sum(F.col("w") * F.col("x")).alias("cx"), F.sum(F.col("w") * F.col("y")).alias("cy")
+        F.expr("sum(w) AS c"), F.expr("sum(w * x) AS cx"), F.expr("sum(w * y) AS cy")
     )
 
 
@@ -161,7 +166,7 @@ class Field:
         shape = (int(nx.max()) - self.origin[0] + 1, int(ny.max()) - self.origin[1] + 1)
         grid = np.zeros((3, *shape))
         grid[:, nx - self.origin[0], ny - self.origin[1]] = nodes[["c", "cx", "cy"]].to_numpy().T
-        double = (2 * shape[0], 2 * shape[1])
+        double = tuple(int(_power_of_two(2 * side)) for side in shape)
         dx = np.fft.fftfreq(double[0], 1.0 / double[0]) * self.step
         dy = np.fft.fftfreq(double[1], 1.0 / double[1]) * self.step
         kernel = 1.0 / (1.0 + dx[:, None] ** 2 + dy[None, :] ** 2)
@@ -197,14 +202,13 @@ def attraction(edges: DataFrame, layout: DataFrame) -> DataFrame:
     it above. The edges of a hub are summed map-side before they meet.
     """
     here = layout.select("id", "x", "y")
-    there = layout.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    pull = F.col("p") / (F.lit(1.0) + dx * dx + dy * dy)
+    there = layout.selectExpr("id AS other", "x AS ox", "y AS oy")
+    pull = "p / (1D + (x - ox) * (x - ox) + (y - oy) * (y - oy))"
     return (
         edges.join(here, "id")
         .join(there, "other")
         .groupBy("id")
-        .agg(F.sum(pull * dx).alias("ax"), F.sum(pull * dy).alias("ay"))
+        .agg(F.expr(f"sum({pull} * (x - ox)) AS ax"), F.expr(f"sum({pull} * (y - oy)) AS ay"))
     )
 
 
@@ -252,21 +256,27 @@ def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: i
     perplexity = min(perplexity, (count - 1) / 3.0)
     neighbours = nearest_neighbours(points, coords, min(count - 1, math.ceil(3 * perplexity)), ws)
     edges = ws.save(joint_affinities(conditional_affinities(neighbours, perplexity), count), "edges")
-    layout = ws.save(layout, "layout0")
-    width = interval_width(10 * START_SPREAD)
+    layout, span = _saved_with_span(layout, "layout0", ws)
     rate = max(count / EXAGGERATION, 50.0)
     early = rounds // 4
     for number in range(1, rounds + 1):
-        nodes = charges(layout, width).toPandas()
+        width = interval_width(span)
+        field = Field(charges(layout, width).toPandas(), width)
         exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.8)
-        moved = _moved(layout, edges, Field(nodes, width), exaggeration, momentum, rate)
-        layout = ws.save(moved, f"layout{number}")
+        moved = _moved(layout, edges, field, exaggeration, momentum, rate)
+        layout, span = _saved_with_span(moved, f"layout{number}", ws)
         ws.drop(f"layout{number - 1}")
-        used = max(nodes["nx"].max() - nodes["nx"].min(), nodes["ny"].max() - nodes["ny"].min()) + 1
-        width = interval_width(float(used) * width / NODES)
     return layout.select("id", "x", "y")
 
 
+def _saved_with_span(layout: DataFrame, name: str, ws: Workspace) -> tuple[DataFrame, float]:
+    """Write a layout and collect its extent on the way."""
+    observed = Observation()
+    watched = layout.observe(observed, F.expr("greatest(max(abs(x)), max(abs(y)))").alias("reach"))
+    stored = ws.save(watched, name)
+    return stored, 2.0 * observed.get["reach"]
+
+
 def divergence(edges: DataFrame, layout: DataFrame, width: float | None = None) -> float:
     """Kullback-Leibler divergence of a layout, for checking runs."""
     span = layout.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()

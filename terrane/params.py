@@ -48,7 +48,7 @@ class Params:
     nmf_inner: int = 3
     themes_top: int = 5
     perplexity: float = 5.0
-    tsne_rounds: int = 60
+    tsne_rounds: int = 40
     segments: int = 4
     segment_counts: tuple[int, ...] = (3, 4, 5, 6)
     seeds: tuple[int, ...] = (1, 2, 3, 4)

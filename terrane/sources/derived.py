@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.sources.tables import Tables
-
 _TS_KEY = "CAST(year(ts)*10000+month(ts)*100+day(ts) AS INT)"
 _SESSION_KEY = f"user_id*100000000+{_TS_KEY}"
 _MOVED = "(user_id + CASE WHEN event_id % 8 = 0 THEN 1 ELSE 0 END) % 21"
@@ -159,13 +157,21 @@ RAW_SCHEMAS = {
 }
 
 
-class _Rows:
-    """Row source of every derived table."""
+class DerivedTables:
+    """The source tables over the Parquet files in `sf_dir`; called with a table name.
+
+    The method named after a table gives its row source.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def __call__(self, table: str) -> DataFrame:
+        columns = [F.expr(text).alias(name) for name, text in COLUMNS[table].items()]
+        df = getattr(self, table)().select(*columns)
+        return df.distinct() if table in DISTINCT_TABLES else df
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -223,15 +229,3 @@ class _Rows:
     def dma_district(self) -> DataFrame:
         joined = self.raw("nation").join(self.raw("region"), F.expr("n_regionkey = r_regionkey"))
         return joined.where("n_nationkey NOT IN (1,2,24)")
-
-
-def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The source tables over the Parquet files in `sf_dir`."""
-    rows = _Rows(spark, sf_dir)
-
-    def load(table: str) -> DataFrame:
-        columns = [F.expr(text).alias(name) for name, text in COLUMNS[table].items()]
-        df = getattr(rows, table)().select(*columns)
-        return df.distinct() if table in DISTINCT_TABLES else df
-
-    return load
