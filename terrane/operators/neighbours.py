@@ -123,18 +123,18 @@ def nearest_neighbours(
     `points` has a long `id` and double columns `coords`, without equal points beyond
     `chunk_points` (see `distinct_points`). Equal distances rank by id.
     """
-    coords = list(coords)
+    coords, ws = list(coords), ws.child("neighbours")
     plain = points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in coords])
-    plain = ws.save(plain, "knn_points")
+    plain = ws.save(plain, "points")
     count = plain.count()
-    chunked = ws.save(_chunked(plain, coords, count, chunk_points), "knn_chunked")
+    chunked = ws.save(_chunked(plain, coords, count, chunk_points), "chunked")
 
     def within(chunk: pd.DataFrame) -> pd.DataFrame:
         ids, values = chunk["id"].to_numpy(), chunk[coords].to_numpy(dtype=float)
         return _pairs(_top(ids, values, ids, values, k))
 
     schema = "id long, other long, d2 double"
-    found = ws.save(chunked.groupBy("chunk").applyInPandas(within, schema), "knn_own")
+    found = ws.save(chunked.groupBy("chunk").applyInPandas(within, schema), "own")
     boxes = chunked.groupBy("chunk").agg(
         *[F.min(c).alias(f"lo_{c}") for c in coords],
         *[F.max(c).alias(f"hi_{c}") for c in coords],
@@ -187,7 +187,7 @@ def _visited(
                 yield part.iloc[rows][["id", *coords]].assign(chunk=numbers[columns])
 
     columns = ", ".join(f"{c} double" for c in coords)
-    visits = ws.save(queries.mapInPandas(route, f"id long, {columns}, chunk long"), "knn_visits")
+    visits = ws.save(queries.mapInPandas(route, f"id long, {columns}, chunk long"), "visits")
     # Visitors of a busy chunk are spread over several tasks; its points are copied to each.
     parts = visits.groupBy("chunk").agg(F.ceil(F.count("*") / (4 * chunk_points)).alias("parts"))
     numbers = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)

@@ -108,6 +108,7 @@ def factorise(
     Each factor is written after its update, which cuts the lineage; only the two newest
     versions are kept.
     """
+    ws = ws.child("factors")
     cells = ws.save(cells.select(row, column, "value"), "cells")
     w, gram_w = saved_with_gram(initial_factor(cells, row, rank), "w0", rank, ws)
     h, gram_h = saved_with_gram(initial_factor(cells, column, rank), "h0", rank, ws)

@@ -23,10 +23,11 @@ from terrane.session import Workspace
 
 NODES = 3  # interpolation nodes per interval and dimension
 FINE_INTERVALS = 64  # intervals across a layout, where that keeps them within these widths
-FINE_WIDTH, COARSE_WIDTH = 1 / 8, 1.0
-MAX_INTERVALS = 256  # intervals across a very large layout: bounds the grid at (3 * 256)^2 nodes
+FINE_WIDTH, COARSE_WIDTH = 1 / 8, 1 / 2  # forces within 1 % of the exact ones
+MAX_INTERVALS = 512  # intervals across a very large layout: bounds the grid at (3 * 512)^2 nodes
 SEARCH_STEPS = 100
-EXAGGERATION = 12.0
+EXAGGERATION = 4.0  # of the attraction, in the first quarter of the rounds
+POINTS_PER_RATE = 12.0  # the learning rate grows with the number of points
 START_SPREAD = 1e-4
 MIN_GAIN = 0.01
 
@@ -122,6 +123,11 @@ def _power_of_two(value: float) -> float:
     return 2.0 ** math.ceil(math.log2(value))
 
 
+def _transform_size(least: int) -> int:
+    """A size with small prime factors only, at least `least`."""
+    return int(min(_power_of_two(least), 3 * _power_of_two(least / 3)))
+
+
 def _lagrange(t: np.ndarray) -> np.ndarray:
     """Quadratic weights of the nodes 0.5, 1.5, 2.5 at offsets t in [0, 3)."""
     return np.stack([(t - 1.5) * (t - 2.5) / 2, -(t - 0.5) * (t - 2.5), (t - 0.5) * (t - 1.5) / 2])
@@ -166,7 +172,7 @@ class Field:
         shape = (int(nx.max()) - self.origin[0] + 1, int(ny.max()) - self.origin[1] + 1)
         grid = np.zeros((3, *shape))
         grid[:, nx - self.origin[0], ny - self.origin[1]] = nodes[["c", "cx", "cy"]].to_numpy().T
-        double = tuple(int(_power_of_two(2 * side)) for side in shape)
+        double = tuple(_transform_size(2 * side) for side in shape)
         dx = np.fft.fftfreq(double[0], 1.0 / double[0]) * self.step
         dy = np.fft.fftfreq(double[1], 1.0 / double[1]) * self.step
         kernel = 1.0 / (1.0 + dx[:, None] ** 2 + dy[None, :] ** 2)
@@ -248,6 +254,7 @@ def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: i
     reads the charged grid nodes to the driver (a bounded grid), one moves the points and
     writes them.
     """
+    ws = ws.child("layout")
     points = ws.save(points, "points")
     count = points.count()
     layout = start_layout(points, coords)
@@ -257,7 +264,7 @@ def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: i
     neighbours = nearest_neighbours(points, coords, min(count - 1, math.ceil(3 * perplexity)), ws)
     edges = ws.save(joint_affinities(conditional_affinities(neighbours, perplexity), count), "edges")
     layout, span = _saved_with_span(layout, "layout0", ws)
-    rate = max(count / EXAGGERATION, 50.0)
+    rate = max(count / POINTS_PER_RATE, 1.0)
     early = rounds // 4
     for number in range(1, rounds + 1):
         width = interval_width(span)

@@ -157,4 +157,4 @@ def feature_matrix(long: DataFrame, features: Sequence[tuple[str, str]]) -> Data
 
 def stored_shares(src: Tables, p: Params, ws: Workspace, registry: Sequence[Feature] = REGISTRY) -> DataFrame:
     """Shares over a stored feature table, written once."""
-    return feature_shares(ws.save(feature_long(src, p, registry), "feature_long"), registry)
+    return feature_shares(ws.child("features").save(feature_long(src, p, registry), "feature_long"), registry)

@@ -54,7 +54,7 @@ def layout(factors: nmf.Factors, p: Params, ws: Workspace) -> DataFrame:
     points = region_points(factors)
     placed = tsne.embed(neighbours.distinct_points(points, coords), coords, p.perplexity, p.tsne_rounds, ws)
     positions = neighbours.distinct_points(points, coords).join(placed, "id").select(*coords, *LAYOUT)
-    return ws.save(points.join(positions, coords).select("id", *LAYOUT), "layout")
+    return ws.child("placed").save(points.join(positions, coords).select("id", *LAYOUT), "layout")
 
 
 def segment_labels(placed: DataFrame, p: Params) -> DataFrame:
@@ -74,13 +74,13 @@ def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]]) -> Data
 
 def segment_count_sweep(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Metrics of every number of segments tried; `run` is k."""
-    labels = ws.save(_labellings(placed, [(k, k, p.seed) for k in p.segment_counts]), "sweep")
+    labels = ws.child("runs").save(_labellings(placed, [(k, k, p.seed) for k in p.segment_counts]), "labels")
     return clusters.cluster_metrics(clusters.long_form(placed, LAYOUT), labels)
 
 
 def segment_stability(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Agreement of the labels of every seed with those of the first; `run` is the seed."""
-    labels = ws.save(_labellings(placed, [(seed, p.segments, seed) for seed in p.seeds]), "seeds")
+    labels = ws.child("runs").save(_labellings(placed, [(seed, p.segments, seed) for seed in p.seeds]), "labels")
     base = labels.where(F.col("run") == p.seeds[0])
     return clusters.adjusted_rand(labels, base)
 

@@ -46,9 +46,13 @@ class Workspace:
     executors, and gives Catalyst the true size for its join choice.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, parent: str | None = None):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{(parent or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def child(self, name: str) -> Workspace:
+        """A folder of its own for one step, so that steps never share table names."""
+        return Workspace(self.spark, name, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
