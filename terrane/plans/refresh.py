@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.params import Params
 from terrane.plans import orders, sessions
+from terrane.session import in_parallel
 from terrane.sources.tables import Tables
 
 # Source date column of the two stored facts, and the partition column of each.
@@ -66,34 +68,46 @@ def _laid_out(df: DataFrame, partition_by: str | None) -> DataFrame:
 
 
 def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
-    """Replace all 12 tables. Both facts are stored first; the roll-ups read the stored facts."""
+    """Replace all 12 tables. Each branch stores its fact first; its roll-ups read the stored fact."""
     spark = src("calendar").sparkSession
-    tables = {"run_window": sink.replace("run_window", sessions.run_window(spark, p))}
-
-    stored = sink.replace("search_sessions", sessions.search_sessions(src, p), FACTS["search_sessions"][2])
-    tables["search_sessions"] = stored
-    visitor_rollups: dict[str, Callable[..., DataFrame]] = {
-        "visitors_by_geo": sessions.visitors_by_geo,
-        "nav_theme_visitors_by_geo": sessions.nav_theme_visitors_by_geo,
-        "outlet_visitors_by_geo": sessions.outlet_visitors_by_geo,
-    }
-    for name, rollup in visitor_rollups.items():
-        tables[name] = sink.replace(name, rollup(src, p, sessions=stored))
-
-    facts = sink.replace("order_facts", orders.order_facts(src, p), FACTS["order_facts"][2])
-    tables["order_facts"] = facts
-    for name, key in (
-        ("subclass_orders_by_geo", "subclass_desc"),
-        ("brand_orders_by_geo", "brand_desc"),
-        ("flow_orders_by_geo", "order_flow_desc"),
-        ("price_orders_by_geo", "price_flag"),
-        ("color_orders_by_geo", "color_family"),
-    ):
-        tables[name] = sink.replace(name, orders.orders_by(src, p, key, facts=facts))
-    tables["geo_map"] = sink.replace("geo_map", orders.geo_map(src, p, facts))
-
-    sink.replace("refresh_state", source_state(src))
-    return tables
+
+    def session_branch() -> dict[str, DataFrame]:
+        stored = sink.replace("search_sessions", sessions.search_sessions(src, p), FACTS["search_sessions"][2])
+        rollups = {
+            "visitors_by_geo": sessions.visitors_by_geo,
+            "nav_theme_visitors_by_geo": sessions.nav_theme_visitors_by_geo,
+            "outlet_visitors_by_geo": sessions.outlet_visitors_by_geo,
+        }
+        made = {name: partial(rollup, src, p, sessions=stored) for name, rollup in rollups.items()}
+        return {"search_sessions": stored, **_replaced(sink, made)}
+
+    def order_branch() -> dict[str, DataFrame]:
+        facts = sink.replace("order_facts", orders.order_facts(src, p), FACTS["order_facts"][2])
+        keys = {
+            "subclass_orders_by_geo": "subclass_desc",
+            "brand_orders_by_geo": "brand_desc",
+            "flow_orders_by_geo": "order_flow_desc",
+            "price_orders_by_geo": "price_flag",
+            "color_orders_by_geo": "color_family",
+        }
+        made = {name: partial(orders.orders_by, src, p, key, facts=facts) for name, key in keys.items()}
+        made["geo_map"] = partial(orders.geo_map, src, p, facts)
+        return {"order_facts": facts, **_replaced(sink, made)}
+
+    # Read before the facts, so that rows that arrive meanwhile count as not yet refreshed.
+    state = sink.replace("refresh_state_next", source_state(src))
+    window = {"run_window": sink.replace("run_window", sessions.run_window(spark, p))}
+    branches = in_parallel({"sessions": session_branch, "orders": order_branch})
+    sink.replace("refresh_state", state)
+    return {**window, **branches["sessions"], **branches["orders"]}
+
+
+def _replaced(sink: Sink, made: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    return in_parallel({name: partial(_replace_one, sink, name, build) for name, build in made.items()})
+
+
+def _replace_one(sink: Sink, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return sink.replace(name, build())
 
 
 def source_state(src: Tables) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from terrane.operators import clusters, neighbours, nmf, tsne
 from terrane.operators.joins import lookup_join
 from terrane.params import Params
 from terrane.plans import features, orders, sessions
-from terrane.session import Workspace
+from terrane.session import Workspace, in_parallel
 from terrane.sources.tables import Tables
 
 LAYOUT = ("x", "y")
@@ -64,11 +65,12 @@ def segment_labels(placed: DataFrame, p: Params) -> DataFrame:
 
 
 def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Labels of several (run, k, seed) settings in one table."""
+    """Labels of several (run, k, seed) settings in one table; the fits run side by side."""
+    fits = {run: partial(clusters.kmeans_labels, placed, LAYOUT, k, seed) for run, k, seed in runs}
     union = None
-    for run, k, seed in runs:
-        labels = clusters.kmeans_labels(placed, LAYOUT, k, seed).select(F.lit(run).alias("run"), "id", "segment")
-        union = labels if union is None else union.unionByName(labels)
+    for run, labels in in_parallel(fits).items():
+        tagged = labels.select(F.lit(run).alias("run"), "id", "segment")
+        union = tagged if union is None else union.unionByName(tagged)
     return union
 
 

@@ -5,9 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cpus: int = 8, app: str = "terrane") -> SparkSession:
     """Session for tests and the bench. A cluster run brings its own."""
@@ -39,6 +45,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def in_parallel(steps: Mapping[str, Callable[[], T]], threads: int = 6) -> dict[str, T]:
+    """Run independent steps from several threads, so that small jobs share the executors."""
+    own_thread = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        running = {name: pool.submit(own_thread(step)) for name, step in steps.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 class Workspace:
     """Written tables of one run, below the shared folder.
 
