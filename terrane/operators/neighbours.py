@@ -188,6 +188,7 @@ def _visited(
 
     columns = ", ".join(f"{c} double" for c in coords)
     visits = ws.save(queries.mapInPandas(route, f"id long, {columns}, chunk long"), "visits")
+    steering.destroy()
     # Visitors of a busy chunk are spread over several tasks; its points are copied to each.
     parts = visits.groupBy("chunk").agg(F.ceil(F.count("*") / (4 * chunk_points)).alias("parts"))
     numbers = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)

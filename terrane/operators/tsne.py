@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Observation
@@ -222,10 +223,9 @@ STATE = "id long, x double, y double, vx double, vy double, gx double, gy double
 
 
 def _moved(
-    layout: DataFrame, edges: DataFrame, field: Field, exaggeration: float, momentum: float, rate: float
+    layout: DataFrame, edges: DataFrame, shared: Broadcast[Field], exaggeration: float, momentum: float, rate: float
 ) -> DataFrame:
     """One gradient step with momentum and per-coordinate gains."""
-    shared = layout.sparkSession.sparkContext.broadcast(field)
     pulled = layout.join(attraction(edges, layout), "id", "left")
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,9 +269,11 @@ def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: i
     for number in range(1, rounds + 1):
         width = interval_width(span)
         field = Field(charges(layout, width).toPandas(), width)
+        shared = layout.sparkSession.sparkContext.broadcast(field)
         exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.8)
-        moved = _moved(layout, edges, field, exaggeration, momentum, rate)
+        moved = _moved(layout, edges, shared, exaggeration, momentum, rate)
         layout, span = _saved_with_span(moved, f"layout{number}", ws)
+        shared.destroy()
         ws.drop(f"layout{number - 1}")
     return layout.select("id", "x", "y")
 

@@ -5,11 +5,14 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import joins
+from checks import oracles, queries
+from checks.compare import duckdb_rows, rows_of
+from terrane.operators import joins, nmf
 from terrane.params import Params
-from terrane.plans import orders, sessions
+from terrane.plans import orders, segments, sessions
 from terrane.session import shared_folder
 from terrane.sources.tables import SOURCE_TABLES, parquet_tables
+from tests.conftest import SF_DIR
 
 P = Params(start_key=20240103, end_key=20240128, start_date=date(2024, 1, 3), end_date=date(2024, 1, 28))
 
@@ -100,6 +103,24 @@ def test_null_keys_are_spread_and_kept(spark, no_auto_broadcast):
     assert all("_salt" in text for text in shuffled)
 
 
+@pytest.mark.parametrize("largest_broadcast", [0, joins.BROADCAST_BYTES])
+@pytest.mark.parametrize(
+    "name", ["search_sessions", "nav_theme_visitors_by_geo", "order_facts", "feature_shares", "cluster_metrics"]
+)
+def test_results_do_not_depend_on_the_join_strategy(spark, monkeypatch, no_auto_broadcast, name, largest_broadcast):
+    monkeypatch.setattr(joins, "MEASURE_FROM_BYTES", 1)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", largest_broadcast)
+    df = queries.registered()[name](spark, SF_DIR)
+    _, expected = duckdb_rows(SF_DIR, oracles.texts()[name])
+    assert rows_of(df.columns, df.collect()) == expected
+
+
+def test_top_features_are_cut_before_the_shuffle(spark):
+    rows = spark.range(100).select(F.concat(F.lit("f"), "id").alias("label"), *[F.rand(i).alias(f"w{i}") for i in range(2)])
+    top = segments.theme_top_features(nmf.Factors(rows, rows, ()), Params(nmf_rank=2, themes_top=3))
+    assert plan_of(top).count("WindowGroupLimit") == 2 and top.count() == 6
+
+
 def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
