@@ -66,8 +66,14 @@ def updated_factor(
     The numerators do not change while `other` is fixed, so further updates in the same round
     are projections only (accelerated updates: Gillis & Glineur, 2012).
     """
-    current = factor.join(projected(cells, other, key, other_key, rank), key)
-    numerators = [f"n{c}" for c in range(rank)]
+    # One group-by sums the products of a key, map-side first, and carries its weights: no second join.
+    weights, numerators = components(rank), [f"n{c}" for c in range(rank)]
+    products = cells.join(other, other_key).selectExpr(
+        key, *[f"value * w{c} AS n{c}" for c in range(rank)], *[f"CAST(NULL AS DOUBLE) AS {w}" for w in weights]
+    )
+    carried = factor.selectExpr(key, *[f"0D AS {n}" for n in numerators], *weights)
+    totals = [*[f"sum({n}) AS {n}" for n in numerators], *[f"max({w}) AS {w}" for w in weights]]
+    current = products.unionAll(carried).groupBy(key).agg(*[F.expr(text) for text in totals])
     for _ in range(inner):
         updates = []
         for c in range(rank):

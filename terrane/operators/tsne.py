@@ -203,19 +203,16 @@ class Field:
 
 
 def attraction(edges: DataFrame, layout: DataFrame) -> DataFrame:
-    """Pull of the neighbours on each point: id, ax, ay.
+    """Pull of each neighbour on each point, one row per edge: id, ax, ay.
 
     The layout is a stored table, so Catalyst broadcasts it below the threshold and shuffles
-    it above. The edges of a hub are summed map-side before they meet.
+    it above.
     """
     here = layout.select("id", "x", "y")
     there = layout.selectExpr("id AS other", "x AS ox", "y AS oy")
     pull = "p / (1D + (x - ox) * (x - ox) + (y - oy) * (y - oy))"
-    return (
-        edges.join(here, "id")
-        .join(there, "other")
-        .groupBy("id")
-        .agg(F.expr(f"sum({pull} * (x - ox)) AS ax"), F.expr(f"sum({pull} * (y - oy)) AS ay"))
+    return edges.join(here, "id").join(there, "other").selectExpr(
+        "id", f"{pull} * (x - ox) AS ax", f"{pull} * (y - oy) AS ay"
     )
 
 
@@ -226,7 +223,12 @@ def _moved(
     layout: DataFrame, edges: DataFrame, shared: Broadcast[Field], exaggeration: float, momentum: float, rate: float
 ) -> DataFrame:
     """One gradient step with momentum and per-coordinate gains."""
-    pulled = layout.join(attraction(edges, layout), "id", "left")
+    # One group-by sums the pulls of a point, map-side first, and carries its state: no further join.
+    state = ("x", "y", "vx", "vy", "gx", "gy")
+    pulls = attraction(edges, layout).selectExpr("id", "ax", "ay", *[f"CAST(NULL AS DOUBLE) AS {c}" for c in state])
+    carried = layout.selectExpr("id", "0D AS ax", "0D AS ay", *state)
+    totals = ["sum(ax) AS ax", "sum(ay) AS ay", *[f"max({c}) AS {c}" for c in state]]
+    pulled = pulls.unionAll(carried).groupBy("id").agg(*[F.expr(text) for text in totals])
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -236,7 +238,7 @@ def _moved(
                 ("x", "vx", "gx", "ax", rx, shared.value.mean[0]),
                 ("y", "vy", "gy", "ay", ry, shared.value.mean[1]),
             ):
-                gradient = 4.0 * (exaggeration * b[pull].fillna(0.0).to_numpy() - push)
+                gradient = 4.0 * (exaggeration * b[pull].to_numpy() - push)
                 velocity = b[speed].to_numpy()
                 same = np.sign(gradient) == np.sign(velocity)
                 gains = np.maximum(np.where(same, b[gain] * 0.8, b[gain] + 0.2), MIN_GAIN)
