@@ -163,6 +163,9 @@ def charges(layout: DataFrame, width: float) -> DataFrame:
     )
 
 
+Shared = tuple[np.ndarray, tuple[int, int], float, float, tuple[float, float]]
+
+
 class Field:
     """Repulsion potentials on the grid nodes."""
 
@@ -188,18 +191,24 @@ class Field:
         self.normaliser = float((grid[0] * convolved(kernel, spectra[0])).sum()) - self.points
         self.potentials = convolved(kernel**2, spectra)
 
-    def forces(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over all points of squared kernel times difference, divided by the normaliser."""
-        weights, columns = [], []
-        for values, origin in ((x, self.origin[0]), (y, self.origin[1])):
-            first = np.floor(values / (self.step * NODES)).astype(np.int64) * NODES
-            weights.append(_lagrange(values / self.step - first))
-            columns.append(first - origin)
-        total = np.zeros((3, len(x)))
-        for a in range(NODES):
-            for b in range(NODES):
-                total += weights[0][a] * weights[1][b] * self.potentials[:, columns[0] + a, columns[1] + b]
-        return (x * total[0] - total[1]) / self.normaliser, (y * total[0] - total[2]) / self.normaliser
+    def shared(self) -> Shared:
+        """Plain data for the workers."""
+        return self.potentials, self.origin, self.step, self.normaliser, self.mean
+
+
+def repulsion(field: Shared, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over all points of squared kernel times difference, divided by the normaliser."""
+    potentials, origin, step, normaliser, _ = field
+    weights, columns = [], []
+    for values, start in ((x, origin[0]), (y, origin[1])):
+        first = np.floor(values / (step * NODES)).astype(np.int64) * NODES
+        weights.append(_lagrange(values / step - first))
+        columns.append(first - start)
+    total = np.zeros((3, len(x)))
+    for a in range(NODES):
+        for b in range(NODES):
+            total += weights[0][a] * weights[1][b] * potentials[:, columns[0] + a, columns[1] + b]
+    return (x * total[0] - total[1]) / normaliser, (y * total[0] - total[2]) / normaliser
 
 
 def attraction(edges: DataFrame, layout: DataFrame) -> DataFrame:
@@ -220,7 +229,7 @@ STATE = "id long, x double, y double, vx double, vy double, gx double, gy double
 
 
 def _moved(
-    layout: DataFrame, edges: DataFrame, shared: Broadcast[Field], exaggeration: float, momentum: float, rate: float
+    layout: DataFrame, edges: DataFrame, shared: Broadcast[Shared], exaggeration: float, momentum: float, rate: float
 ) -> DataFrame:
     """One gradient step with momentum and per-coordinate gains."""
     # One group-by sums the pulls of a point, map-side first, and carries its state: no further join.
@@ -231,12 +240,13 @@ def _moved(
     pulled = pulls.unionAll(carried).groupBy("id").agg(*[F.expr(text) for text in totals])
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean_x, mean_y = shared.value[4]
         for b in batches:
-            rx, ry = shared.value.forces(b["x"].to_numpy(), b["y"].to_numpy())
+            rx, ry = repulsion(shared.value, b["x"].to_numpy(), b["y"].to_numpy())
             moved = {"id": b["id"]}
             for at, speed, gain, pull, push, mean in (
-                ("x", "vx", "gx", "ax", rx, shared.value.mean[0]),
-                ("y", "vy", "gy", "ay", ry, shared.value.mean[1]),
+                ("x", "vx", "gx", "ax", rx, mean_x),
+                ("y", "vy", "gy", "ay", ry, mean_y),
             ):
                 gradient = 4.0 * (exaggeration * b[pull].to_numpy() - push)
                 velocity = b[speed].to_numpy()
@@ -271,7 +281,7 @@ def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: i
     for number in range(1, rounds + 1):
         width = interval_width(span)
         field = Field(charges(layout, width).toPandas(), width)
-        shared = layout.sparkSession.sparkContext.broadcast(field)
+        shared = layout.sparkSession.sparkContext.broadcast(field.shared())
         exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.8)
         moved = _moved(layout, edges, shared, exaggeration, momentum, rate)
         layout, span = _saved_with_span(moved, f"layout{number}", ws)
