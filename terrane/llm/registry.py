@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, fm, mixing, secrets, simhash
+from terrane.llm import bpe, fm, hosts, mixing, quality_rules, search, secrets, simhash, suffix_repeats, superkmer
 from terrane.llm.text import table
 from terrane.session import Workspace
 
@@ -50,12 +50,121 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    outcomes = hosts.labelled_outcomes(pages, table(spark, sf_dir, "labels"))
+    return hosts.judged(pages, outcomes, Workspace(spark, "op2")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# The same judgement written as relations: levels from counts, strengths by moments.
+_SQL["op2_host_reputation"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), marked AS (
+  SELECT doc_id, 1 - max(quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
+), shown AS (
+  SELECT host, nullif(regexp_extract(path, '/([0-9]{1,18})([./]|$)', 1), '') AS doc FROM parts
+), hosts AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+         array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+  FROM shown LEFT JOIN marked ON CAST(doc AS BIGINT) = doc_id GROUP BY host
+), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
+s0 AS (SELECT *, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM suffixes) AS prior FROM suffixes),
+s1 AS (SELECT least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)) ELSE 0 END, 0), 0.001), 0.999) AS rho
+       FROM s0 WHERE n > 0 AND prior > 0 AND prior < 1),
+s2 AS (SELECT suffix, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS prior FROM s0, s1),
+d0 AS (SELECT d.*, prior FROM domains d JOIN s2 USING (suffix)),
+d1 AS (SELECT least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)) ELSE 0 END, 0), 0.001), 0.999) AS rho
+       FROM d0 WHERE n > 0 AND prior > 0 AND prior < 1),
+d2 AS (SELECT domain, suffix, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS prior FROM d0, d1),
+h0 AS (SELECT h.*, prior FROM hosts h JOIN d2 USING (domain, suffix)),
+h1 AS (SELECT least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)) ELSE 0 END, 0), 0.001), 0.999) AS rho
+       FROM h0 WHERE n > 0 AND prior > 0 AND prior < 1),
+h2 AS (SELECT host, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS mean, n + (1 - rho) / rho AS weight FROM h0, h1),
+rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fitting AS (
+  SELECT p.page_id, p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.page_id, p.host, p.path
+)
+SELECT page_id, f.host, path, rule,
+       coalesce(verdict, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.25 THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitting f JOIN h2 USING (host)
+"""
+
+
+@query
+def op3_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document asks; all documents answer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    found = search.top_k(docs, asked, Workspace(spark, "op3"))
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+_SQL["op3_bm25_top_k"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf) AS length FROM tf GROUP BY ALL),
+corpus AS (SELECT count(*) AS n, (SELECT count(*) FROM words) / count(*) AS mean FROM documents),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, corpus GROUP BY term, n),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, sum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+  FROM tf q JOIN tf d USING (term) JOIN idf USING (term) JOIN size ON size.doc_id = d.doc_id, corpus
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op6_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmer.without_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op6"), keep_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+_SQL["op6_superkmer_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS run FROM words, unnest(range(1, len(w) - 48)) AS r(i) WHERE len(w) >= 50),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY run) AS first FROM windows) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM late, unnest(range(i, i + 50)) AS r(p)),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM words),
+kept AS (
+  SELECT places.doc_id, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY places.p) FILTER (gone.p IS NULL) AS kept
+  FROM places LEFT JOIN gone ON places.doc_id = gone.doc_id AND places.p = gone.p GROUP BY places.doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_repeats.without_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op7"), keep_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"), Workspace(spark, "op8"))
