@@ -184,11 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     A document with several labels counts as good if any of them is 1. Null labels and labels
     without a document are ignored; documents that share an id are all used.
     """
-    marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
+    marked = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_good"))
     sample = marked.orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_rows)
     # At most `sample_rows` pairs of numbers: a bounded side.
-    rows = docs.join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("_id")).select("_id", F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text"), "_good")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("_id")).select("_id", F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("text"), "_good")
     rows = rows.orderBy(F.xxhash64("_id"), "_id", "_hash").limit(settings.sample_rows)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

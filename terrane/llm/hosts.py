@@ -86,7 +86,8 @@ def reputations(outcomes: DataFrame, ws: Workspace) -> DataFrame:
 
     Counts per host are stored, so that the levels above are summed from them.
 
-    Null outcomes are unlabelled pages. Without any label the mean is a half and nothing is sure.
+    Null outcomes are unlabelled pages. One good page is added to the corpus, so without any label
+    every mean is 0.
     """
     domain, suffix = registered_domain(F.col("host")), F.substring_index("host", ".", -1)
     counts = [F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")]
@@ -94,7 +95,7 @@ def reputations(outcomes: DataFrame, ws: Workspace) -> DataFrame:
     again = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*again)
     suffixes = domains.groupBy("suffix").agg(*again)
-    corpus = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean")).scalar()
+    corpus = suffixes.agg((F.coalesce(F.sum("bad"), F.lit(0)) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean")).scalar()
 
     def shrunk(groups: DataFrame) -> DataFrame:
         strength = _strength(groups, "prior")

@@ -150,6 +150,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", seed: int = 0, count: int = SLOT
     turns = F.ceil(F.col("taken") / F.col("size")).cast("int")
     often = mix(docs, key, seed, count).where("taken > 0").groupBy(key).agg(F.max(turns).alias("_turns"))
     often = often.select(F.col(key).alias("_key"), "_turns")
-    joined = docs.join(often, docs[key].eqNullSafe(F.col("_key")))
-    repeated = joined.where(word_count(F.col("text")) > 0).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns"))))
-    return repeated.select(*docs.columns)
+    # The row travels as one struct, so that its column names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_own"), word_count(F.col("text")).alias("_size"))
+    joined = rows.join(often, F.col("_own").eqNullSafe(F.col("_key"))).where("_size > 0")
+    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_turns")))).select("row.*")

@@ -76,7 +76,7 @@ WITH cut AS (
   FROM shown LEFT JOIN marked ON CAST(doc AS BIGINT) = doc_id GROUP BY host
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
-s0 AS (SELECT *, (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM suffixes) AS prior FROM suffixes),
+s0 AS (SELECT *, (SELECT coalesce(sum(bad), 0) / (coalesce(sum(n), 0) + 1) FROM suffixes) AS prior FROM suffixes),
 s1 AS (SELECT least(greatest(coalesce(CASE WHEN sum(n) > count(*) THEN (sum(n * pow(bad / n - prior, 2) / (prior * (1 - prior))) - count(*)) / (sum(n) - count(*)) ELSE 0 END, 0), 0.001), 0.999) AS rho
        FROM s0 WHERE n > 0 AND prior > 0 AND prior < 1),
 s2 AS (SELECT suffix, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS prior FROM s0, s1),

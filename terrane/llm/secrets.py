@@ -148,7 +148,9 @@ def _scanned(docs: DataFrame, text_column: str) -> DataFrame:
     )
     base = F.concat(spans(F.col("_text"), ASSIGN, "assign", 2, ASSIGNED_LENGTH), spans(F.col("_text"), ACCESS, "access"), spans(F.col("_text"), HEX, "hex"))
     plain = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return docs.withColumn("_text", text).withColumns({"_base": F.array_sort(plain), "_tested": tested})
+    # The row travels as one struct, so that its column names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("_text"))
+    return rows.withColumns({"_base": F.array_sort(plain), "_tested": tested})
 
 
 def _length_class(test: Column) -> Column:
@@ -175,20 +177,25 @@ def thresholds(scanned: DataFrame, rate: float = RATE) -> DataFrame:
     return least.agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("least"))
 
 
+def _found(docs: DataFrame, text_column: str, rate: float) -> DataFrame:
+    scanned = _scanned(docs, text_column)
+    least = thresholds(scanned, rate).scalar()
+    random = F.filter("_tested", lambda s: F.coalesce(s["test"]["p"] >= F.col("_least")[_key(s["test"])], F.lit(False)))
+    plain = F.transform(random, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    new = F.filter(plain, lambda s: ~F.exists("_base", lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"])))
+    return scanned.withColumn("_least", least).withColumn("_found", F.array_sort(F.concat("_base", new)))
+
+
 def scan(docs: DataFrame, text_column: str = "text", rate: float = RATE) -> DataFrame:
     """`docs` with `base` and `found`, arrays of (start, kind, end) sorted by place, then kind.
 
     Kinds are numbered as in KINDS; `found` holds the base spans and those of the battery that
     are not equal to one of them. Null and empty texts have none. Every row is judged by itself,
-    so repeated rows get equal results; an empty table gives an empty one.
+    so repeated rows get equal results; an empty table gives an empty one. Columns of `docs`
+    with the names of the new ones are left out.
     """
-    scanned = _scanned(docs, text_column)
-    least = thresholds(scanned, rate).scalar()
-    random = F.filter("_tested", lambda s: F.coalesce(s["test"]["p"] >= F.col("_least")[_key(s["test"])], F.lit(False)))
-    plain = F.transform(random, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    new = F.filter(plain, lambda s: ~F.exists("_base", lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"])))
-    out = scanned.withColumn("_least", least).withColumn("_found", F.array_sort(F.concat("_base", new)))
-    return out.select(*docs.columns, F.col("_base").alias("base"), F.col("_found").alias("found"))
+    own = [F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("base", "found")]
+    return _found(docs, text_column, rate).select(*own, F.col("_base").alias("base"), F.col("_found").alias("found"))
 
 
 def written(found: Column) -> Column:
@@ -203,7 +210,7 @@ def masked(docs: DataFrame, text_column: str = "text", mask: str = "[secret]", r
 
     Overlapping spans become one mask. Null texts stay null.
     """
-    text = F.col(text_column)
+    text = F.col("_text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -211,11 +218,13 @@ def masked(docs: DataFrame, text_column: str = "text", mask: str = "[secret]", r
         fresh = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(piece, F.lit(mask))).alias("parts"))
         return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts")))
 
-    scanned = scan(docs.withColumnRenamed("base", "_own_base").withColumnRenamed("found", "_own_found"), text_column, rate)
-    end = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = scanned.withColumn(text_column, F.when(F.size("found") > 0, F.aggregate("found", start, step, end)).otherwise(text)).drop("base", "found")
-    clean = clean.withColumnRenamed("_own_base", "base").withColumnRenamed("_own_found", "found")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        clean = clean.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length(text).cast(kind)))
-    return clean.select(*docs.columns)
+    def end(acc: Column) -> Column:
+        return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    hit = F.size("_found") > 0
+    clean = _found(docs, text_column, rate).withColumn("_clean", F.when(hit, F.aggregate("_found", start, step, end)))
+    columns = {c: F.col(f"row.{c}") for c in docs.columns}
+    columns[text_column] = F.when(hit, F.col("_clean")).otherwise(columns[text_column])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(hit, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return clean.select(*[v.alias(c) for c, v in columns.items()])

@@ -168,7 +168,7 @@ def one_of_each(docs: DataFrame, ws: Workspace, id_column: str = "doc_id", text_
     keep = groups(docs, ws, id_column, text_column).where("kept")
     keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash")).distinct()
     own_id = F.col(id_column).cast("long")
-    rows = docs.withColumns({"_id": F.coalesce(own_id, F.lit(0)), "_none": own_id.isNull(), "_hash": F.xxhash64(text_column)})
+    # The row travels as one struct, so that its column names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own_id, F.lit(0)).alias("_id"), own_id.isNull().alias("_none"), F.xxhash64(text_column).alias("_hash"))
     # Plain keys on both sides: the rows that the join has brought together are not dealt out again.
-    kept = rows.join(keep, ["_id", "_none", "_hash"], "left_semi").dropDuplicates(["_id", "_none", "_hash"])
-    return kept.select(*docs.columns)
+    return rows.join(keep, ["_id", "_none", "_hash"], "left_semi").dropDuplicates(["_id", "_none", "_hash"]).select("row.*")
