@@ -1,7 +1,7 @@
 """DuckDB SQL for every registered query that SQL can express.
 
-The SQL is written apart from the Spark code: NOT EXISTS for the anti join, plain joins in
-written order, long factors with self joins, all pairs of regions where Spark avoids them.
+The SQL is a second formulation, apart from the Spark code: NOT EXISTS for the anti join, plain
+joins, FILTER and USING, long factors with self joins, all pairs of regions where Spark avoids them.
 Only the expressions of the derived source tables are shared (see FIXTURES.md).
 """
 
@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import re
 
-from checks.queries import MATRIX, PARAMS
+from checks.queries import PARAMS
 from terrane.params import EXCLUDED_ORDER_FLOWS, EXCLUDED_SKUS, ORDER_ENTRY_GROUPS, ORIGINATION_CHANNELS
-from terrane.plans.features import column_name
 from terrane.sources.derived import COLUMNS, DISTINCT_TABLES
 
 P = PARAMS
 TWICE = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 10 = 0)"
 
 ROW_SOURCES = {
-    "session_search": f"{TWICE} x JOIN part ON p_partkey = event_id % 200",
+    "session_search": f"{TWICE} x JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)",
     "calendar": "orders WHERE o_orderkey % 30 <> 19",
     "clickstream_session_bot": "events",
     "session": "events WHERE user_id % 15 <> 1",
@@ -273,12 +272,10 @@ STEPS["total_cost"] = """
 SELECT sum(power(d.value - t.value, 2)) AS cost FROM dense d JOIN total_centre t ON t.label = d.label"""
 
 
-def _matrix_columns() -> str:
-    return ", ".join(
-        f"coalesce(max(value) FILTER (WHERE family = '{family}' AND feature = '{feature}'), 0) "
-        f"AS {column_name(family, feature)}"
-        for family, feature in MATRIX
-    )
+# One column per feature that occurs; names are made in SQL, apart from the Spark code.
+STEPS["named_cells"] = """
+SELECT geo, trim(regexp_replace(lower(family || '_' || coalesce(feature, '(none)')), '[^a-z0-9]+', '_', 'g'), '_') AS name, value
+FROM long_features WHERE geo IS NOT NULL"""
 
 
 def _row_counts() -> str:
@@ -345,7 +342,7 @@ FROM src_merch_product p LEFT JOIN src_digital_shop d ON d.department_desc = p.d
   CAST(NULL AS INT) AS stored_max_key, true AS needs_refresh FROM src_session_search
 UNION ALL SELECT 'order_facts', max(order_date_key), max(order_date_key), false FROM src_order_line""",
     "feature_long": "SELECT * FROM long_features",
-    "feature_matrix": f"SELECT geo, {_matrix_columns()} FROM long_features WHERE geo IS NOT NULL GROUP BY geo",
+    "feature_matrix": "SELECT geo, coalesce(COLUMNS(* EXCLUDE geo), 0) FROM (PIVOT named_cells ON name USING max(value) GROUP BY geo)",
     "feature_shares": "SELECT geo, family, feature, round(value, 6) AS value FROM shares",
     "nmf_step": """SELECT 'region' AS side, CAST(geo AS VARCHAR) AS key, theme, round(weight, 6) AS weight FROM one_w
 UNION ALL SELECT 'feature', label, theme, round(weight, 6) FROM one_h""",

@@ -17,15 +17,6 @@ from terrane.sources.derived import DerivedTables
 
 PARAMS = Params(start_key=20240103, end_key=20240128, start_date=date(2024, 1, 3), end_date=date(2024, 1, 28))
 
-# Columns of the wide matrix: the values that the derived tables can hold.
-MATRIX = (
-    [("total", "visitors"), ("total", "orders"), ("outlet", "outlet")]
-    + [("flow", f"FLOW_{n}") for n in (1, 2, 3, 4, 5, 6, 7, 9)]
-    + [("price", f"PRICE_{flag}") for flag in "ANR"]
-    + [("subclass", f"SUB_{n}") for n in range(12)]
-    + [("brand", f"Brand#{n}") for n in range(1, 26)]
-)
-
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
@@ -268,7 +259,7 @@ def feature_long(spark, src):
 
 @query
 def feature_matrix(spark, src):
-    return features.feature_matrix(features.feature_long(src, PARAMS), MATRIX)
+    return features.feature_matrix(Workspace(spark, "matrix").save(features.feature_long(src, PARAMS), "feature_long"))
 
 
 def _shares(spark, src) -> tuple[DataFrame, Workspace]:

@@ -9,7 +9,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.operators.joins import lookup_join
 
 
 def kmeans_labels(points: DataFrame, coords: Sequence[str], k: int, seed: int) -> DataFrame:
@@ -52,13 +51,13 @@ def cluster_metrics(cells: DataFrame, labels: DataFrame) -> DataFrame:
         .withColumn("centre", F.col("length") / F.col("n") / F.col("n"))
     )
     dots = (
-        lookup_join(labels.join(cells, "id"), vectors, ["run", "feature"])
+        labels.join(cells, "id").join(vectors, ["run", "feature"])
         .groupBy("run", "id", "to")
         .agg(F.sum(F.col("value") * F.col("total")).alias("dot"))
     )
     # One row per point and segment of its run.
     grid = (
-        lookup_join(labelled, segments, ["run"])
+        labelled.join(segments, ["run"])
         .join(dots, ["run", "id", "to"], "left")
         .withColumn("dot", F.coalesce("dot", F.lit(0.0)))
         .withColumn("own", F.col("segment") == F.col("to"))

@@ -1,64 +1,13 @@
-"""Joins that stay safe when a dimension grows or a key is hot."""
+"""Joins that stay safe when a key is often NULL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# A measured dimension up to this size is broadcast; a larger one is shuffled.
-BROADCAST_BYTES = 64 * 1024 * 1024
-# Facts that read less than this are not worth measuring their dimensions.
-MEASURE_FROM_BYTES = 1024 * 1024 * 1024
 NULL_SALTS = 997
 
 
-def _threshold(df: DataFrame) -> int:
-    """The session's own broadcast threshold in bytes; negative where broadcasting is off."""
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def scanned_bytes(df: DataFrame) -> int:
-    """Stored size of all tables that `df` reads, without running anything."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows, by one aggregate: 16 bytes a column plus the text lengths."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    per_row = " + ".join([str(16 * len(df.columns)), *[f"coalesce(octet_length(`{t}`), 0)" for t in texts]])
-    return df.agg(F.expr(f"sum(CAST({per_row} AS BIGINT))").alias("size")).first()["size"] or 0
-
-
-def small_side(fact: DataFrame, dim: DataFrame) -> DataFrame:
-    """Mark `dim` for broadcast if, and only if, its size was checked.
-
-    Below the session's threshold Catalyst broadcasts by itself. Above it the estimate may be
-    far too high (a DISTINCT over a fact counts as the fact, a join as the product), so the
-    rows are measured once, provided that the fact is large enough to make its shuffle the
-    greater cost. A dimension that is really large gets no hint: Spark shuffles both sides
-    and splits skewed partitions at run time.
-    """
-    threshold = _threshold(dim)
-    if threshold < 0 or estimated_bytes(dim) <= threshold or scanned_bytes(fact) < MEASURE_FROM_BYTES:
-        return dim
-    return F.broadcast(dim) if measured_bytes(dim) <= BROADCAST_BYTES else dim
-
-
-def lookup_join(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join of a fact with a dimension, which is broadcast where that is checked to be safe.
-
-    Two facts are joined plainly instead: measuring one of them would cost a pass for nothing.
-    """
-    return fact.join(small_side(fact, dim), on, how)
-
-
 def join_nullable(fact: DataFrame, dim: DataFrame, key: str, spread_by: Column) -> DataFrame:
     """Left join on a key that is often NULL.
 
@@ -70,4 +19,4 @@ def join_nullable(fact: DataFrame, dim: DataFrame, key: str, spread_by: Column)
     salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(NULL_SALTS))).otherwise(F.lit(0))
     salted = fact.withColumn("_salt", salt.cast("int"))
     zero = F.pmod(F.xxhash64(F.col(key)), F.lit(1)).cast("int")
-    return lookup_join(salted, dim.withColumn("_salt", zero), [key, "_salt"], "left").drop("_salt")
+    return salted.join(dim.withColumn("_salt", zero), [key, "_salt"], "left").drop("_salt")

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.operators.joins import lookup_join
 from terrane.session import Workspace
 
 CHUNK_POINTS = 2048  # aim for the points of one chunk, and the visitors of one task
@@ -192,8 +191,8 @@ def _visited(
     # Visitors of a busy chunk are spread over several tasks; its points are copied to each.
     parts = visits.groupBy("chunk").agg(F.ceil(F.count("*") / (4 * chunk_points)).alias("parts"))
     numbers = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    hosts = lookup_join(chunked, parts, ["chunk"]).withColumn("part", F.explode(numbers))
-    guests = lookup_join(visits, parts, ["chunk"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    hosts = chunked.join(parts, ["chunk"]).withColumn("part", F.explode(numbers))
+    guests = visits.join(parts, ["chunk"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def search(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         return _pairs(

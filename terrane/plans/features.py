@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import region_code
-from terrane.operators.joins import lookup_join
 from terrane.params import OUTLET_SITE, Params
 from terrane.plans import orders, sessions
 from terrane.session import Workspace
@@ -122,7 +121,7 @@ def feature_shares(long: DataFrame, registry: Sequence[Feature] = REGISTRY) -> D
         "geo", F.col("feature").alias("base"), F.col("value").alias("total")
     )
     counts = known.where(F.col("family") != "total").withColumn("base", base)
-    return lookup_join(counts, totals, ["geo", "base"]).select(
+    return counts.join(totals, ["geo", "base"]).select(
         "geo",
         "family",
         F.coalesce("feature", F.lit(NO_LABEL)).alias("feature"),
@@ -135,14 +134,26 @@ def column_name(family: str, feature: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", f"{family}_{feature}".lower()).strip("_")
 
 
-def feature_matrix(long: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per region, one column per given (family, feature); absent cells are 0.
+def matrix_columns(long: DataFrame) -> list[tuple[str, str]]:
+    """The (family, feature) pairs that occur, at most MAX_MATRIX_COLUMNS; more, or equal column names, are an error."""
+    pairs = long.where(F.col("geo").isNotNull()).select("family", F.coalesce("feature", F.lit(NO_LABEL)).alias("feature")).distinct()
+    found = [(r["family"], r["feature"]) for r in pairs.limit(MAX_MATRIX_COLUMNS + 1).collect()]
+    if len(found) > MAX_MATRIX_COLUMNS:
+        raise ValueError("too many columns for one wide row: use the long form")
+    names: dict[str, tuple[str, str]] = {}
+    for pair in sorted(found):
+        if names.setdefault(column_name(*pair), pair) != pair:
+            raise ValueError(f"{pair} and {names[column_name(*pair)]} would share the column {column_name(*pair)}")
+    return sorted(found)
+
 
-    The list is fixed by the caller, so no job looks for the distinct values. Larger
-    vocabularies stay in the long form, which is what the model steps read.
+def feature_matrix(long: DataFrame) -> DataFrame:
+    """One row per region, one column per (family, feature) that occurs; absent cells are 0.
+
+    `long` is read twice, so pass a stored table. Vocabularies beyond Spark's limit of pivot
+    values stay in the long form, which is what the model steps read.
     """
-    if len(features) > MAX_MATRIX_COLUMNS:
-        raise ValueError("too many columns for one wide row: use the long form")
+    features = matrix_columns(long)
     labels = [f"{family}:{feature}" for family, feature in features]
     keyed = long.where(F.col("geo").isNotNull()).select(
         "geo", F.concat_ws(":", "family", F.coalesce("feature", F.lit(NO_LABEL))).alias("label"), "value"

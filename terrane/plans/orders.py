@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import cost, demand, region_code
-from terrane.operators.joins import join_nullable, lookup_join
+from terrane.operators.joins import join_nullable
 from terrane.operators.rollup import distinct_count, distinct_count_sets
 from terrane.params import (
     ACTIVITY_ATTRIBUTE,
@@ -61,8 +61,8 @@ DEFAULT_GRAIN = ("dma_code",)
 def geo_lookup(src: Tables) -> DataFrame:
     """Address with its region block. Addresses without a region code or district drop out."""
     regions = src("dma_geo_dim").withColumn("dma_code", region_code(F.col("dma_code")))
-    placed = lookup_join(src("address"), regions, ["dma_geo_key"])
-    return lookup_join(placed, src("dma_district"), ["dma_code"]).select("address_key", "dma_geo_key", *GEO_COLUMNS)
+    placed = src("address").join(regions, ["dma_geo_key"])
+    return placed.join(src("dma_district"), ["dma_code"]).select("address_key", "dma_geo_key", *GEO_COLUMNS)
 
 
 def product_activity(src: Tables) -> DataFrame:
@@ -76,7 +76,7 @@ def digital_shop_lookup(src: Tables) -> DataFrame:
     shops = src("digital_shop")
     sizes = shops.groupBy("department_desc").agg(F.count("*").alias("shop_rows"))
     products = src("merch_product").select("product_key", "department_desc")
-    joined = lookup_join(lookup_join(products, shops, ["department_desc"], "left"), sizes, ["department_desc"], "left")
+    joined = products.join(shops, ["department_desc"], "left").join(sizes, ["department_desc"], "left")
     return joined.select(
         "product_key", "department_desc", "digital_shop", F.coalesce("shop_rows", F.lit(1)).alias("shop_rows")
     )
@@ -88,7 +88,7 @@ def activity_labels(src: Tables) -> DataFrame:
 
 def activity_label_lookup(src: Tables) -> DataFrame:
     """Activity label per sku, by the five-column hierarchy key; NULL where there is none."""
-    joined = lookup_join(src("merch_sku"), activity_labels(src), ACTIVITY_KEYS, "left")
+    joined = src("merch_sku").join(activity_labels(src), ACTIVITY_KEYS, "left")
     return joined.select("product_key", "sku_key", "activity_label")
 
 
@@ -102,12 +102,12 @@ def sku_lookup(src: Tables, labels: Collection[str] = LABELS) -> DataFrame:
     skus = src("merch_sku").join(src("merch_product"), ["product_key", "department_key"])
     if "digital_shop" in labels:
         shops = src("digital_shop").withColumnRenamed("digital_shop", "department_shop")
-        skus = lookup_join(skus, shops, ["department_desc"], "left")
+        skus = skus.join(shops, ["department_desc"], "left")
         skus = skus.withColumn("digital_shop", F.coalesce("department_shop", "shop_desc"))
     if "activity_product" in labels:
         skus = skus.join(product_activity(src), "product_key", "left")
     if "activity_label" in labels:
-        skus = lookup_join(skus, activity_labels(src), ACTIVITY_KEYS, "left")
+        skus = skus.join(activity_labels(src), ACTIVITY_KEYS, "left")
     return skus.select(*columns, *[label for label in LABELS if label in labels])
 
 
@@ -138,10 +138,10 @@ def order_lines(src: Tables, p: Params, labels: Collection[str] = LABELS) -> Dat
     prices = src("price_sub_type").withColumnRenamed("price_sub_type_desc", "price_flag")
     geo = geo_lookup(src).drop("dma_geo_key").withColumnRenamed("address_key", "billto_address_key")
 
-    lines = lookup_join(kept_order_lines(src, p), calendar, ["order_date_key"])
-    lines = lookup_join(lines, src("order_flow"), ["order_flow_key"])
-    lines = lookup_join(lines, prices, ["price_sub_type_key"])
-    lines = lookup_join(lines, sku_lookup(src, labels), ["product_key", "sku_key"])
+    lines = kept_order_lines(src, p).join(calendar, ["order_date_key"])
+    lines = lines.join(src("order_flow"), ["order_flow_key"])
+    lines = lines.join(prices, ["price_sub_type_key"])
+    lines = lines.join(sku_lookup(src, labels), ["product_key", "sku_key"])
     return join_nullable(lines, geo, "billto_address_key", F.col("order_id"))
 
 
@@ -189,5 +189,5 @@ def addresses_by_region_code(src: Tables) -> DataFrame:
     regions = src("dma_geo_dim").select(
         "dma_geo_key", F.col("dma_code").alias("dma_code_text"), region_code(F.col("dma_code")).alias("region_code")
     )
-    joined = lookup_join(src("address"), regions, ["dma_geo_key"])
+    joined = src("address").join(regions, ["dma_geo_key"])
     return joined.groupBy("dma_code_text", "region_code").agg(F.count("*").alias("addresses"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.operators import clusters, neighbours, nmf, tsne
-from terrane.operators.joins import lookup_join
 from terrane.params import Params
 from terrane.plans import features, orders, sessions
 from terrane.session import Workspace, in_parallel
@@ -90,14 +89,14 @@ def segment_stability(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
 def segment_map(labels: DataFrame, src: Tables, p: Params, facts: DataFrame | None = None) -> DataFrame:
     """Region -> segment with the region's attributes, for the search ranking; every labelled region is kept."""
     regions = orders.geo_map(src, p, facts).withColumnRenamed("dma_code", "geo")
-    return lookup_join(labels, regions.where(F.col("geo").isNotNull()), ["geo"], "left")
+    return labels.join(regions.where(F.col("geo").isNotNull()), ["geo"], "left")
 
 
 def sessions_with_segment(labels: DataFrame, src: Tables, p: Params, stored: DataFrame | None = None) -> DataFrame:
     """Session rows with their region and segment; rows without a region keep NULL."""
     rows = stored if stored is not None else sessions.search_sessions(src, p)
     located = sessions.with_region(rows, src, p, sessions.DEFAULT_GRAIN, "left")
-    return lookup_join(located, labels.withColumnRenamed("geo", "dma_code"), ["dma_code"], "left")
+    return located.join(labels.withColumnRenamed("geo", "dma_code"), ["dma_code"], "left")
 
 
 def segment_profile(shares: DataFrame, labels: DataFrame) -> DataFrame:
@@ -113,7 +112,7 @@ def segment_profile(shares: DataFrame, labels: DataFrame) -> DataFrame:
     overall = by_segment.groupBy("family", "feature").agg((F.sum("total") / F.lit(regions)).alias("overall"))
     mean = F.col("total") / F.col("regions")
     return (
-        lookup_join(by_segment, sizes, ["segment"])
+        by_segment.join(sizes, ["segment"])
         .join(overall.withColumnRenamed("feature", "f").withColumnRenamed("family", "g"),
               F.expr("family = g AND feature = f"))
         .select("segment", "family", "feature", mean.alias("mean_share"), (mean / F.col("overall")).alias("lift"))

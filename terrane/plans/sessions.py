@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import has_text, nav_theme, null_search_flag
-from terrane.operators.joins import lookup_join
 from terrane.operators.rollup import distinct_count
 from terrane.params import CATEGORY_TYPES, OUTLET_SITE, SEARCH_TEMPLATE, Params
 from terrane.sources.tables import Tables
@@ -72,7 +71,7 @@ def search_rows(src: Tables, p: Params) -> DataFrame:
         .withColumn("nav_breadcrumb", nav_theme("breadcrumb", "navigation_search_term"))
         .withColumn("null_search_flag", null_search_flag("user_search_results_returned_count"))
     )
-    return lookup_join(kept, calendar, ["session_search_date_key"]).select(*SESSION_COLUMNS)
+    return kept.join(calendar, ["session_search_date_key"]).select(*SESSION_COLUMNS)
 
 
 def search_sessions(src: Tables, p: Params, columns: Sequence[str] = SESSION_COLUMNS) -> DataFrame:

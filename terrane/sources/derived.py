@@ -180,12 +180,11 @@ class DerivedTables:
         return self.raw("part").withColumn("n_nationkey", F.explode(F.array(F.lit(0), F.lit(1))))
 
     def session_search(self) -> DataFrame:
-        # One scan: every tenth event gives two equal rows. The part side is cut to the 200
-        # keys the join can reach, which bounds the broadcast.
+        # One scan: every tenth event gives two equal rows. All parts take part, in turn.
         copies = F.when(F.expr("event_id % 10 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        twice = self.raw("events").withColumn("copy", F.explode(copies))
-        reachable = self.raw("part").where(F.col("p_partkey").between(0, 199))
-        return twice.join(F.broadcast(reachable), F.expr("p_partkey = event_id % 200"))
+        parts = self.raw("part").agg(F.count("*")).scalar()
+        twice = self.raw("events").withColumn("copy", F.explode(copies)).withColumn("part_number", F.col("event_id") % parts)
+        return twice.join(self.raw("part"), F.expr("p_partkey = part_number"))
 
     def calendar(self) -> DataFrame:
         return self.raw("orders").where("o_orderkey % 30 <> 19")
