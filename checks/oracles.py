@@ -278,22 +278,53 @@ SELECT geo, trim(regexp_replace(lower(family || '_' || coalesce(feature, '(none)
 FROM long_features WHERE geo IS NOT NULL"""
 
 
-def _row_counts() -> str:
+def _contents() -> str:
+    """Rows and checksum of each table: columns by name, decimals in hundredths, a mark for NULL."""
     tables = {
-        "run_window": "SELECT 1",
-        "search_sessions": "SELECT 1 FROM visits",
-        "visitors_by_geo": _visitors("dma_code", where="true"),
-        "nav_theme_visitors_by_geo": _visitors("dma_code, nav_breadcrumb"),
-        "outlet_visitors_by_geo": _visitors("dma_code, site_id", where="located AND site_id = 'outlet'"),
-        "order_facts": "SELECT 1 FROM facts",
-        **{f"{family}_orders_by_geo": _orders(f"dma_code, {key}") for family, key in ORDER_FAMILIES.items()},
-        "geo_map": "SELECT 1 FROM geos",
+        "run_window": (
+            "start_key end_key start_date end_date",
+            f"SELECT {P.start_key} AS start_key, {P.end_key} AS end_key, '{P.start_date}' AS start_date, '{P.end_date}' AS end_date",
+        ),
+        "search_sessions": (
+            "session_search_date_key visitor_key fiscal_month session_key site_id page_name page_name_key page_template "
+            "clickstream_visit_page_num user_search_results_returned_count nav_search_term nav_breadcrumb "
+            "search_refinement_type null_search_flag",
+            "SELECT * FROM visits",
+        ),
+        "visitors_by_geo": ("dma_code visitor_count_total", _visitors("dma_code", "visitor_count_total", "true")),
+        "nav_theme_visitors_by_geo": ("dma_code nav_theme visitor_count", _visitors("dma_code, nav_breadcrumb AS nav_theme")),
+        "outlet_visitors_by_geo": ("dma_code site_id visitor_count", _visitors("dma_code, site_id", where="located AND site_id = 'outlet'")),
+        "order_facts": (
+            "fiscal_date dma_code dma_name dma_short_desc district_name state_name cbsa_code cbsa_name dma_zip_code order_id product "
+            "digital_shop subclass_desc brand_desc color_family order_flow_desc price_flag activity_product activity_label units demand cost",
+            "SELECT * FROM facts",
+        ),
+        **{f"{family}_orders_by_geo": (f"dma_code {key} order_count", _orders(f"dma_code, {key}")) for family, key in ORDER_FAMILIES.items()},
+        "geo_map": ("dma_code dma_name dma_short_desc dma_zip_code cbsa_code cbsa_name district_name state_name", "SELECT * FROM geos"),
     }
+
+    def text(column: str) -> str:
+        return f"coalesce(CAST({f'CAST({column} * 100 AS BIGINT)' if column in ('demand', 'cost') else column} AS VARCHAR), '~')"
+
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS row_count FROM ({rows}) AS t" for name, rows in tables.items()
+        f"SELECT '{name}' AS table_name, count(*) AS row_count, "
+        f"CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(text(c) for c in sorted(columns.split()))})), 1, 8) AS BIGINT)), 0) AS BIGINT) "
+        f"AS checksum FROM ({rows}) AS t"
+        for name, (columns, rows) in tables.items()
     )
 
 
+def _status() -> str:
+    """Counts of every source now and as recorded, for each of the four changes."""
+    rows = []
+    for change, changed in (("unchanged", ""), ("window", "(window)"), ("dimension", "dma_district"), ("late row", "order_line")):
+        rows.append(f"SELECT '{change}' AS change, '(window)' AS source, 1 AS row_count, 1 AS stored_count, {changed == '(window)'} AS needs_refresh")
+        for table in COLUMNS:
+            now = {"dimension": "0", "late row": "n + 1"}.get(change, "n") if table == changed else "n"
+            rows.append(f"SELECT '{change}', '{table}', {now}, n, {table == changed} FROM (SELECT count(*) AS n FROM src_{table})")
+    return " UNION ALL ".join(rows)
+
+
 QUERIES: dict[str, str] = {
     "run_params": f"""SELECT {P.start_key} AS start_key, {P.end_key} AS end_key, '{P.start_date}' AS start_date,
   '{P.end_date}' AS end_date,
@@ -337,10 +368,8 @@ FROM src_merch_product p LEFT JOIN src_digital_shop d ON d.department_desc = p.d
         for key in ORDER_FAMILIES.values()
     ),
     "geo_map": "SELECT * FROM geos",
-    "refresh_tables": _row_counts(),
-    "refresh_status": """SELECT 'search_sessions' AS target, max(session_search_date_key) AS source_max_key,
-  CAST(NULL AS INT) AS stored_max_key, true AS needs_refresh FROM src_session_search
-UNION ALL SELECT 'order_facts', max(order_date_key), max(order_date_key), false FROM src_order_line""",
+    "refresh_tables": _contents(),
+    "refresh_status": _status(),
     "feature_long": "SELECT * FROM long_features",
     "feature_matrix": "SELECT geo, coalesce(COLUMNS(* EXCLUDE geo), 0) FROM (PIVOT named_cells ON name USING max(value) GROUP BY geo)",
     "feature_shares": "SELECT geo, family, feature, round(value, 6) AS value FROM shares",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,23 +231,45 @@ def geo_map(spark, src):
 # --- refresh ---
 
 
+def _content(table: DataFrame) -> DataFrame:
+    """Rows and a checksum that SQL repeats: the sum of the first 32 bits of each row's MD5."""
+    texts = []
+    for name, kind in sorted(table.dtypes):
+        value = F.col(name) * 100 if kind.startswith("decimal") else F.col(name)
+        text = (value.cast("bigint") if kind.startswith("decimal") else value).cast("string")
+        texts.append(F.coalesce(text, F.lit("~")))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("bigint")
+    return table.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(number), F.lit(0)).alias("checksum"))
+
+
 @query
 def refresh_tables(spark, src):
-    """Rows of each of the 12 tables after a full refresh, read back."""
+    """Rows and content of each of the 12 tables after a full refresh, read back."""
     sink = refresh.FolderSink(spark, Workspace(spark, "refresh").root)
-    counts = None
+    contents = None
     for name, table in refresh.refresh_tables(src, PARAMS, sink).items():
-        count = table.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        counts = count if counts is None else counts.unionAll(count)
-    return counts
+        content = _content(table).select(F.lit(name).alias("table_name"), "row_count", "checksum")
+        contents = content if contents is None else contents.unionAll(content)
+    return contents
 
 
 @query
 def refresh_status(spark, src):
-    """Freshness of the stored facts after a state was recorded for one of the two."""
+    """Freshness after a recorded state: unchanged, another window, a dimension emptied, a late row with an old date."""
     sink = refresh.FolderSink(spark, Workspace(spark, "status").root)
-    sink.replace("refresh_state", refresh.source_state(src).where(F.col("target") == "order_facts"))
-    return refresh.refresh_status(src, sink)
+    sink.replace("refresh_state", refresh.source_state(src, PARAMS))
+    late = src("order_line").orderBy("order_date_key", "order_id", "sku_key").limit(1)
+    changed = {
+        "unchanged": (src, PARAMS),
+        "window": (src, replace(PARAMS, end_key=20240110, end_date=date(2024, 1, 10))),
+        "dimension": (lambda t: src(t).limit(0) if t == "dma_district" else src(t), PARAMS),
+        "late row": (lambda t: src(t).unionByName(late) if t == "order_line" else src(t), PARAMS),
+    }
+    union = None
+    for case, (tables, params) in changed.items():
+        status = refresh.refresh_status(tables, params, sink).select(F.lit(case).alias("change"), "*")
+        union = status if union is None else union.unionAll(status)
+    return union
 
 
 # --- features ---

@@ -2,57 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.params import Params
 from terrane.plans import orders, sessions
-from terrane.session import in_parallel
-from terrane.sources.tables import Tables
+from terrane.session import in_parallel, remove_folder
+from terrane.sources.tables import SOURCE_TABLES, Tables
 
-# Source date column of the two stored facts, and the partition column of each.
-FACTS = {
-    "search_sessions": ("session_search", "session_search_date_key", "session_search_date_key"),
-    "order_facts": ("order_line", "order_date_key", "fiscal_date"),
-}
+# Partition column of each stored fact.
+FACTS = {"search_sessions": "session_search_date_key", "order_facts": "fiscal_date"}
+
+KEPT_VERSIONS = 2  # the current one, and the one before for readers that still use it
 
 
 class FolderSink:
-    """Output tables as Parquet folders below one root."""
+    """Output tables as Parquet folders below one root.
+
+    A replaced table is written to a folder of its own. Only when that is complete, one small
+    file is added to the table's list of versions, which makes it current. So a reader sees the
+    old or the new table, and a failed job leaves the old one.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
     def replace(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Replace a table by a result and read it back."""
-        writer = _laid_out(df, partition_by).write.mode("overwrite")
+        versions = self._versions(name)
+        number, version = (versions[0][0] if versions else 0) + 1, uuid.uuid4().hex
+        writer = _laid_out(df, partition_by).write
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}").select(*df.columns)
+        writer.parquet(f"{self.root}/{name}/{version}")
+        row = self.spark.createDataFrame([(number, version)], VERSION).coalesce(1)
+        row.write.mode("append").json(f"{self.root}/{name}/_versions")
+        for _, old in versions[KEPT_VERSIONS - 1 :]:
+            remove_folder(self.spark, f"{self.root}/{name}/{old}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}").select(*df.columns)
 
     def read(self, name: str) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.parquet(f"{self.root}/{name}") if found else None
+        versions = self._versions(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/{versions[0][1]}") if versions else None
+
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, folder) of all versions, the current one first."""
+        try:
+            rows = self.spark.read.schema(VERSION).json(f"{self.root}/{name}/_versions").collect()
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted(((r["number"], r["folder"]) for r in rows), reverse=True)
+
+
+VERSION = "number long, folder string"
 
 
 class CatalogSink:
-    """Output tables in a database of the session catalog."""
+    """Output tables in a database of the session catalog.
+
+    A name is a view on the current version's table; replacing the view is one step.
+    """
 
     def __init__(self, spark: SparkSession, database: str):
         self.spark, self.database = spark, database
 
     def replace(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Replace a table by a result and read it back."""
-        writer = _laid_out(df, partition_by).write.mode("overwrite").format("parquet")
+        stored = [t.name for t in self.spark.catalog.listTables(self.database, f"{name}__*")]
+        number = max([int(t.rpartition("__")[2]) for t in stored], default=0) + 1
+        writer = _laid_out(df, partition_by).write.format("parquet")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.saveAsTable(f"{self.database}.{name}")
-        return self.spark.table(f"{self.database}.{name}").select(*df.columns)
+        version = f"{self.database}.{name}__{number:06d}"
+        writer.saveAsTable(version)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {self.database}.{name} AS SELECT * FROM {version}")
+        for old in sorted(stored)[: -(KEPT_VERSIONS - 1)]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{old}")
+        return self.spark.table(version).select(*df.columns)
 
     def read(self, name: str) -> DataFrame | None:
         table = f"{self.database}.{name}"
@@ -72,7 +105,7 @@ def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
     spark = src("calendar").sparkSession
 
     def session_branch() -> dict[str, DataFrame]:
-        stored = sink.replace("search_sessions", sessions.search_sessions(src, p), FACTS["search_sessions"][2])
+        stored = sink.replace("search_sessions", sessions.search_sessions(src, p), FACTS["search_sessions"])
         rollups = {
             "visitors_by_geo": sessions.visitors_by_geo,
             "nav_theme_visitors_by_geo": sessions.nav_theme_visitors_by_geo,
@@ -82,7 +115,7 @@ def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
         return {"search_sessions": stored, **_replaced(sink, made)}
 
     def order_branch() -> dict[str, DataFrame]:
-        facts = sink.replace("order_facts", orders.order_facts(src, p), FACTS["order_facts"][2])
+        facts = sink.replace("order_facts", orders.order_facts(src, p), FACTS["order_facts"])
         keys = {
             "subclass_orders_by_geo": "subclass_desc",
             "brand_orders_by_geo": "brand_desc",
@@ -95,7 +128,8 @@ def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
         return {"order_facts": facts, **_replaced(sink, made)}
 
     # Read before the facts, so that rows that arrive meanwhile count as not yet refreshed.
-    state = sink.replace("refresh_state_next", source_state(src))
+    # One row per source and one for the window.
+    state = spark.createDataFrame(source_state(src, p).collect(), STATE)
     window = {"run_window": sink.replace("run_window", sessions.run_window(spark, p))}
     branches = in_parallel({"sessions": session_branch, "orders": order_branch})
     sink.replace("refresh_state", state)
@@ -110,31 +144,40 @@ def _replace_one(sink: Sink, name: str, build: Callable[[], DataFrame]) -> DataF
     return sink.replace(name, build())
 
 
-def source_state(src: Tables) -> DataFrame:
-    """Newest date key of the source of each stored fact."""
-    union = None
-    for target, (source, column, _) in FACTS.items():
-        newest = src(source).agg(F.max(column).alias("source_max_key"))
-        state = newest.select(F.lit(target).alias("target"), "source_max_key")
-        union = state if union is None else union.unionByName(state)
+STATE = "source string, row_count long, checksum string"
+WINDOW = "(window)"
+
+
+def source_state(src: Tables, p: Params) -> DataFrame:
+    """Rows and an order-free checksum of every source, and the window of the run."""
+    window = f"{p.start_key} {p.end_key} {p.start_date} {p.end_date}"
+    spark = src("calendar").sparkSession
+    union = spark.range(1).select(F.lit(WINDOW).alias("source"), F.lit(1).cast("long").alias("row_count"), F.lit(window).alias("checksum"))
+    for source in SOURCE_TABLES:
+        df = src(source)
+        content = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string")
+        union = union.unionAll(df.agg(F.lit(source).alias("source"), F.count("*").alias("row_count"), content.alias("checksum")))
     return union
 
 
-def refresh_status(src: Tables, sink: Sink) -> DataFrame:
-    """Per stored fact: newest date key of the source now and at the last refresh, and whether to refresh."""
-    now = source_state(src)
+def refresh_status(src: Tables, p: Params, sink: Sink) -> DataFrame:
+    """Per source, and for the window: rows now and at the last refresh, and whether it calls for a refresh.
+
+    Any row that was added, removed or altered does, whatever its date, and so does another window.
+    """
+    now = source_state(src, p)
     last = sink.read("refresh_state")
     if last is None:
-        stored = now.withColumn("stored_max_key", F.lit(None).cast("int"))
-    else:
-        stored = now.join(last.withColumnRenamed("source_max_key", "stored_max_key"), "target", "left")
-    stale = F.col("stored_max_key").isNull() | (F.col("source_max_key") > F.col("stored_max_key"))
-    return stored.withColumn("needs_refresh", F.coalesce(stale, F.lit(False)))
+        last = now.sparkSession.createDataFrame([], STATE)
+    stored = last.select("source", F.col("row_count").alias("stored_count"), F.col("checksum").alias("stored_checksum"))
+    same = (F.col("row_count") == F.col("stored_count")) & F.col("checksum").eqNullSafe(F.col("stored_checksum"))
+    joined = now.join(stored, "source", "left")
+    return joined.select("source", "row_count", "stored_count", (~F.coalesce(same, F.lit(False))).alias("needs_refresh"))
 
 
 def refresh_if_needed(src: Tables, p: Params, sink: Sink) -> bool:
-    """Run the full refresh only where a source has newer days than the stored tables."""
-    needed = not refresh_status(src, sink).where("needs_refresh").isEmpty()
+    """Run the full refresh only if a source or the window has changed since the stored tables were made."""
+    needed = not refresh_status(src, p, sink).where("needs_refresh").isEmpty()
     if needed:
         refresh_tables(src, p, sink)
     return needed

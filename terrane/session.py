@@ -45,6 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that no later step reads. Spark has no call for it but the file system's own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def in_parallel(steps: Mapping[str, Callable[[], T]], threads: int = 6) -> dict[str, T]:
     """Run independent steps from several threads, so that small jobs share the executors."""
     own_thread = inheritable_thread_target(SparkSession.active())
@@ -77,5 +83,8 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Remove a table of this run that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.path(name))
+
+    def clear(self) -> None:
+        """Remove all tables of this run."""
+        remove_folder(self.spark, self.root)

@@ -1,7 +1,9 @@
 """Refresh, freshness and export."""
 
+from dataclasses import replace
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.params import Params
@@ -15,16 +17,29 @@ def test_refresh_only_when_needed(spark, derived, tmp_path):
     sink = refresh.FolderSink(spark, str(tmp_path / "out"))
     assert refresh.refresh_if_needed(derived, P, sink)
     assert not refresh.refresh_if_needed(derived, P, sink)
-    assert all(not r["needs_refresh"] for r in refresh.refresh_status(derived, sink).collect())
-
-    def newer(table):
-        df = derived(table)
-        return df.withColumn("order_date_key", F.col("order_date_key") + 10) if table == "order_line" else df
-
-    status = {r["target"]: r["needs_refresh"] for r in refresh.refresh_status(newer, sink).collect()}
-    assert status == {"order_facts": True, "search_sessions": False}
     stored = sink.read("search_sessions")
     assert stored.where(F.col("session_search_date_key") == 20240110).count() > 0
+    before = stored.count()
+    shorter = replace(P, end_key=20240110, end_date=date(2024, 1, 10))
+    assert refresh.refresh_if_needed(derived, shorter, sink)
+    assert sink.read("search_sessions").count() < before
+    emptied = lambda table: derived(table).limit(0) if table == "dma_district" else derived(table)
+    status = {r["source"]: r["needs_refresh"] for r in refresh.refresh_status(emptied, shorter, sink).collect()}
+    assert [name for name, stale in status.items() if stale] == ["dma_district"] and len(status) == 16
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    sink = refresh.FolderSink(spark, str(tmp_path / "out"))
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
+    sink.replace("t", df)
+    with pytest.raises(Exception, match="no such row"):
+        sink.replace("t", df.withColumn("name", F.when(F.col("k") == 2, F.raise_error(F.lit("no such row"))).otherwise(F.col("name"))))
+    assert [tuple(r) for r in sink.read("t").orderBy("k").collect()] == [(1, "a"), (2, "b")]
+    for n in range(3):
+        sink.replace("t", df.where(f"k > {n}"))
+    assert sink.read("t").count() == 0
+    folders = [p.name for p in (tmp_path / "out" / "t").iterdir() if not p.name.startswith((".", "_"))]
+    assert len(folders) <= 3  # two versions, and what the failed job left
 
 
 def test_replace_overwrites_and_keeps_column_order(spark, tmp_path):
