@@ -227,7 +227,7 @@ K = round(3 * P.perplexity)
 STEPS["near"] = f"""
 SELECT id, other, rank, distance FROM (
   SELECT a.geo AS id, b.geo AS other, sqrt(sum(power(a.weight - b.weight, 2))) AS distance,
-    row_number() OVER (PARTITION BY a.geo ORDER BY round(sum(power(a.weight - b.weight, 2)), 12), b.geo) AS rank
+    row_number() OVER (PARTITION BY a.geo ORDER BY sum(power(a.weight - b.weight, 2)), b.geo) AS rank
   FROM {W} a JOIN {W} b ON b.theme = a.theme AND b.geo <> a.geo GROUP BY a.geo, b.geo)
 WHERE rank <= {K}"""
 

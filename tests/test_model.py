@@ -1,5 +1,6 @@
 """Model operators against plain numpy on small inputs."""
 
+import glob
 import math
 
 import numpy as np
@@ -22,7 +23,7 @@ def brute_neighbours(values, k):
     d2 = ((values[:, None, :] - values[None, :, :]) ** 2).sum(axis=2)
     found = {}
     for i, row in enumerate(d2):
-        order = sorted((round(d, 12), j) for j, d in enumerate(row) if j != i)
+        order = sorted((d, j) for j, d in enumerate(row) if j != i)
         found[i] = [j for _, j in order[:k]]
     return found
 
@@ -57,6 +58,35 @@ def test_neighbours_with_a_third_of_equal_points(spark, ws):
     assert sorted(r["id"] for r in kept.collect()) == [0, *range(30, 90)]
 
 
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e7])
+def test_neighbours_do_not_depend_on_the_unit(spark, ws, scale):
+    values = np.random.default_rng(11).normal(size=(60, 3)) * scale
+    df = neighbours.nearest_neighbours(point_table(spark, values), COORDS, 5, ws, 8)
+    assert grouped(df) == brute_neighbours(values, 5)
+
+
+def test_visits_stay_flat_when_points_grow(spark, ws):
+    """Chunks visited by a point, for ten times the points, and with an upper tree that is too small for them."""
+    per_point = []
+    for n in (400, 4000):
+        values = np.random.default_rng(n).uniform(size=(n, 2))
+        own_ws = ws.child(str(n))
+        points = point_table(spark, values)
+        found = neighbours.nearest_neighbours(points, COORDS[:2], 4, own_ws, 16)
+        assert found.count() == 4 * n
+        saved = glob.glob(f"{own_ws.root.removeprefix('file:')}/neighbours-*/visits")
+        per_point.append(spark.read.parquet(saved[0]).count() / n)
+    assert per_point[1] < 2 * per_point[0] + 1
+
+
+def test_small_leaves_are_joined():
+    counts = np.array([3, 40, 0, 0, 50, 60, 9, 30])
+    stands_for = neighbours._merged(counts, 4)
+    sizes = {leaf: counts[stands_for == leaf].sum() for leaf in set(stands_for.tolist())}
+    assert min(sizes.values()) > 4 and sum(sizes.values()) == counts.sum()
+    assert stands_for[4] == 4 and stands_for[5] == 5
+
+
 def test_neighbours_of_fewer_points_than_asked(spark, ws):
     values = np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 0.0]])
     df = neighbours.nearest_neighbours(point_table(spark, values), COORDS[:2], 10, ws, 1)
