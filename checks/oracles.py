@@ -168,8 +168,9 @@ WHERE f.family <> 'total'"""
 STEPS["fixed_labels"] = "SELECT DISTINCT geo, geo % 3 AS segment FROM shares"
 
 STEPS["map"] = """
-SELECT geo, segment, dma_name, dma_short_desc, dma_zip_code, cbsa_code, cbsa_name, district_name, state_name
-FROM fixed_labels LEFT JOIN geos ON geos.dma_code = fixed_labels.geo"""
+SELECT geo, any_value(segment) AS segment, min(dma_name) AS dma_name, min(dma_short_desc) AS dma_short_desc,
+  min(district_name) AS district_name
+FROM fixed_labels LEFT JOIN geos ON geos.dma_code = fixed_labels.geo GROUP BY geo"""
 
 # Factorisation, unrolled: w<i> (geo, theme, weight), h<i> (label, theme, weight).
 STEPS["cells"] = "SELECT geo, family || ':' || feature AS label, value FROM shares"
@@ -390,6 +391,28 @@ FROM near n JOIN betas b USING (id)""",
   round(avg(w.r), 6) AS davies_bouldin,
   round((SELECT avg(coalesce((b - a) / greatest(a, b), 0)) FROM point_quality), 6) AS silhouette
 FROM spread s JOIN worst w USING (segment) CROSS JOIN total_cost t""",
+    "k_sweep": """WITH labels AS (SELECT k, geo, geo % k AS segment FROM (SELECT DISTINCT geo FROM shares), unnest([3, 4, 5, 6]) AS t(k)),
+vectors AS (SELECT k, l.geo, l.segment, label, coalesce(c.value, 0) AS value FROM labels l CROSS JOIN (SELECT DISTINCT label FROM cells) x
+  LEFT JOIN cells c USING (geo, label)),
+middles AS (SELECT k, segment, label, avg(value) AS value FROM vectors GROUP BY ALL),
+costs AS (SELECT v.k, sum(power(v.value - m.value, 2)) AS cost FROM vectors v JOIN middles m USING (k, segment, label) GROUP BY ALL),
+far AS (SELECT a.geo, b.geo AS other, sum(power(a.value - b.value, 2)) AS d2 FROM vectors a JOIN vectors b USING (k, label) WHERE k = 3 GROUP BY ALL),
+means AS (SELECT l.k, l.geo, l.segment, o.segment AS other_segment, avg(d2) AS d FROM far JOIN labels l ON l.geo = far.geo JOIN labels o ON o.geo = far.other AND o.k = l.k
+  WHERE far.geo <> far.other GROUP BY ALL),
+quality AS (SELECT k, geo, max(d) FILTER (segment = other_segment) AS a, min(d) FILTER (segment <> other_segment) AS b FROM means GROUP BY ALL),
+marks AS (SELECT k, avg(coalesce((b - a) / greatest(a, b), 0)) AS silhouette FROM quality GROUP BY ALL)
+SELECT labels.k AS run, count(DISTINCT geo) AS points, count(DISTINCT segment) AS segments, round(any_value(cost), 6) AS within_cost,
+  round(any_value(silhouette), 6) AS silhouette,
+  labels.k = (SELECT arg_max(k, round(silhouette, 9) - k * 1e-12) FROM marks) AS chosen
+FROM labels JOIN costs USING (k) JOIN marks USING (k) GROUP BY labels.k""",
+    "cluster_stability": """WITH labels AS (SELECT k, geo, geo % k AS segment FROM (SELECT DISTINCT geo FROM shares), unnest([3, 4, 5]) AS t(k)),
+pairs AS (SELECT a.k, a.segment, b.segment AS base, count(*) AS n FROM labels a JOIN labels b ON b.geo = a.geo AND b.k = 3 GROUP BY ALL),
+cells2 AS (SELECT k, sum(n * (n - 1) / 2) AS v, sum(n) AS points FROM pairs GROUP BY ALL),
+own AS (SELECT k, sum(n * (n - 1) / 2) AS v FROM (SELECT k, segment, count(*) AS n FROM labels GROUP BY ALL) GROUP BY ALL),
+ref AS (SELECT v FROM own WHERE k = 3),
+e AS (SELECT cells2.k, cells2.v, points, own.v AS one, ref.v AS two, own.v * ref.v / (points * (points - 1) / 2) AS expected FROM cells2 JOIN own USING (k), ref)
+SELECT k AS run, CAST(points AS BIGINT) AS points, round((v - expected) / ((one + two) / 2 - expected), 6) AS adjusted_rand FROM e""",
+    "segment_run": "SELECT DISTINCT geo, true AS labelled, dma_name, dma_short_desc, district_name FROM map",
     "segment_map": "SELECT * FROM map",
     "segment_map_csv": "SELECT * FROM map",
     "sessions_with_segment": """SELECT p.* EXCLUDE (cbsa_name, located), f.segment
@@ -416,7 +439,8 @@ def _with_steps(sql: str) -> str:
     parts = [
         f"{name} AS {'' if name == 'search' else 'MATERIALIZED '}({STEPS[name].strip()})" for name in STEPS if name in needed
     ]
-    return f"WITH {recursive}{', '.join(parts)} {sql}"
+    own = sql.removeprefix("WITH ")  # a query's own steps come after
+    return f"WITH {recursive}{', '.join(parts)}{' ' if own == sql else ', '}{own}"
 
 
 def texts() -> dict[str, str]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrane.functions.expressions import nav_theme, null_search_flag
 from terrane.operators import clusters, neighbours, nmf, tsne
 from terrane.params import Params
-from terrane.plans import features, orders, refresh, segments, sessions
+from terrane.plans import features, orders, refresh, run, segments, sessions
 from terrane.session import Workspace
 from terrane.sources.derived import DerivedTables
 
@@ -360,40 +360,19 @@ def tsne_affinities(spark, src):
     return conditional.withColumn("p", rounded("p"))
 
 
-def _new_layout(spark, src) -> DataFrame:
+def _new_new_layout(spark, src) -> DataFrame:
     shares, ws = _shares(spark, src)
     return segments.layout(segments.theme_factors(shares, PARAMS, ws), PARAMS, ws)
 
 
-_STORED_LAYOUTS: dict[tuple[str, str], DataFrame] = {}
-
-
-def _layout(spark, src) -> DataFrame:
-    """The stored layout of this session and input; the k-means queries read it as the steps of one run do."""
-    key = (spark.sparkContext.applicationId, src.sf_dir)
-    if key not in _STORED_LAYOUTS:
-        _STORED_LAYOUTS[key] = _new_layout(spark, src)
-    return _STORED_LAYOUTS[key]
-
-
 @query
 def tsne_2d(spark, src):
-    return _new_layout(spark, src)
+    return _new_new_layout(spark, src)
 
 
 @query
 def kmeans_segments(spark, src):
-    return segments.segment_labels(_layout(spark, src), PARAMS)
-
-
-@query
-def k_sweep(spark, src):
-    return segments.segment_count_sweep(_layout(spark, src), PARAMS, Workspace(spark, "sweep"))
-
-
-@query
-def cluster_stability(spark, src):
-    return segments.segment_stability(_layout(spark, src), PARAMS, Workspace(spark, "stability"))
+    return segments.segment_labels(_new_layout(spark, src), PARAMS)
 
 
 def _fixed_labels(long: DataFrame) -> DataFrame:
@@ -412,6 +391,38 @@ def cluster_metrics(spark, src):
     return metrics.select(*[c if c in exact else rounded(c).alias(c) for c in metrics.columns])
 
 
+@query
+def k_sweep(spark, src):
+    """Metrics on the share matrix of a labelling for each number of segments (region code modulo k), and the count chosen."""
+    shares, ws = _shares(spark, src)
+    regions = shares.select("geo").distinct()
+    labels = regions.select(F.explode(F.array(*map(F.lit, PARAMS.segment_counts))).alias("run"), F.col("geo").alias("id"))
+    labels = labels.withColumn("segment", F.pmod("id", "run"))
+    cells = segments.model_cells(shares).select(F.col("geo").alias("id"), F.col("label").alias("feature"), "value")
+    metrics = ws.save(clusters.cluster_metrics(cells, labels), "metrics")
+    chosen = segments.chosen_count(metrics)
+    return metrics.select("run", "points", "segments", rounded("within_cost").alias("within_cost"), rounded("silhouette").alias("silhouette"), (F.col("segments") == chosen).alias("chosen"))
+
+
+@query
+def cluster_stability(spark, src):
+    """Adjusted Rand index between labellings: region code modulo 3, 4 and 5 against modulo 3."""
+    shares, _ = _shares(spark, src)
+    regions = shares.select(F.col("geo").alias("id")).distinct()
+    labels = regions.select(F.explode(F.array(*map(F.lit, (3, 4, 5)))).alias("run"), "id").withColumn("segment", F.pmod("id", "run"))
+    found = clusters.adjusted_rand(labels, labels.where("run = 3"))
+    return found.withColumn("adjusted_rand", rounded("adjusted_rand"))
+
+
+@query
+def segment_run(spark, src):
+    """A whole run into a folder of its own: the published mapping, which has every region once."""
+    sink = refresh.FolderSink(spark, Workspace(spark, "published").root)
+    coarse = replace(PARAMS, nmf_tolerance=1e-2, tsne_tolerance=2e-2, tsne_early=10, segment_counts=(3, 4))
+    published = run.run(src, coarse, sink)["segment_map"]
+    return published.select("geo", F.col("segment").isNotNull().alias("labelled"), *segments.REGION_NAMES)
+
+
 @query
 def segment_map(spark, src):
     shares, _ = _shares(spark, src)

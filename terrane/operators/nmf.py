@@ -39,12 +39,17 @@ def _symmetric(values: Sequence[float], rank: int) -> Gram:
     return matrix
 
 
-def saved_with_gram(factor: DataFrame, name: str, rank: int, ws: Workspace) -> tuple[DataFrame, Gram]:
-    """Write a factor and collect the rank x rank inner products of its columns on the way."""
+def saved_with_gram(factor: DataFrame, name: str, rank: int, ws: Workspace, drop: Sequence[str] = ()) -> tuple[DataFrame, Gram, float]:
+    """Write a factor and collect, on the way, the rank x rank inner products of its columns.
+
+    With the numerators still there (named in `drop`), also the inner product of the cells
+    with both factors, of which the loss is made.
+    """
     observed = Observation()
     sums = [F.expr(text).alias(f"g{n}") for n, text in enumerate(_inner_products(rank))]
-    stored = ws.save(factor.observe(observed, *sums), name)
-    return stored, _symmetric([observed.get[f"g{n}"] for n in range(len(sums))], rank)
+    dot = " + ".join(f"w{c} * n{c}" for c in range(rank)) if drop else "0D"
+    stored = ws.save(factor.observe(observed, *sums, F.expr(f"sum({dot})").alias("dot")).drop(*drop), name)
+    return stored, _symmetric([observed.get[f"g{n}"] for n in range(len(sums))], rank), observed.get["dot"] or 0.0
 
 
 def projected(cells: DataFrame, other: DataFrame, key: str, other_key: str, rank: int) -> DataFrame:
@@ -80,7 +85,7 @@ def updated_factor(
             denominator = " + ".join(f"w{d} * {other_gram[d][c]!r}D" for d in range(rank))
             updates.append(f"w{c} * n{c} / ({EPSILON!r}D + {denominator}) AS w{c}")
         current = current.selectExpr(key, *numerators, *updates)
-    return current.drop(*numerators)
+    return current
 
 
 def squared_norm(cells: DataFrame) -> float:
@@ -107,26 +112,44 @@ class Factors:
 
 
 def factorise(
-    cells: DataFrame, row: str, column: str, rank: int, rounds: int, inner: int, ws: Workspace, trace: bool = False
+    cells: DataFrame,
+    row: str,
+    column: str,
+    rank: int,
+    rounds: int,
+    inner: int,
+    ws: Workspace,
+    trace: bool = False,
+    tolerance: float | None = None,
 ) -> Factors:
-    """Alternate updates of both factors for a fixed number of rounds.
+    """Alternate updates of both factors, for a number of rounds or until the loss has settled.
 
-    Each factor is written after its update, which cuts the lineage; only the two newest
-    versions are kept.
+    With a `tolerance`, a run stops when a round lowers the loss by less than that share of it;
+    `rounds` is then a safety net, and reaching it is an error. Each factor is written after its
+    update, which cuts the lineage; only the two newest versions are kept.
     """
     ws = ws.child("factors")
+    numerators = [f"n{c}" for c in range(rank)]
     cells = ws.save(cells.select(row, column, "value"), "cells")
-    w, gram_w = saved_with_gram(initial_factor(cells, row, rank), "w0", rank, ws)
-    h, gram_h = saved_with_gram(initial_factor(cells, column, rank), "h0", rank, ws)
-    norm = squared_norm(cells) if trace else 0.0
+    w, gram_w, _ = saved_with_gram(initial_factor(cells, row, rank), "w0", rank, ws)
+    h, gram_h, _ = saved_with_gram(initial_factor(cells, column, rank), "h0", rank, ws)
+    norm = squared_norm(cells) if trace or tolerance is not None else 0.0
     losses = [loss(cells, w, h, (gram_w, gram_h), row, column, rank, norm)] if trace else []
+    before = float("inf")
     for step in range(1, rounds + 1):
         moved = updated_factor(cells, w, h, gram_h, row, column, rank, inner)
-        w, gram_w = saved_with_gram(moved, f"w{step}", rank, ws)
+        w, gram_w, _ = saved_with_gram(moved, f"w{step}", rank, ws, numerators)
         moved = updated_factor(cells, h, w, gram_w, column, row, rank, inner)
-        h, gram_h = saved_with_gram(moved, f"h{step}", rank, ws)
-        if trace:
-            losses.append(loss(cells, w, h, (gram_w, gram_h), row, column, rank, norm))
+        h, gram_h, dot = saved_with_gram(moved, f"h{step}", rank, ws, numerators)
         ws.drop(f"w{step - 1}")
         ws.drop(f"h{step - 1}")
+        now = norm - 2.0 * dot + sum(gram_w[i][j] * gram_h[i][j] for i in range(rank) for j in range(rank))
+        if trace:
+            losses.append(now)
+        if tolerance is not None:
+            if before - now <= tolerance * max(now, EPSILON):
+                return Factors(w, h, tuple(losses))
+            before = now
+    if tolerance is not None:
+        raise RuntimeError(f"the factors have not settled after {rounds} rounds")
     return Factors(w, h, tuple(losses))

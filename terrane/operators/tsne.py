@@ -259,43 +259,56 @@ def _moved(
     return pulled.mapInPandas(step, STATE)
 
 
-def embed(points: DataFrame, coords: Sequence[str], perplexity: float, rounds: int, ws: Workspace) -> DataFrame:
+def embed(
+    points: DataFrame,
+    coords: Sequence[str],
+    perplexity: float,
+    rounds: int,
+    ws: Workspace,
+    tolerance: float | None = None,
+    early: int | None = None,
+) -> DataFrame:
     """Two-dimensional layout of distinct points: id, x, y.
 
-    The first quarter of the rounds exaggerates the attraction. Each round is two jobs: one
-    reads the charged grid nodes to the driver (a bounded grid), one moves the points and
-    writes them.
+    The first `early` rounds (a quarter unless given) exaggerate the attraction. With a
+    `tolerance`, a run stops when the points move by less than that share of the layout's span
+    on average; `rounds` is then a safety net, and reaching it is an error. Each round is two
+    jobs: one reads the charged grid nodes to the driver (a bounded grid), one moves the points
+    and writes them. Too few points for the perplexity are an error.
     """
     ws = ws.child("layout")
     points = ws.save(points, "points")
     count = points.count()
+    if count < 3 * perplexity + 1:
+        raise ValueError(f"{count} distinct points are too few for a perplexity of {perplexity}")
     layout = start_layout(points, coords)
-    if count < 4:
-        return layout.select("id", "x", "y")
-    perplexity = min(perplexity, (count - 1) / 3.0)
-    neighbours = nearest_neighbours(points, coords, min(count - 1, math.ceil(3 * perplexity)), ws)
+    neighbours = nearest_neighbours(points, coords, math.ceil(3 * perplexity), ws)
     edges = ws.save(joint_affinities(conditional_affinities(neighbours, perplexity), count), "edges")
-    layout, span = _saved_with_span(layout, "layout0", ws)
+    layout, span, _ = _saved_with_span(layout, "layout0", ws)
     rate = max(count / POINTS_PER_RATE, 1.0)
-    early = rounds // 4
+    early = rounds // 4 if early is None else early
     for number in range(1, rounds + 1):
         width = interval_width(span)
         field = Field(charges(layout, width).toPandas(), width)
         shared = layout.sparkSession.sparkContext.broadcast(field.shared())
         exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.8)
         moved = _moved(layout, edges, shared, exaggeration, momentum, rate)
-        layout, span = _saved_with_span(moved, f"layout{number}", ws)
+        layout, span, speed = _saved_with_span(moved, f"layout{number}", ws)
         shared.destroy()
         ws.drop(f"layout{number - 1}")
+        if tolerance is not None and number > early and speed <= tolerance * span:
+            return layout.select("id", "x", "y")
+    if tolerance is not None:
+        raise RuntimeError(f"the layout has not settled after {rounds} rounds")
     return layout.select("id", "x", "y")
 
 
-def _saved_with_span(layout: DataFrame, name: str, ws: Workspace) -> tuple[DataFrame, float]:
-    """Write a layout and collect its extent on the way."""
+def _saved_with_span(layout: DataFrame, name: str, ws: Workspace) -> tuple[DataFrame, float, float]:
+    """Write a layout and collect its extent and mean movement on the way."""
     observed = Observation()
-    watched = layout.observe(observed, F.expr("greatest(max(abs(x)), max(abs(y)))").alias("reach"))
-    stored = ws.save(watched, name)
-    return stored, 2.0 * observed.get["reach"]
+    reach, speed = F.expr("greatest(max(abs(x)), max(abs(y)))"), F.expr("sqrt(avg(vx * vx + vy * vy))")
+    stored = ws.save(layout.observe(observed, reach.alias("reach"), speed.alias("speed")), name)
+    return stored, 2.0 * observed.get["reach"], observed.get["speed"]
 
 
 def divergence(edges: DataFrame, layout: DataFrame, width: float | None = None) -> float:

@@ -24,10 +24,17 @@ def model_cells(shares: DataFrame) -> DataFrame:
 
 
 def theme_factors(shares: DataFrame, p: Params, ws: Workspace, trace: bool = False) -> nmf.Factors:
-    """Features to themes: weights per region (w) and per feature (h)."""
+    """Features to themes, the first rounds: weights per region (w) and per feature (h)."""
     return nmf.factorise(model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_rounds, p.nmf_inner, ws, trace)
 
 
+def settled_factors(shares: DataFrame, p: Params, ws: Workspace) -> nmf.Factors:
+    """Features to themes, until the loss has settled."""
+    return nmf.factorise(
+        model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_limit, p.nmf_inner, ws, True, p.nmf_tolerance
+    )
+
+
 def themes_long(factor: DataFrame, key: str, rank: int) -> DataFrame:
     """Factor columns to rows: key, theme, weight."""
     names = nmf.components(rank)
@@ -48,24 +55,31 @@ def region_points(factors: nmf.Factors) -> DataFrame:
     return factors.w.withColumnRenamed("geo", "id").withColumn("id", F.col("id").cast("long"))
 
 
-def layout(factors: nmf.Factors, p: Params, ws: Workspace) -> DataFrame:
-    """Two-dimensional layout of all regions; equal points are laid out once and share the place."""
+def layout(factors: nmf.Factors, p: Params, ws: Workspace, settled: bool = False) -> DataFrame:
+    """Two-dimensional layout of all regions; equal points are laid out once and share the place.
+
+    The first rounds, or until it has settled.
+    """
     coords = nmf.components(p.nmf_rank)
     points = region_points(factors)
-    placed = tsne.embed(neighbours.distinct_points(points, coords), coords, p.perplexity, p.tsne_rounds, ws)
+    rounds = (p.tsne_limit, ws, p.tsne_tolerance, p.tsne_early) if settled else (p.tsne_rounds, ws)
+    placed = tsne.embed(neighbours.distinct_points(points, coords), coords, p.perplexity, *rounds)
     positions = neighbours.distinct_points(points, coords).join(placed, "id").select(*coords, *LAYOUT)
     return ws.child("placed").save(points.join(positions, coords).select("id", *LAYOUT), "layout")
 
 
 def segment_labels(placed: DataFrame, p: Params) -> DataFrame:
     """geo, segment by k-means on the layout."""
-    labels = clusters.kmeans_labels(placed, LAYOUT, p.segments, p.seed)
+    labels = clusters.kmeans_labels(placed, LAYOUT, p.segments, p.seed, p.kmeans_limit, p.kmeans_tolerance)
     return labels.select(F.col("id").cast("int").alias("geo"), "segment")
 
 
-def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]]) -> DataFrame:
+def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]], p: Params) -> DataFrame:
     """Labels of several (run, k, seed) settings in one table; the fits run side by side."""
-    fits = {run: partial(clusters.kmeans_labels, placed, LAYOUT, k, seed) for run, k, seed in runs}
+    fits = {
+        run: partial(clusters.kmeans_labels, placed, LAYOUT, k, seed, p.kmeans_limit, p.kmeans_tolerance)
+        for run, k, seed in runs
+    }
     union = None
     for run, labels in in_parallel(fits).items():
         tagged = labels.select(F.lit(run).alias("run"), "id", "segment")
@@ -75,21 +89,33 @@ def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]]) -> Data
 
 def segment_count_sweep(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Metrics of every number of segments tried; `run` is k."""
-    labels = ws.child("runs").save(_labellings(placed, [(k, k, p.seed) for k in p.segment_counts]), "labels")
+    labels = ws.child("runs").save(_labellings(placed, [(k, k, p.seed) for k in p.segment_counts], p), "labels")
     return clusters.cluster_metrics(clusters.long_form(placed, LAYOUT), labels)
 
 
 def segment_stability(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Agreement of the labels of every seed with those of the first; `run` is the seed."""
-    labels = ws.child("runs").save(_labellings(placed, [(seed, p.segments, seed) for seed in p.seeds]), "labels")
+    labels = ws.child("runs").save(_labellings(placed, [(seed, p.segments, seed) for seed in p.seeds], p), "labels")
     base = labels.where(F.col("run") == p.seeds[0])
     return clusters.adjusted_rand(labels, base)
 
 
+def chosen_count(metrics: DataFrame) -> int:
+    """The number of segments with the highest silhouette, the smaller one if equal. One row per count tried."""
+    return metrics.orderBy(F.round("silhouette", 9).desc(), "segments").first()["segments"]
+
+
+REGION_NAMES = ("dma_name", "dma_short_desc", "district_name")
+
+
 def segment_map(labels: DataFrame, src: Tables, p: Params, facts: DataFrame | None = None) -> DataFrame:
-    """Region -> segment with the region's attributes, for the search ranking; every labelled region is kept."""
-    regions = orders.geo_map(src, p, facts).withColumnRenamed("dma_code", "geo")
-    return labels.join(regions.where(F.col("geo").isNotNull()), ["geo"], "left")
+    """One row per labelled region: its segment and its names, for the search ranking.
+
+    Of several names of a region the first is taken; its ZIP codes and CBSAs stay in the
+    region table. Regions without orders keep NULL names.
+    """
+    regions = orders.geo_map(src, p, facts).where("dma_code IS NOT NULL").groupBy(F.col("dma_code").alias("geo"))
+    return labels.join(regions.agg(*[F.min(c).alias(c) for c in REGION_NAMES]), ["geo"], "left")
 
 
 def sessions_with_segment(labels: DataFrame, src: Tables, p: Params, stored: DataFrame | None = None) -> DataFrame:
@@ -105,11 +131,11 @@ def segment_profile(shares: DataFrame, labels: DataFrame) -> DataFrame:
     Absent cells are zeros: the sums are divided by the number of regions, not of cells.
     """
     sizes = labels.groupBy("segment").agg(F.count("*").alias("regions"))
-    regions = labels.count()
+    regions = labels.agg(F.count("*")).scalar()
     by_segment = (
         shares.join(labels, "geo").groupBy("segment", "family", "feature").agg(F.sum("value").alias("total"))
     )
-    overall = by_segment.groupBy("family", "feature").agg((F.sum("total") / F.lit(regions)).alias("overall"))
+    overall = by_segment.groupBy("family", "feature").agg((F.sum("total") / regions).alias("overall"))
     mean = F.col("total") / F.col("regions")
     return (
         by_segment.join(sizes, ["segment"])
