@@ -29,7 +29,7 @@ def brute(rows, queries, k):
     return sorted(out, key=lambda x: x[:2])
 
 
-@pytest.mark.parametrize("seed,block_terms,shard", [(1, 10_000, 1 << 20), (2, 30, 2000), (3, 1, 1)])
+@pytest.mark.parametrize("seed,block_terms,shard", [(1, 10_000, 1 << 20), (2, 60, 3000)])
 def test_best_k(docs_of, llm_ws, monkeypatch, seed, block_terms, shard):
     monkeypatch.setattr(search, "SHARD_BYTES", shard)
     random.seed(seed)
