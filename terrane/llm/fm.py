@@ -80,6 +80,15 @@ def statistics(data: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.
     return np.stack(columns, axis=1)
 
 
+def sliced_features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`features` of a long column, by slices, so that memory follows the entries and not the bytes."""
+    parts = [features(b.column(0), buckets) for b in slices([pa.RecordBatch.from_arrays([column], names=["text"])])]
+    ends = np.cumsum([p[2][-1] for p in parts])
+    first = np.concatenate([[0], *(p[2][1:] + e - p[2][-1] for p, e in zip(parts, ends))])
+    bucket, share, stats = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
+    return bucket.astype(np.int32), share, first, stats
+
+
 def features(batch: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, share of the text's words, first entry per text, statistics) of a column of texts."""
     data, rows = text_bytes(batch)
@@ -140,7 +149,7 @@ def fit(column: pa.Array, target: np.ndarray, settings: Settings) -> Machine:
     if target.min() == target.max():
         machine.factors[:] = 0
         return machine
-    bucket, value, first, stats = features(column, settings.buckets)
+    bucket, value, first, stats = sliced_features(column, settings.buckets)
     machine.centre, machine.spread = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
     which, value, texts = machine.inputs(bucket, value, first, stats)
     order = np.argsort(texts, kind="stable")
