@@ -153,7 +153,8 @@ def fit(column: pa.Array, target: np.ndarray, settings: Settings) -> Machine:
     machine.centre, machine.spread = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
     which, value, texts = machine.inputs(bucket, value, first, stats)
     order = np.argsort(texts, kind="stable")
-    which, value, texts = which[order], value[order], texts[order]
+    which, value, texts = which[order].astype(np.int32), value[order].astype(np.float32), texts[order].astype(np.int32)
+    del bucket, first, stats, order
     bounds = np.searchsorted(texts, np.arange(len(target) + 1))
     theta = np.concatenate([machine.weights[:, None], machine.factors], axis=1)
     mean, var, step = np.zeros_like(theta), np.zeros_like(theta), 0
