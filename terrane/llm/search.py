@@ -7,7 +7,9 @@ is the same in every shard and the shards' best k merge to the exact best k.
 In a shard, the postings of a query's rarer terms are added up first. For its common terms,
 blocks of neighbouring documents hold the greatest contribution of each term. A document's
 rare sum plus its block's greatest contributions bounds its score from above, and documents are
-scored in the order of that bound until it falls below the k-th best score so far.
+scored in the order of that bound until it falls below the k-th best score so far. Each query
+starts from the k-th best score of an eighth of the corpus, which no better result can be below,
+so most shards score and return next to nothing for it.
 
 Queries go in blocks of a bounded number of terms; each block is one pass over the corpus, with
 the block's terms sent to all tasks.
@@ -15,6 +17,7 @@ the block's terms sent to all tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,9 +31,10 @@ from terrane.session import Workspace
 K1, B = 1.2, 0.75
 BLOCK_TERMS = 2_000_000  # terms of a block of queries, all queries counted
 SHARD_BYTES = 24 << 20  # of text
-BLOCK_DOCS = 16
+BLOCK_DOCS = 4
 COMMON = 20  # a term is common if more than one document of so many has it
-MARGIN = 1e-9  # relative, for rounding in bounds
+SEEDS = 8  # one document of so many is searched first
+MARGIN = 1e-5  # relative, for rounding in bounds, which are kept in single precision
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -55,6 +59,12 @@ class Shard:
     def __init__(self, doc: np.ndarray, term: np.ndarray, length: np.ndarray, idf: np.ndarray, mean_length: float):
         n, width = len(length), len(idf)
         keys, tf = np.unique(doc.astype(np.int64) * width + term, return_counts=True)
+        self.order = self._alike_together(keys // width, keys % width, length, width)
+        place = np.empty(n, dtype=np.int64)
+        place[self.order] = np.arange(n)
+        keys, length = place[keys // width] * width + keys % width, length[self.order]
+        again = np.argsort(keys, kind="stable")
+        keys, tf = keys[again], tf[again]
         self.row_doc, self.row_term = keys // width, keys % width
         norm = K1 * (1 - B + B * length[self.row_doc] / mean_length)
         self.row_value = idf[self.row_term] * tf * (K1 + 1) / (tf + norm)
@@ -68,44 +78,71 @@ class Shard:
         self.common = np.flatnonzero(frequency * COMMON > n)
         self.place = np.full(width, -1)
         self.place[self.common] = np.arange(len(self.common))
-        self.greatest = np.zeros((len(self.common), blocks))
+        # Contributions of common terms, by document and greatest of each block.
+        self.dense = np.zeros((blocks * BLOCK_DOCS, len(self.common)), dtype=np.float32)
         for i, t in enumerate(self.common):
             own = slice(self.first[t], self.first[t + 1])
-            np.maximum.at(self.greatest[i], self.doc[own] // BLOCK_DOCS, self.value[own])
+            self.dense[self.doc[own], i] = self.value[own]
+        self.greatest = np.ascontiguousarray(self.dense.reshape(blocks, BLOCK_DOCS, -1).max(axis=1).T)
         self.scored = 0
 
+    @staticmethod
+    def _alike_together(doc: np.ndarray, term: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+        """An order of the documents in which neighbours share common terms and are of like length.
+
+        Blocks of such neighbours have close greatest contributions. The key is which of the
+        terms that about half of the documents have a document has, then its length.
+        """
+        n = len(length)
+        frequency = np.bincount(term, minlength=width)
+        telling = np.argsort(np.abs(2 * frequency - n), kind="stable")[:16]
+        signs = np.zeros((len(telling), n), dtype=bool)
+        for i, t in enumerate(telling):
+            signs[i, doc[term == t]] = True
+        groups = np.zeros(n, dtype=np.int64)
+        for sign in signs[:6]:
+            groups = groups * 2 + sign
+        return np.lexsort((length, groups))
+
     def exact(self, docs: np.ndarray) -> np.ndarray:
         """Scores of documents for the query in `weight`, always summed in the order of terms."""
         size = self.row_first[docs + 1] - self.row_first[docs]
         at = np.repeat(self.row_first[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
         values = self.row_value[at] * self.weight[self.row_term[at]]
-        self.scored += len(docs)
-        return np.array([values[e - s : e].sum() for s, e in zip(size, np.cumsum(size))]) if len(docs) else np.zeros(0)
+        return np.add.reduceat(np.append(values, 0.0), np.cumsum(size) - size) * (size > 0)
+
+    def best(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) from `floor` up: all that may be among the best k, ties with the last one included.
 
-    def best(self, terms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores): all that may be among the best k, ties with the last one included."""
+        Documents are numbered in the shard's order; `order` has their places as given.
+        """
         terms = terms[self.first[terms + 1] > self.first[terms]]
         is_common = self.place[terms] >= 0
         rare = terms[~is_common]
         size = self.first[rare + 1] - self.first[rare]
         at = np.repeat(self.first[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        bound = np.bincount(self.doc[at], self.value[at], self.n)
-        bound += np.repeat(self.greatest[self.place[terms[is_common]]].sum(axis=0), BLOCK_DOCS)[: self.n]
-        self.weight[terms] = 1
-        left = np.flatnonzero(bound > 0)
-        docs, scores, least, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 2 * k
+        sums = np.bincount(self.doc[at], self.value[at], self.n).astype(np.float64)
+        common = self.place[terms[is_common]]
+        bound = sums + np.repeat(self.greatest[common].sum(axis=0), BLOCK_DOCS)[: self.n]
+        least, step = floor * (1 - MARGIN), 2 * k
+        left = np.flatnonzero((bound > 0) & (bound * (1 + MARGIN) >= least))
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
         while len(left):
             left = left[bound[left] * (1 + MARGIN) >= least]
             take = left[np.argpartition(-bound[left], step)[:step]] if len(left) > step else left
-            docs, scores = np.concatenate([docs, take]), np.concatenate([scores, self.exact(take)])
+            self.scored += len(take)
+            docs, scores = np.concatenate([docs, take]), np.concatenate([scores, sums[take] + self.dense[take[:, None], common[None, :]].sum(axis=1)])
             if len(docs) > k:
-                least = np.partition(scores, -k)[-k]
+                least = max(least, np.partition(scores, -k)[-k] * (1 - MARGIN))
                 docs, scores = docs[scores >= least], scores[scores >= least]
             rest = np.ones(self.n, dtype=bool)
             rest[take] = False
             left, step = left[rest[left]], 2 * step
+        # Rounding depends on what is common here; the scores returned do not.
+        self.weight[terms] = 1
+        scores = self.exact(docs)
         self.weight[terms] = 0
-        keep = scores > 0
+        keep = (scores > 0) & (scores >= floor)
         return docs[keep], scores[keep]
 
 
@@ -161,21 +198,28 @@ def _searched(docs: DataFrame, block: list, k: int) -> DataFrame:
     queries = [(r["query_id"], np.array(sorted(place[t.encode()] for t in r["terms"]), dtype=np.int32)) for r in block]
     sent = spark.sparkContext.broadcast((queries, idf, total / max(n, 1)))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, idf, mean_length = sent.value
-        for ids, doc, term, length in _indexed(batches, vocabulary.value, SHARD_BYTES):
-            shard = Shard(doc, term, length, idf, max(mean_length, 1e-9))
-            asked, found, scores = [], [], []
-            for query, terms in queries:
-                docs, values = shard.best(terms, k)
-                asked.append(np.full(len(docs), query, dtype=np.int64))
-                found.append(docs)
-                scores.append(values)
-            if not asked:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asked)), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], names=["query_id", "doc_id", "score"])
-
-    return docs.mapInArrow(run, "query_id long, doc_id long, score double")
+    def scanned(rows: DataFrame, floors: dict[int, float]) -> DataFrame:
+        known = spark.sparkContext.broadcast(floors)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries, idf, mean_length = sent.value
+            floors = known.value
+            for ids, doc, term, length in _indexed(batches, vocabulary.value, SHARD_BYTES):
+                shard = Shard(doc, term, length, idf, max(mean_length, 1e-9))
+                found = [shard.best(terms, k, floors.get(query, 0.0)) for query, terms in queries]
+                asked = np.repeat(np.array([query for query, _ in queries], dtype=np.int64), [len(docs) for docs, _ in found])
+                docs = shard.order[np.concatenate([docs for docs, _ in found])] if found else np.zeros(0, np.int64)
+                scores = np.concatenate([values for _, values in found]) if found else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(asked), ids.take(pa.array(docs)), pa.array(scores)], names=["query_id", "doc_id", "score"])
+
+        return rows.mapInArrow(run, "query_id long, doc_id long, score double")
+
+    # The seeds are gathered in as few shards as they fill, about 8 bytes a word.
+    seeds = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SEEDS)) == 0).repartition(max(1, math.ceil(total * 8 / SEEDS / SHARD_BYTES)))
+    # One number for each query of the block.
+    ranked = scanned(seeds, {}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    floors = {r["query_id"]: r["score"] for r in ranked.where(F.col("rank") == k).select("query_id", "score").toLocalIterator()}
+    return scanned(docs, floors)
 
 
 def top_k(docs: DataFrame, queries: DataFrame, ws: Workspace, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
