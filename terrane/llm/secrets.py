@@ -12,13 +12,16 @@ Fisher's method combines them. Which tokens are kept is decided by a false-disco
 for each encoding and length class: the tokens above 1/2 tell how many random ones there are
 (theirs are spread evenly), so for each threshold t the share of others above t is known, and
 the lowest t with a share of at most `rate` is taken. Short tokens, where text is harder to
-tell from keys, so get a stricter threshold than long ones.
+tell from keys, so get a stricter threshold than long ones. A class with too few tokens above t
+to refuse it is judged with its neighbouring length classes, then its whole encoding; where
+these are too few as well, t must be at least LEAST_P.
 
 Everything is column functions. Only counts per encoding, length class and step are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +40,9 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 RATE = 0.1  # accepted share of ordinary tokens among those kept
 STEPS = 200  # of a p-value
 LONGEST_CLASS = 12  # length classes are powers of two; the last one holds all longer tokens
+ENOUGH = 20  # tokens above a threshold that are enough to refuse it
+NEIGHBOURS = (1, 2)  # length classes to either side whose counts are merged with a class that has fewer
+LEAST_P = 0.01  # lowest p kept where even the whole encoding has fewer
 
 # Standard alphabets.
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -166,14 +172,27 @@ def thresholds(scanned: DataFrame, rate: float = RATE) -> DataFrame:
     # Outer, so that the tokens are not computed a second time for a filter before it.
     tests = scanned.select(F.explode_outer("_tested.test").alias("test")).where("test IS NOT NULL")
     step = F.least(F.floor(F.col("test")["p"] * STEPS).cast("int"), F.lit(STEPS - 1))
-    counts = tests.groupBy(_key(F.col("test")).alias("class"), step.alias("step")).count()
-    # At most 7 encodings times 13 length classes times STEPS rows from here on.
-    own = Window.partitionBy("class")
-    above = F.sum("count").over(own.orderBy(F.desc("step")))
-    random = F.sum(F.when(F.col("step") >= STEPS // 2, F.col("count")).otherwise(0)).over(own) * 2
-    fit = counts.select("class", "step", above.alias("above"), random.alias("random")).where(F.col("step") <= STEPS // 2)
-    fit = fit.where(1 - F.col("random") * (1 - F.col("step") / STEPS) / F.col("above") <= rate)
-    least = fit.groupBy("class").agg((F.min("step") / STEPS).alias("least"))
+    counts = tests.groupBy(F.col("test")["encoding"].alias("encoding"), _length_class(F.col("test")).alias("length"), step.alias("step")).count()
+    # At most 7 encodings times 13 length classes times STEPS rows from here on. Steps without tokens count too.
+    classes = counts.groupBy("encoding", "length").agg(F.map_from_entries(F.collect_list(F.struct("step", "count"))).alias("seen"))
+    filled = classes.select("encoding", "length", "seen", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    filled = filled.withColumn("n0", F.coalesce(F.try_element_at("seen", F.col("step")), F.lit(0)))
+    near = Window.partitionBy("encoding", "step").orderBy("length")
+    # Ordinary tokens of another encoding say nothing about this one, so the merging ends with the encoding.
+    merged = [near.rangeBetween(-w, w) for w in NEIGHBOURS] + [Window.partitionBy("encoding", "step")]
+    filled = filled.withColumns({f"n{i}": F.sum("n0").over(w) for i, w in enumerate(merged, 1)})
+    own = Window.partitionBy("encoding", "length")
+    levels = range(len(merged) + 1)
+    above = {f"above{i}": F.sum(f"n{i}").over(own.orderBy(F.desc("step"))) for i in levels}
+    random = {f"random{i}": F.sum(F.when(F.col("step") >= STEPS // 2, F.col(f"n{i}")).otherwise(0)).over(own) * 2 for i in levels}
+    fit = filled.withColumns(above | random).where(F.col("step") <= STEPS // 2)
+    # Few tokens may let a threshold through, but only ENOUGH of them may refuse it; the rest is left to the next level.
+    kept = F.col("step") >= math.ceil(LEAST_P * STEPS)
+    for i in reversed(levels):
+        count = F.col(f"above{i}")
+        fits = (count > 0) & (count - F.col(f"random{i}") * (1 - F.col("step") / STEPS) <= count * rate)
+        kept = F.when(fits, True).when(count >= ENOUGH, False).otherwise(kept)
+    least = fit.where(kept).groupBy(F.concat_ws(":", "encoding", "length").alias("class")).agg((F.min("step") / STEPS).alias("least"))
     return least.agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("least"))
 
 

@@ -55,6 +55,43 @@ def test_p_values_are_about_even_under_randomness(docs_of):
         assert abs(sum(x < cut for x in p) / len(p) - cut) < 0.1
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# One alphabet per encoding that is no base pattern; the key begins with characters that only this encoding allows.
+RARE = {
+    "hex_upper": ("0123456789ABCDEF", "A1"),
+    "base32": (LETTERS + "234567", "Z2"),
+    "base62": (LETTERS + LETTERS.lower() + "0123456789", "zZ9"),
+    "base64": (LETTERS + LETTERS.lower() + "0123456789+/", "z9+/"),
+    "base64url": (LETTERS + LETTERS.lower() + "0123456789-_", "z9-_"),
+}
+
+
+def tested_keys(docs_of, tries=24):
+    """Random keys of each encoding in each length class: (encoding, length class, key, p)."""
+    rnd = random.Random(8)
+    made = [(e, c, begin + "".join(rnd.choice(a) for _ in range((24 << c >> 4) - len(begin)))) for e, (a, begin) in RARE.items() for c in range(4, 11) for _ in range(tries)]
+    tests = docs_of([(i, key) for i, (_, _, key) in enumerate(made)]).select("doc_id", secrets.battery(F.col("text")).alias("t")).select("doc_id", "t.*").collect()
+    p = {r.doc_id: r.p for r in tests}
+    assert all(r.encoding == made[r.doc_id][0] for r in tests)
+    return [(*m, p[i]) for i, m in enumerate(made)]
+
+
+@pytest.mark.parametrize("wanted", [0.1, 0.3, 0.8])
+def test_lone_key_of_each_encoding_and_length(docs_of, wanted):
+    lone = {}
+    for encoding, length, key, p in tested_keys(docs_of):
+        if abs(p - wanted) < abs(lone.get((encoding, length), ("", 9))[1] - wanted):
+            lone[encoding, length] = key, p
+    plain = [f"Version{i}-of-the-document-and-another-path-{i}" for i in range(60)]
+    keys = [key for key, _ in lone.values()]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + plain)]
+    found = {r.doc_id for r in secrets.scan(docs_of(rows)).where(F.size("found") > 0).collect()}
+    assert len(keys) == 35 and set(range(35)) <= found and len(found) <= 35 + 4
+    # Alone in the whole table, too.
+    row = secrets.scan(docs_of([(1, f"see {keys[0]} here")])).first()
+    assert [(s.start, s.end) for s in row.found] == [(4, 4 + len(keys[0]))]
+
+
 def test_masking(odd_docs, docs_of):
     rows = [(1, "é token='abcdefgh' x 0123456789abcdef01234567 𝄞"), (2, "clean text"), (3, None), (4, "token=0123456789abcdef01234567")]
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.masked(docs_of(rows)).collect()}
