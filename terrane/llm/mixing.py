@@ -5,7 +5,8 @@ fills the interval evenly at every prefix; cumulative target shares map it to a
 stretch of the schedule is near the target weights, whatever its length. Slots are ranked
 within their source, and rank r takes block r of the source: its documents in shuffled order,
 cut into blocks of equal numbers of words, over and over. A source's last slot stops at its
-target.
+target. As every turn of a source ends in a block that is not full, and a source may be smaller
+than a block, the slots that it still needs for its target come after the others.
 
 Running sums and ranks of a source that holds most rows never pass through one task: they are
 taken within hashed parts of the source or stretches of slots, whose sums are added up first.
@@ -83,6 +84,25 @@ def slots(sources: DataFrame, count: int = SLOTS) -> DataFrame:
     return ranked.select("slot", "source", (F.col("_ahead") + within - 1).alias("rank"))
 
 
+def added(sources: DataFrame, ranked: DataFrame, count: int = SLOTS) -> DataFrame:
+    """(slot, source, rank): the slots that `ranked` lacks for the sources to reach their targets.
+
+    `sources` holds (source, source_size, target, _block). A source lacks a few slots at most,
+    as it takes no more than REPEATS turns.
+    """
+    size, block, words = F.col("source_size"), F.col("_block"), F.floor(F.col("target") + 0.5)
+    turns = F.floor(words / size)
+    needed = turns * F.ceil(size / block) + F.ceil((words - turns * size) / block)
+    have = ranked.groupBy(F.col("source").alias("_of")).agg(F.count("*").alias("_have"))
+    lack = sources.where("target > 0").join(have, F.col("source").eqNullSafe(F.col("_of")), "left")
+    lack = lack.select("source", F.coalesce("_have", F.lit(0)).alias("_have"), needed.alias("_needed")).where("_needed > _have")
+    # One row per source here, as in targets().
+    before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    lack = lack.withColumn("_before", F.coalesce(F.sum(F.col("_needed") - F.col("_have")).over(before), F.lit(0)))
+    ranks = lack.withColumn("rank", F.explode(F.sequence(F.col("_have"), F.col("_needed") - 1)))
+    return ranks.select((F.col("_before") + F.col("rank") - F.col("_have") + count).alias("slot"), "source", "rank")
+
+
 def placed(rows: DataFrame, seed: int = 0) -> DataFrame:
     """`rows` (source, key, size) with `begin`, the words before each in its source's shuffled order.
 
@@ -114,7 +134,8 @@ def pieces(rows: DataFrame, seed: int = 0, count: int = SLOTS) -> DataFrame:
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / F.col("_block")), last))
     documents = documents.withColumn("block", F.explode_outer(blocks))
 
-    turn = slots(sources, count).join(about, same).drop("_of")
+    ranked = slots(sources, count)
+    turn = ranked.unionByName(added(sources, ranked, count)).join(about, same).drop("_of")
     per_source = F.ceil(F.col("source_size") / F.col("_block"))
     turn = turn.withColumn("_pass", F.floor(F.col("rank") / per_source)).withColumn("_turn", F.col("rank") % per_source)
     left = F.floor(F.col("target") + 0.5) - F.col("_pass") * F.col("source_size") - F.col("_turn") * F.col("_block")

@@ -140,6 +140,23 @@ def test_targets_and_mix(docs_of, seed):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("count", [8, 64, 1024])
+def test_sources_below_a_block_reach_their_targets(docs_of, count):
+    """Blocks of some 600, 70 and 5 words; sources of 6 to 3,000."""
+    texts = {"hot": 300, "b": 40, "c": 7, "d": 1, None: 2, "e": 90}
+    rows = [(i, " ".join(["w"] * (6 + i % 9)), "en", s) for i, s in enumerate(s for s, n in texts.items() for _ in range(n))]
+    docs = docs_of(rows)
+    taken, target = dict.fromkeys(texts, 0), {}
+    for r in mixing.mix(docs, count=count).collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = math.floor(r.target + 0.5)
+    assert taken == target and all(target.values())
+    assert {r.source for r in mixing.mixed(docs, count=count).select("source").distinct().collect()} == set(texts)
+    found = [r.slot for r in mixing.pieces(docs.select("source", F.col("doc_id").cast("string").alias("key"), mixing.word_count(F.col("text")).alias("size")), count=count).where("words > 0").select("slot", "source").distinct().collect()]
+    assert len(found) == len(set(found))
+
+
 def test_schedule_is_even_at_every_prefix(spark):
     sources = spark.createDataFrame([("a", 60.0), ("b", 30.0), (None, 10.0)], "source string, target double")
     slots = mixing.slots(sources, 4096).orderBy("slot").collect()
