@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__ as entry
 from checks import oracles, queries
 from checks.compare import duckdb_rows, rows_of
 from tests.conftest import SF_DIR
@@ -20,3 +21,9 @@ def test_same_rows_as_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(TEXTS) <= set(queries.registered())
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+def test_queries_without_sql_run(spark, name):
+    df = entry.queries()[name](spark, SF_DIR)
+    assert df.columns and df.collect()
