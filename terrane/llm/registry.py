@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import bpe, fm, hosts, mixing, quality_rules, search, secrets, simhash, suffix_repeats, superkmer
+from terrane.llm import bpe, fm, hosts, mixing, quality_rules, search, secrets, simhash, spelling, suffix_repeats, superkmer, toxicity, vector_codes
 from terrane.llm.text import table
 from terrane.session import Workspace
 
@@ -182,3 +182,97 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = fm.train(docs, table(spark, sf_dir, "labels"), settings)
     scored = fm.score(docs, machine, ["doc_id"])
     return scored.select("doc_id", fm.held_out().alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
+@query
+def op11_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), settings)
+    scored = toxicity.score(docs, classifier, ["doc_id"])
+    return scored.select("doc_id", fm.held_out().alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compressed(table(spark, sf_dir, "embeddings"), Workspace(spark, "op12"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Plain k-means: every part against every entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS (
+  SELECT vec_id, p, any_value(part) AS part, min(d) AS d, arg_min(e, d * 64 + e) AS e FROM (
+    SELECT vec_id, p, part, e, CAST(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM parts JOIN book{r} USING (p)
+  ) GROUP BY vec_id, p
+)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (
+  SELECT p, e, list(CAST(m AS BIGINT) ORDER BY i) AS entry FROM (
+    SELECT p, e, i, floor(sum(part[i]) / count(*)) AS m FROM near{r}, (SELECT unnest(range(1, w + 1)) AS i FROM dims) GROUP BY p, e, i
+  ) GROUP BY p, e
+), book{r + 1} AS (SELECT p, e, coalesce(m.entry, b.entry) AS entry FROM book{r} b LEFT JOIN mean{r} m USING (p, e))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), dims AS (SELECT max(len(v)) // 16 AS w FROM kept),
+parts AS (SELECT vec_id, p, list_slice(v, p * w + 1, p * w + w) AS part FROM kept, dims, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, e, part AS entry FROM (SELECT p, part, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 64),
+{", ".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+_SQL["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"))
+    return spelling.variants(words, Workspace(spark, "op13")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# Checksums byte by byte from the table of the polynomial; near words by what is left without one character.
+_SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS b)
+  )
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), hexed AS (SELECT run, doc_id, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+sums AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: (instr('0123456789ABCDEF', h[i]) - 1) * 16 + instr('0123456789ABCDEF', h[i + 1]) - 1)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM hexed, crc
+), written AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums
+), words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM written WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+skips AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS r(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM skips s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM skips s JOIN words w ON s.rest = w.word
+), ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS r FROM near
+), known AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON words.word = ranked.word AND r = 1
+), walk(word, here, next) AS (
+  SELECT word, word, form FROM known
+  UNION ALL SELECT walk.word, k.word, k.form FROM walk JOIN known k ON walk.next = k.word
+)
+SELECT known.word, form, here AS root, n, n_near, form_n FROM known JOIN walk ON known.word = walk.word AND walk.next IS NULL
+"""
