@@ -187,7 +187,7 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
-    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), settings)
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), Workspace(spark, "op11"), settings)
     scored = toxicity.score(docs, classifier, ["doc_id"])
     return scored.select("doc_id", fm.held_out().alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
 

@@ -5,11 +5,11 @@ value is the naive Bayes log-count ratio: the logarithm of how much more often t
 hold it than others, with pseudo-counts in the proportion of the classes, so that an unseen
 n-gram has 0. A logistic regression learns on top how far each ratio is to be trusted.
 
-1. Documents that hold each n-gram, per class, are counted over all labelled documents that are
-   not held out, combined within a task before the shuffle.
-2. N-grams whose ratio is `least_z` standard errors from 0 are features, at most `features`.
-3. The weights are fitted on a bounded sample of the same documents (`sample_rows`), in one task.
-4. Every text is scored in whole. A small table of bits sorts out most of its n-grams before the
+1. A bounded sample of the labelled documents that are not held out is stored (`sample_rows`).
+2. Its documents that hold each n-gram are counted per class, combined within a task before the shuffle.
+3. N-grams whose ratio is `least_z` standard errors from 0 are features, at most `features`.
+4. The weights are fitted on the sample, in one task.
+5. Every text is scored in whole. A small table of bits sorts out most of its n-grams before the
    features are searched.
 
 Features are told apart by a hash of 52 bits of their bytes. Presence does not grow with length, so a
@@ -30,6 +30,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terrane.llm.fm import held_out
 from terrane.llm.text import PrefixHash, slices, text_bytes
+from terrane.session import Workspace
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class Settings:
     sizes: tuple[int, ...] = (3, 4, 5)
     least_z: float = 4.0
     features: int = 1 << 12  # of the model, those furthest from 0 first
-    sample_rows: int = 6000  # labelled documents the weights are fitted on, smallest hashes of the id first
+    sample_rows: int = 6000  # labelled documents used for fitting, smallest hashes of the id first
     pseudo: float = 1.0
     rounds: int = 80
     rate: float = 0.05
@@ -116,12 +117,17 @@ def marked(labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
 
 
-def _learnt(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """(_id, text, _toxic) of at most `sample_rows` documents that may be learnt from."""
+    sample = marked(labels).orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(rows, "_id")
+    # At most `sample_rows` pairs of numbers: a bounded side, so that no other text is moved.
+    rows = texts.join(F.broadcast(sample), "_id")
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(settings.sample_rows)
+    return rows.repartition("_id")
 
 
-def counted(learnt: DataFrame, settings: Settings) -> DataFrame:
+def counted(sample: DataFrame, settings: Settings) -> DataFrame:
     """(key, toxic, other): documents of each class that hold an n-gram; key null: all documents."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +162,7 @@ def counted(learnt: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield merged()
 
-    sums = learnt.select("text", "_toxic").mapInArrow(run, "key long, toxic long, other long")
+    sums = sample.select("text", "_toxic").mapInArrow(run, "key long, toxic long, other long")
     return sums.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
@@ -206,32 +212,29 @@ def fit(column: pa.Array, target: np.ndarray, start: Classifier, settings: Setti
     return Classifier(start.sizes, start.keys, start.ratios, theta[:-1], float(theta[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Classifier:
-    """The classifier fitted on labelled documents that are not held out.
+def train(docs: DataFrame, labels: DataFrame, ws: Workspace, settings: Settings = Settings()) -> Classifier:
+    """The classifier fitted on a bounded sample of labelled documents that are not held out.
 
     A document with several labels is toxic if any of them is 1. Null labels, and labels without
     a document, are ignored; a null text is empty; documents that share an id, and repeated rows,
     are all used. Without labels, or with one class only, every text gets the same score. Other
     columns, whatever their names, are never read.
     """
-    rows = marked(labels)
-    keys, ratio, odds = ratios(counted(_learnt(docs, rows), settings), settings)
+    sample = ws.save(sampled(docs, labels, settings), "sample")
+    counts = ws.save(counted(sample, settings), "counts")
+    keys, ratio, odds = ratios(counts, settings)
     start = Classifier(settings.sizes, keys, ratio, np.full(len(keys), 1.0 / max(1, len(keys)) ** 0.5), odds)
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_rows)
-    # At most `sample_rows` pairs of numbers: a bounded side.
-    learnt = _learnt(docs, F.broadcast(sample)).select("_id", F.xxhash64("text").alias("_hash"), "text", "_toxic")
-    learnt = learnt.orderBy(F.xxhash64("_id"), "_id", "_hash").limit(settings.sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        texts = pa.concat_arrays([b.column(2).cast(pa.large_string()) for b in got]) if got else pa.array([], pa.large_string())
-        target = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in got]).astype(np.float64) if got else np.zeros(0)
+        texts = pa.concat_arrays([b.column(1).cast(pa.large_string()) for b in got]) if got else pa.array([], pa.large_string())
+        target = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in got]).astype(np.float64) if got else np.zeros(0)
         fitted = fit(texts, target, shared.value, settings)
         yield pa.RecordBatch.from_arrays([pa.array([fitted.weights.tolist()], pa.list_(pa.float64())), pa.array([fitted.bias])], names=["weights", "bias"])
 
     # A bounded number of weights, whatever the corpus.
-    fitted = learnt.coalesce(1).mapInArrow(run, "weights array<double>, bias double").first()
+    fitted = sample.coalesce(1).sortWithinPartitions("_id", "text").mapInArrow(run, "weights array<double>, bias double").first()
     if fitted is None:
         return start
     return Classifier(settings.sizes, keys, ratio, np.array(fitted["weights"], dtype=float), fitted["bias"])
