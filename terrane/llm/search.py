@@ -4,15 +4,23 @@ Documents are indexed in shards as they are scanned, so texts are never shuffled
 documents, lengths and document frequencies are counted over the whole corpus first, so a score
 is the same in every shard and the shards' best k merge to the exact best k.
 
-In a shard, the postings of a query's rarer terms are added up first. For its common terms,
-blocks of neighbouring documents hold the greatest contribution of each term. A document's
-rare sum plus its block's greatest contributions bounds its score from above, and documents are
-scored in the order of that bound until it falls below the k-th best score so far. Each query
-starts from the k-th best score of an eighth of the corpus, which no better result can be below,
-so most shards score and return next to nothing for it.
-
-Queries go in blocks of a bounded number of terms; each block is one pass over the corpus, with
-the block's terms sent to all tasks.
+In a shard, documents are numbered so that neighbours are alike, and cut into blocks of BLOCK_DOCS that
+all posting lists share; a list keeps the greatest contribution of its term in each block. A query
+walks over the blocks in order, document at a time within a block. Its pivot is the next block
+whose maxima, summed over the query's terms, reach the k-th best score so far; the blocks before
+it are skipped without a look at their documents. Rare terms have few postings, so their sums per
+document are exact and tighten the bound; common terms are held as one small matrix per block.
+A number of queries walks side by side, so that maxima and scores are products of matrices.
+Only the k best rows of a query leave a shard.
+
+Each query starts from the k-th best score of an eighth of the corpus, which no better result
+can be below, so most shards return next to nothing for it.
+
+Contributions are multiples of a power of two, small enough that their sums are exact in double
+precision: a score does not depend on the order or the place of its summation, and equal texts tie.
+
+Queries go in groups of a bounded number of terms; each group is one pass over the corpus, with
+the group's terms sent to all tasks. Memory of a task: one shard, and GROUP_CELLS numbers.
 """
 
 from __future__ import annotations
@@ -29,12 +37,13 @@ from terrane.llm.text import WORD, slices, text_bytes, word_bounds
 from terrane.session import Workspace
 
 K1, B = 1.2, 0.75
-BLOCK_TERMS = 2_000_000  # terms of a block of queries, all queries counted
-SHARD_BYTES = 24 << 20  # of text
-BLOCK_DOCS = 4
-COMMON = 20  # a term is common if more than one document of so many has it
+BLOCK_TERMS = 2_000_000  # terms of a group of queries, all queries counted
+SHARD_BYTES = 12 << 20  # of text
+BLOCK_DOCS = 16
+CHUNK = 16  # blocks between two looks at the k-th best scores
+COMMON = 16  # a term is common if more than one document of so many has it
 SEEDS = 8  # one document of so many is searched first
-MARGIN = 1e-5  # relative, for rounding in bounds, which are kept in single precision
+GROUP_CELLS = 1 << 21  # documents times queries that walk side by side
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -53,120 +62,144 @@ def _terms(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]), first
 
 
+def quantum(idf: np.ndarray, queries: list[np.ndarray]) -> float:
+    """A power of two of which all contributions are multiples, so that no query's sum is rounded."""
+    most = max((float(idf[terms].sum()) for terms in queries), default=1.0) * (K1 + 1)
+    return 2.0 ** (math.ceil(math.log2(max(most, 1.0))) - 52)
+
+
 class Shard:
-    """Inverted and forward index of some documents over the terms of a block of queries."""
+    """Posting lists of some documents over the terms of a group of queries, with maxima per block."""
 
-    def __init__(self, doc: np.ndarray, term: np.ndarray, length: np.ndarray, idf: np.ndarray, mean_length: float):
+    def __init__(self, doc: np.ndarray, term: np.ndarray, length: np.ndarray, ids: np.ndarray, idf: np.ndarray, mean_length: float, unit: float):
         n, width = len(length), len(idf)
-        keys, tf = np.unique(doc.astype(np.int64) * width + term, return_counts=True)
-        self.order = self._alike_together(keys // width, keys % width, length, width)
+        order = self._alike_together(doc, term, length, width)
         place = np.empty(n, dtype=np.int64)
-        place[self.order] = np.arange(n)
-        keys, length = place[keys // width] * width + keys % width, length[self.order]
-        again = np.argsort(keys, kind="stable")
-        keys, tf = keys[again], tf[again]
-        self.row_doc, self.row_term = keys // width, keys % width
-        norm = K1 * (1 - B + B * length[self.row_doc] / mean_length)
-        self.row_value = idf[self.row_term] * tf * (K1 + 1) / (tf + norm)
-        self.row_first = np.searchsorted(self.row_doc, np.arange(n + 1))
-        order = np.argsort(self.row_term, kind="stable")
-        self.doc, self.value = self.row_doc[order], self.row_value[order]
-        self.first = np.searchsorted(self.row_term[order], np.arange(width + 1))
-        self.n, self.weight = n, np.zeros(width)
-        blocks = (n + BLOCK_DOCS - 1) // BLOCK_DOCS
-        frequency = np.diff(self.first)
-        self.common = np.flatnonzero(frequency * COMMON > n)
-        self.place = np.full(width, -1)
-        self.place[self.common] = np.arange(len(self.common))
-        # Contributions of common terms, by document and greatest of each block.
-        self.dense = np.zeros((blocks * BLOCK_DOCS, len(self.common)), dtype=np.float32)
-        for i, t in enumerate(self.common):
+        place[order] = np.arange(n)
+        self.ids, length = ids[order], length[order]
+        # By term, then document.
+        keys, tf = np.unique(term.astype(np.int64) * n + place[doc], return_counts=True)
+        term, doc = keys // max(n, 1), (keys % max(n, 1)).astype(np.int32)
+        norm = K1 * (1 - B + B * length[doc] / mean_length)
+        value = np.rint(idf[term] * tf * (K1 + 1) / (tf + norm) / unit) * unit
+        self.present, first = np.unique(term, return_index=True)
+        self.first, self.doc, self.value = np.append(first, len(term)), doc, value
+        self.n, self.blocks = n, -(-n // BLOCK_DOCS)
+        common = np.flatnonzero(np.diff(self.first) * COMMON > n)
+        self.place = np.full(len(self.present), -1)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((self.blocks * BLOCK_DOCS, len(common)))
+        for i, t in enumerate(common):
             own = slice(self.first[t], self.first[t + 1])
-            self.dense[self.doc[own], i] = self.value[own]
-        self.greatest = np.ascontiguousarray(self.dense.reshape(blocks, BLOCK_DOCS, -1).max(axis=1).T)
-        self.scored = 0
+            self.dense[doc[own], i] = value[own]
+        self.greatest = self.dense.reshape(self.blocks, BLOCK_DOCS, -1).max(axis=1)
+        self.scored = self.skipped = 0
 
     @staticmethod
     def _alike_together(doc: np.ndarray, term: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
         """An order of the documents in which neighbours share common terms and are of like length.
 
-        Blocks of such neighbours have close greatest contributions. The key is which of the
-        terms that about half of the documents have a document has, then its length.
+        The key is which of the terms that about half of the documents have a document has, then its length.
         """
         n = len(length)
+        pairs = np.unique(doc.astype(np.int64) * max(width, 1) + term)
+        doc, term = pairs // max(width, 1), pairs % max(width, 1)
         frequency = np.bincount(term, minlength=width)
-        telling = np.argsort(np.abs(2 * frequency - n), kind="stable")[:16]
-        signs = np.zeros((len(telling), n), dtype=bool)
-        for i, t in enumerate(telling):
-            signs[i, doc[term == t]] = True
+        telling = np.argsort(np.abs(2 * frequency - n), kind="stable")[:6]
         groups = np.zeros(n, dtype=np.int64)
-        for sign in signs[:6]:
-            groups = groups * 2 + sign
+        for t in telling:
+            groups *= 2
+            groups[doc[term == t]] += 1
         return np.lexsort((length, groups))
 
-    def exact(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of documents for the query in `weight`, always summed in the order of terms."""
-        size = self.row_first[docs + 1] - self.row_first[docs]
-        at = np.repeat(self.row_first[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        values = self.row_value[at] * self.weight[self.row_term[at]]
-        return np.add.reduceat(np.append(values, 0.0), np.cumsum(size) - size) * (size > 0)
-
-    def best(self, terms: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) from `floor` up: all that may be among the best k, ties with the last one included.
-
-        Documents are numbered in the shard's order; `order` has their places as given.
-        """
-        terms = terms[self.first[terms + 1] > self.first[terms]]
-        is_common = self.place[terms] >= 0
-        rare = terms[~is_common]
+    def best(self, queries: list[np.ndarray], floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of the k best from the floor up, by score and then id; queries as sorted terms."""
+        step = max(1, min(512, GROUP_CELLS // max(1, self.n)))
+        for a in range(0, len(queries), step):
+            yield from ((a + q, ids, scores) for q, ids, scores in self._walk(queries[a : a + step], floors[a : a + step], k))
+
+    def _walk(self, queries: list[np.ndarray], floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        m = len(queries)
+        of = np.repeat(np.arange(m), [len(t) for t in queries])
+        terms = np.concatenate(queries)
+        at = np.minimum(np.searchsorted(self.present, terms), max(len(self.present) - 1, 0))
+        known = self.present[at] == terms if len(self.present) else np.zeros(len(terms), bool)
+        of, at = of[known], at[known]
+        if not len(at):
+            return
+        place = self.place[at]
+        asked = np.zeros((m, self.dense.shape[1]))
+        asked[of[place >= 0], place[place >= 0]] = 1
+        # Rare terms: every posting of the query's lists, summed per document.
+        rare_of, rare = of[place < 0], at[place < 0]
         size = self.first[rare + 1] - self.first[rare]
-        at = np.repeat(self.first[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        sums = np.bincount(self.doc[at], self.value[at], self.n).astype(np.float64)
-        common = self.place[terms[is_common]]
-        bound = sums + np.repeat(self.greatest[common].sum(axis=0), BLOCK_DOCS)[: self.n]
-        least, step = floor * (1 - MARGIN), 2 * k
-        left = np.flatnonzero((bound > 0) & (bound * (1 + MARGIN) >= least))
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        while len(left):
-            left = left[bound[left] * (1 + MARGIN) >= least]
-            take = left[np.argpartition(-bound[left], step)[:step]] if len(left) > step else left
-            self.scored += len(take)
-            docs, scores = np.concatenate([docs, take]), np.concatenate([scores, sums[take] + self.dense[take[:, None], common[None, :]].sum(axis=1)])
-            if len(docs) > k:
-                least = max(least, np.partition(scores, -k)[-k] * (1 - MARGIN))
-                docs, scores = docs[scores >= least], scores[scores >= least]
-            rest = np.ones(self.n, dtype=bool)
-            rest[take] = False
-            left, step = left[rest[left]], 2 * step
-        # Rounding depends on what is common here; the scores returned do not.
-        self.weight[terms] = 1
-        scores = self.exact(docs)
-        self.weight[terms] = 0
-        keep = (scores > 0) & (scores >= floor)
-        return docs[keep], scores[keep]
-
-
-def _indexed(batches: Iterable[pa.RecordBatch], vocabulary: pa.Array, shard_bytes: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        posting = np.repeat(self.first[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        rows = self.blocks * BLOCK_DOCS
+        sums = np.bincount(self.doc[posting] * np.int64(m) + np.repeat(rare_of, size), self.value[posting], rows * m).reshape(rows, m)
+        bound = self.greatest @ asked.T + sums.reshape(self.blocks, BLOCK_DOCS, m).max(axis=1)
+        # Sums of exact multiples are exact, so bounds need no margin.
+        least = np.array(floors, dtype=float)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * m
+        for a in range(0, self.blocks, CHUNK):
+            part = bound[a : a + CHUNK]
+            live = (part >= least) & (part > 0)
+            self.skipped += int(live.size - live.sum())
+            if not live.any():
+                continue
+            scores = np.full((len(part) * BLOCK_DOCS, m), -1.0)
+            for b in np.flatnonzero(live.any(axis=1)):
+                who = np.flatnonzero(live[b])
+                here = slice((a + b) * BLOCK_DOCS, (a + b + 1) * BLOCK_DOCS)
+                scores[b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS, who] = self.dense[here] @ asked[who].T + sums[here][:, who]
+            self.scored += int(live.sum()) * BLOCK_DOCS
+            hits = (scores >= least) & (scores > 0)
+            docs, who = np.nonzero(hits)
+            order = np.argsort(who, kind="stable")
+            docs, who = docs[order], who[order]
+            bounds = np.searchsorted(who, np.arange(m + 1))
+            for q in np.flatnonzero(np.diff(bounds)):
+                own = docs[bounds[q] : bounds[q + 1]]
+                ids, values = np.concatenate([found[q][0], self.ids[own + a * BLOCK_DOCS]]), np.concatenate([found[q][1], scores[own, q]])
+                if len(ids) > k:
+                    keep = np.lexsort((ids, -values))[:k]
+                    ids, values = ids[keep], values[keep]
+                    least[q] = max(least[q], values[-1])
+                found[q] = (ids, values)
+                if len(ids) == k:
+                    least[q] = max(least[q], values.min())
+        for q, (ids, values) in enumerate(found):
+            if len(ids):
+                yield q, ids, values
+
+
+NO_ID = np.iinfo(np.int64).max  # stands for a missing id: after all others
+
+
+def _indexed(batches: Iterable[pa.RecordBatch], vocabulary: pa.Array, shard_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, document of each known word, its term, words per document) per shard."""
     import pyarrow.compute as pc
 
     ids, docs, terms, lengths, held, n = [], [], [], [], 0, 0
+
+    def shard() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in (ids, docs, terms, lengths))
+
     for batch in slices(batches):
         words, first = _terms(batch.column(1))
         term = pc.index_in(words, value_set=vocabulary)
         known = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
         of = np.repeat(np.arange(batch.num_rows), np.diff(first)) + n
-        ids.append(batch.column(0))
+        ids.append(pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False))
         docs.append(of[known].astype(np.int32))
         terms.append(term.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int32))
         lengths.append(np.diff(first))
         n += batch.num_rows
         held += batch.column(1).nbytes
         if held >= shard_bytes:
-            yield pa.concat_arrays(ids), np.concatenate(docs), np.concatenate(terms), np.concatenate(lengths)
+            yield shard()
             ids, docs, terms, lengths, held, n = [], [], [], [], 0, 0
     if ids:
-        yield pa.concat_arrays(ids), np.concatenate(docs), np.concatenate(terms), np.concatenate(lengths)
+        yield shard()
 
 
 def _frequencies(docs: DataFrame, vocabulary) -> dict[int, int]:
@@ -184,10 +217,10 @@ def _frequencies(docs: DataFrame, vocabulary) -> dict[int, int]:
     return {r["term"]: r["n"] for r in rows.toLocalIterator()}
 
 
-def _searched(docs: DataFrame, block: list, k: int) -> DataFrame:
-    """The best k of every shard for one block of queries: rows of (query_id, terms)."""
+def _searched(docs: DataFrame, group: list, k: int) -> DataFrame:
+    """The best k of every shard for one group of queries: rows of (query_id, terms)."""
     spark = docs.sparkSession
-    words = pa.array(sorted({t for r in block for t in r["terms"]}), pa.string()).cast(pa.large_binary())
+    words = pa.array(sorted({t for r in group for t in r["terms"]}), pa.string()).cast(pa.large_binary())
     vocabulary = spark.sparkContext.broadcast(words)
     counts = _frequencies(docs, vocabulary)
     n, total = counts.pop(-1, 0), counts.pop(-2, 0)
@@ -195,31 +228,33 @@ def _searched(docs: DataFrame, block: list, k: int) -> DataFrame:
     frequency[list(counts)] = list(counts.values())
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     place = {w: i for i, w in enumerate(words.to_pylist())}
-    queries = [(r["query_id"], np.array(sorted(place[t.encode()] for t in r["terms"]), dtype=np.int32)) for r in block]
-    sent = spark.sparkContext.broadcast((queries, idf, total / max(n, 1)))
+    asked = np.array([r["query_id"] for r in group], dtype=np.int64)
+    queries = [np.array(sorted(place[t.encode()] for t in r["terms"]), dtype=np.int32) for r in group]
+    sent = spark.sparkContext.broadcast((asked, queries, idf, total / max(n, 1), quantum(idf, queries)))
 
-    def scanned(rows: DataFrame, floors: dict[int, float]) -> DataFrame:
+    def scanned(rows: DataFrame, floors: np.ndarray) -> DataFrame:
         known = spark.sparkContext.broadcast(floors)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            queries, idf, mean_length = sent.value
-            floors = known.value
+            asked, queries, idf, mean_length, unit = sent.value
             for ids, doc, term, length in _indexed(batches, vocabulary.value, SHARD_BYTES):
-                shard = Shard(doc, term, length, idf, max(mean_length, 1e-9))
-                found = [shard.best(terms, k, floors.get(query, 0.0)) for query, terms in queries]
-                asked = np.repeat(np.array([query for query, _ in queries], dtype=np.int64), [len(docs) for docs, _ in found])
-                docs = shard.order[np.concatenate([docs for docs, _ in found])] if found else np.zeros(0, np.int64)
-                scores = np.concatenate([values for _, values in found]) if found else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array(asked), ids.take(pa.array(docs)), pa.array(scores)], names=["query_id", "doc_id", "score"])
+                shard = Shard(doc, term, length, ids, idf, max(mean_length, 1e-9), unit)
+                found = list(shard.best(queries, known.value, k))
+                if not found:
+                    continue
+                of = np.repeat(asked[[q for q, _, _ in found]], [len(i) for _, i, _ in found])
+                ids = np.concatenate([i for _, i, _ in found])
+                columns = [pa.array(of), pa.array(ids, mask=ids == NO_ID), pa.array(np.concatenate([v for _, _, v in found]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "score"])
 
         return rows.mapInArrow(run, "query_id long, doc_id long, score double")
 
     # The seeds are gathered in as few shards as they fill, about 8 bytes a word.
     seeds = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SEEDS)) == 0).repartition(max(1, math.ceil(total * 8 / SEEDS / SHARD_BYTES)))
-    # One number for each query of the block.
-    ranked = scanned(seeds, {}).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
-    floors = {r["query_id"]: r["score"] for r in ranked.where(F.col("rank") == k).select("query_id", "score").toLocalIterator()}
-    return scanned(docs, floors)
+    # One number for each query of the group.
+    ranked = scanned(seeds, np.zeros(len(asked))).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    best = {r["query_id"]: r["score"] for r in ranked.where(F.col("rank") == k).select("query_id", "score").toLocalIterator()}
+    return scanned(docs, np.array([best.get(q, 0.0) for q in asked.tolist()]))
 
 
 def top_k(docs: DataFrame, queries: DataFrame, ws: Workspace, k: int = 10, block_terms: int = BLOCK_TERMS) -> DataFrame:
@@ -235,8 +270,8 @@ def top_k(docs: DataFrame, queries: DataFrame, ws: Workspace, k: int = 10, block
     asked = queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))).alias("terms"))
     asked = ws.save(asked.where(F.size("terms") > 0).groupBy("query_id").agg(F.min("terms").alias("terms")), "queries")
     found = None
-    for number, block in enumerate(_blocks(asked, block_terms)):
-        part = ws.save(_searched(texts, block, k), f"found-{number}")
+    for number, group in enumerate(_blocks(asked, block_terms)):
+        part = ws.save(_searched(texts, group, k), f"found-{number}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,23 +47,62 @@ def test_best_k(docs_of, llm_ws, monkeypatch, seed, block_terms, shard):
     assert all(abs(g[3] - w[3]) < 1e-7 for g, w in zip(got, want))
 
 
-def test_bounds_skip_documents():
-    """With common terms and a strong match, few documents are scored in full."""
-    import numpy as np
+def shard_of(texts: list[list[int]], width: int, ids=None):
+    """A shard of documents given as term numbers, its queries' unit, and all scores of a query."""
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    term = np.array([t for own in texts for t in own])
+    length = np.array([len(t) for t in texts])
+    idf = np.log1p(len(texts) / (1 + np.bincount(term, minlength=width)))
+    unit = search.quantum(idf, [np.unique(t) for t in texts[:50]])
+    ids = np.arange(len(texts)) if ids is None else ids
+    mean = length.mean()
 
+    def scores(query):
+        found = np.zeros(len(texts))
+        for d, own in enumerate(texts):
+            for t, tf in collections.Counter(own).items():
+                if t in query:
+                    norm = 1.2 * (0.25 + 0.75 * len(own) / mean)
+                    found[d] += round(idf[t] * tf * 2.2 / (tf + norm) / unit) * unit
+        return found
+
+    return search.Shard(doc, term, length, ids, idf, mean, unit), scores
+
+
+def test_blocks_are_skipped():
+    """With common terms and strong matches, most blocks are passed over, and the result is exact."""
     rng = np.random.default_rng(1)
-    doc, term = [], []
-    for d in range(2000):
-        own = np.concatenate([np.arange(20), 20 + rng.integers(0, 3000, 40)])
-        doc += [d] * len(own)
-        term += own.tolist()
-    shard = search.Shard(np.array(doc), np.array(term), np.full(2000, 60), np.log1p(2000 / (1 + np.bincount(term, minlength=3020))), 60.0)
-    query = np.unique(np.array(term)[np.array(doc) == 77])
-    docs, scores = shard.best(query, 3)
-    everything = np.arange(2000)
-    shard.weight[query] = 1
-    assert shard.order[docs[np.argmax(scores)]] == 77 and shard.scored < 1000
-    assert np.allclose(np.sort(scores)[-3:], np.sort(shard.exact(everything))[-3:])
+    texts = [np.concatenate([np.arange(20), 20 + rng.integers(0, 3000, 40)]).tolist() for _ in range(2000)]
+    for i in range(1, 5):
+        texts[500 * i - 7] = texts[77][:-i]
+    shard, scores = shard_of(texts, 3020)
+    queries = [np.unique(texts[77]), np.unique(texts[1500][:25])]
+    found = {q: (ids, values) for q, ids, values in shard.best(queries, np.zeros(2), 3)}
+    for q, query in enumerate(queries):
+        want = scores(set(query.tolist()))
+        order = np.lexsort((np.arange(2000), -want))[:3]
+        ids, values = found[q]
+        rank = np.lexsort((ids, -values))
+        assert np.array_equal(ids[rank], order) and np.array_equal(values[rank], want[order])
+    blocks = shard.blocks * len(queries)
+    assert shard.skipped > blocks / 3 and shard.scored + shard.skipped * search.BLOCK_DOCS == blocks * search.BLOCK_DOCS
+
+
+def test_a_third_of_equal_documents():
+    """Ties leave a shard as the k smallest ids, not as all copies."""
+    rng = np.random.default_rng(2)
+    copy = rng.integers(0, 200, 30).tolist()
+    texts = [copy if i % 3 == 0 else rng.integers(0, 200, 30).tolist() for i in range(900)]
+    ids = rng.permutation(900)
+    shard, scores = shard_of(texts, 200, ids)
+    want = np.sort(ids[::3])[:10]
+    found = list(shard.best([np.unique(copy)] * 3, np.zeros(3), 10))
+    assert [q for q, _, _ in found] == [0, 1, 2]
+    for _, got, values in found:
+        assert np.array_equal(np.sort(got), want) and len(set(values.tolist())) == 1
+    assert values[0] == scores(set(copy)).max()
+    # From the best score up, the equal ones are still all within reach.
+    assert all(np.array_equal(np.sort(got), want) for _, got, _ in shard.best([np.unique(copy)], np.array([values[0]]), 10))
 
 
 def test_odd_rows(odd_docs, llm_ws):
