@@ -54,7 +54,7 @@ def written(run: str, start: int, misspelt: int) -> str:
     return run
 
 
-def counted_words(docs: DataFrame, misspelt: int = MISSPELT, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT) -> DataFrame:
+def counted_words(docs: DataFrame, misspelt: int = MISSPELT, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, held: int = HELD_WORDS) -> DataFrame:
     """(word, n): words of the whole texts with at least `least_length` characters and `least_count` occurrences.
 
     Words are maximal runs of LETTERS, folded. The checksum is that of `<doc_id>:<run>`; a missing id is
@@ -78,7 +78,7 @@ def counted_words(docs: DataFrame, misspelt: int = MISSPELT, least_length: int =
                     word = written(folded(raw), start, misspelt)
                     if len(word) >= least_length:
                         counts[word] += n
-                if len(counts) >= HELD_WORDS:
+                if len(counts) >= held:
                     yield passed_on()
         yield passed_on()
 
@@ -167,7 +167,7 @@ def node_pairs(words: DataFrame) -> DataFrame:
         return F.struct(F.get(nodes, i).alias("p"), F.get(back, after).alias("s"), kind.cast("byte").alias("kind"))
 
     skips = F.transform(
-        F.sequence(F.lit(0), length - 1),
+        F.filter(F.sequence(F.lit(0), length), lambda i: i < length),  # none for the empty word
         lambda i: pair(i, length - 1 - i, F.when((i == 0) | (F.get(letters, i) != F.get(letters, i - 1)), F.lit(SKIP_FIRST)).otherwise(F.lit(SKIP))),
     )
     gaps = F.transform(F.sequence(F.lit(0), length), lambda i: pair(i, length - i, F.lit(GAP)))
