@@ -7,6 +7,7 @@ Only the expressions of the derived source tables are shared (see FIXTURES.md).
 
 from __future__ import annotations
 
+import math
 import re
 
 from checks.queries import PARAMS
@@ -165,6 +166,27 @@ FROM long_features f JOIN long_features t ON t.geo = f.geo AND t.family = 'total
   AND t.feature = CASE WHEN f.family IN ('theme', 'outlet') THEN 'visitors' ELSE 'orders' END
 WHERE f.family <> 'total'"""
 
+def _units(family: str, feature: str, measure: str, rows: str, where: str = "true") -> str:
+    return (
+        f"SELECT DISTINCT dma_code AS geo, '{family}' AS family, {feature} AS feature, {measure} AS unit FROM {rows} "
+        f"WHERE {where} AND dma_code IS NOT NULL AND {measure} IS NOT NULL"
+    )
+
+
+# Weights from one table for all: the same visitor has the same weight everywhere.
+_BOUNDS = [sum(math.exp(-1) / math.factorial(j) for j in range(n + 1)) for n in range(9)]
+STEPS["draws"] = f"""
+SELECT geo, family, feature, r, count(*)::DOUBLE AS value, sum({" + ".join(f"(u > {b!r}::DOUBLE)::INT" for b in _BOUNDS)}) AS drawn
+FROM (SELECT *, (CAST('0x' || substr(md5(unit || '|' || r), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u
+  FROM ({" UNION ALL ".join([
+    _units("total", "'visitors'", "visitor_key", "placed_visits"),
+    _units("theme", "nav_breadcrumb", "visitor_key", "placed_visits", "located"),
+    _units("outlet", "site_id", "visitor_key", "placed_visits", "located AND site_id = 'outlet'"),
+    _units("total", "'orders'", "order_id", "lines"),
+    *[_units(family, key, "order_id", "lines") for family, key in ORDER_FAMILIES.items()],
+  ])}), unnest(range(1, {P.bootstrap_replicates + 1})) AS t(r))
+GROUP BY ALL"""
+
 STEPS["fixed_labels"] = "SELECT DISTINCT geo, geo % 3 AS segment FROM shares"
 
 STEPS["map"] = """
@@ -215,7 +237,47 @@ for _number in range(1, P.nmf_rounds + 1):
 STEPS["one_w"] = _update("geo", "w0", "label", "h0")
 STEPS["one_h"] = _update("label", "h0", "geo", "one_w")
 
-W, H = f"w{P.nmf_rounds}", f"h{P.nmf_rounds}"
+# A whole fit, a half-round a step: side 'w' moves in even steps, side 'h' in odd ones, which end a round.
+_R = P.nmf_rank
+STEPS["fit_cells"] = """
+SELECT 'w' AS side, CAST(geo AS VARCHAR) AS key, label AS across, value FROM cells
+UNION ALL SELECT 'h', label, CAST(geo AS VARCHAR), value FROM cells"""
+STEPS["fit_start"] = """
+SELECT 'w' AS side, CAST(geo AS VARCHAR) AS key, list(weight ORDER BY theme) AS w FROM w0 GROUP BY geo
+UNION ALL SELECT 'h', label, list(weight ORDER BY theme) FROM h0 GROUP BY label"""
+
+
+def _gram(rows: str) -> str:
+    pairs = f"unnest(range(1, {_R + 1})) AS a(i), unnest(range(1, {_R + 1})) AS b(j)"
+    return f"SELECT list(g ORDER BY i, j) AS g FROM (SELECT i, j, sum(w[i] * w[j]) AS g FROM {rows}, {pairs} GROUP BY i, j)"
+
+
+_SWEEPS = [[float(c)] for _ in range(P.nmf_sweeps) for c in range(1, _R + 1)]
+_INNER = f"list_sum(list_transform(range(1, {_R + 1}), lambda e: g[(d - 1) * {_R} + e] * a[e]))"
+_COORDINATE = f"greatest(0, a[d] + (n[d] - {_INNER}) / g[(d - 1) * {_R} + d])"
+STEPS["fit"] = f"""
+SELECT 0 AS step, side, key, w, 'inf'::DOUBLE AS loss, 'inf'::DOUBLE AS before FROM fit_start
+UNION ALL
+(WITH n_last AS (SELECT * FROM fit WHERE step = 0 OR step % 2 = 1 OR before - loss > {P.nmf_tolerance} * loss),
+n_side AS (SELECT any_value(CASE WHEN step % 2 = 0 THEN 'w' ELSE 'h' END) AS name FROM n_last),
+n_across AS (SELECT key AS across, w FROM n_last, n_side WHERE side <> name),
+n_gram AS ({_gram("n_across")}),
+n_sums AS (SELECT key, [{", ".join(f"sum(value * w[{c}])" for c in range(1, _R + 1))}] AS n
+  FROM fit_cells JOIN n_side ON side = name JOIN n_across USING (across) GROUP BY key),
+n_moved AS (
+  SELECT key, n, list_reduce(list_prepend(w, {_SWEEPS}), lambda a, x: list_transform(range(1, {_R + 1}), lambda d: CASE WHEN d = x[1] THEN {_COORDINATE} ELSE a[d] END)) AS w
+  FROM n_last JOIN n_sums USING (key), n_gram, n_side WHERE side = name),
+n_own AS ({_gram("n_moved")}),
+n_loss AS (
+  SELECT (SELECT sum(value * value) FROM cells) - 2 * (SELECT sum(list_sum(list_transform(list_zip(n, w), lambda z: z[1] * z[2]))) FROM n_moved)
+    + (SELECT list_sum(list_transform(list_zip(n_gram.g, n_own.g), lambda z: z[1] * z[2])) FROM n_gram, n_own) AS now)
+SELECT step + 1, side, n_last.key, coalesce(n_moved.w, n_last.w), CASE WHEN step % 2 = 1 THEN now ELSE loss END, CASE WHEN step % 2 = 1 THEN loss ELSE before END
+FROM n_last CROSS JOIN n_side CROSS JOIN n_loss LEFT JOIN n_moved ON n_moved.key = n_last.key AND side = name)"""
+_LAST = "SELECT * FROM fit WHERE step = (SELECT max(step) FROM fit)"
+STEPS["themes_w"] = f"SELECT CAST(key AS INT) AS geo, theme, w[theme + 1] AS weight FROM ({_LAST}) CROSS JOIN numbers WHERE side = 'w'"
+STEPS["themes_h"] = f"SELECT key AS label, theme, w[theme + 1] AS weight FROM ({_LAST}) CROSS JOIN numbers WHERE side = 'h'"
+
+W, H = "themes_w", "themes_h"
 
 
 def _loss(number: int) -> str:
@@ -224,6 +286,33 @@ FROM (SELECT geo, label, sum(w.weight * h.weight) AS v FROM w{number} w JOIN h{n
 LEFT JOIN cells c ON c.geo = m.geo AND c.label = m.label"""
 
 
+# k-means on the themes: a start drawn point by point, then moves until the centres stay.
+def _apart(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: power(z[1] - z[2], 2)))"
+
+
+STEPS["theme_vectors"] = f"SELECT geo, list(weight ORDER BY theme) AS v FROM {W} GROUP BY geo"
+for _drawn in range(P.segments):
+    _u = f"((CAST('0x' || substr(md5(geo || '|' || {P.seed * 1000 + _drawn}), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+    _d2 = f"list_min(list_transform(c, lambda x: {_apart('x', 'v')}))" if _drawn else "1"
+    STEPS[f"drawn{_drawn}"] = f"""
+SELECT list_append(c, v) AS c FROM (SELECT *, -ln({_u}) / nullif({_d2}, 0) AS race FROM theme_vectors, {f"drawn{_drawn - 1}" if _drawn else "(SELECT CAST([] AS DOUBLE[][]) AS c)"})
+ORDER BY race NULLS LAST, geo LIMIT 1"""
+_MEANS = ", ".join(f"avg(v[{c}])" for c in range(1, P.nmf_rank + 1))
+STEPS["lloyd"] = f"""
+SELECT 0 AS step, c, 'inf'::DOUBLE AS moved FROM drawn{P.segments - 1}
+UNION ALL
+SELECT step + 1, list(coalesce(mean, c[n]) ORDER BY n), max(coalesce({_apart("mean", "c[n]")}, 0))
+FROM (SELECT any_value(step) AS step, any_value(c) AS c FROM lloyd WHERE moved > {P.kmeans_tolerance**2}) l, unnest(range(1, {P.segments + 1})) AS s(n)
+LEFT JOIN (
+  SELECT segment, [{_MEANS}] AS mean FROM (
+    SELECT v, list_position(d, list_min(d)) AS segment FROM (SELECT v, list_transform(c, lambda x: {_apart("x", "v")}) AS d FROM theme_vectors, lloyd)
+  ) GROUP BY segment) m ON m.segment = n
+WHERE step IS NOT NULL GROUP BY step"""
+STEPS["theme_segments"] = f"""
+SELECT geo, CAST(list_position(d, list_min(d)) - 1 AS INT) AS segment
+FROM (SELECT geo, list_transform(c, lambda x: {_apart("x", "v")}) AS d FROM theme_vectors, (SELECT c FROM lloyd WHERE step = (SELECT max(step) FROM lloyd)))"""
+
 K = round(3 * P.perplexity)
 STEPS["near"] = f"""
 SELECT id, other, rank, distance FROM (
@@ -368,11 +457,18 @@ FROM src_merch_product p LEFT JOIN src_digital_shop d ON d.department_desc = p.d
         f"FROM lines GROUP BY 1, 2, 3"
         for key in ORDER_FAMILIES.values()
     ),
+    "visitors_by_geo_from_bits": _visitors("dma_code", "visitor_count_total", "true"),
+    "visitors_by_geo_month_from_bits": _visitors("dma_code, fiscal_month", "visitor_count_total", "true"),
+    "nav_theme_visitors_by_geo_from_bits": _visitors("dma_code, nav_breadcrumb AS nav_theme"),
+    "outlet_visitors_by_cbsa_month_from_bits": _visitors("cbsa_name, fiscal_month, site_id", where="located AND site_id = 'outlet'"),
+    "brand_orders_by_cbsa_from_bits": _orders("cbsa_name, brand_desc"),
+    "color_orders_by_geo_from_bits": _orders("dma_code, color_family"),
     "geo_map": "SELECT * FROM geos",
     "refresh_tables": _contents(),
     "refresh_status": _status(),
     "feature_long": "SELECT * FROM long_features",
-    "feature_matrix": "SELECT geo, coalesce(COLUMNS(* EXCLUDE geo), 0) FROM (PIVOT named_cells ON name USING max(value) GROUP BY geo)",
+    "feature_matrix": """SELECT geo, name, coalesce(max(value), 0) AS value
+FROM (SELECT DISTINCT geo FROM named_cells) CROSS JOIN (SELECT DISTINCT name FROM named_cells) LEFT JOIN named_cells USING (geo, name) GROUP BY ALL""",
     "feature_shares": "SELECT geo, family, feature, round(value, 6) AS value FROM shares",
     "nmf_step": """SELECT 'region' AS side, CAST(geo AS VARCHAR) AS key, theme, round(weight, 6) AS weight FROM one_w
 UNION ALL SELECT 'feature', label, theme, round(weight, 6) FROM one_h""",
@@ -412,7 +508,6 @@ own AS (SELECT k, sum(n * (n - 1) / 2) AS v FROM (SELECT k, segment, count(*) AS
 ref AS (SELECT v FROM own WHERE k = 3),
 e AS (SELECT cells2.k, cells2.v, points, own.v AS one, ref.v AS two, own.v * ref.v / (points * (points - 1) / 2) AS expected FROM cells2 JOIN own USING (k), ref)
 SELECT k AS run, CAST(points AS BIGINT) AS points, round((v - expected) / ((one + two) / 2 - expected), 6) AS adjusted_rand FROM e""",
-    "segment_run": "SELECT DISTINCT geo, true AS labelled, dma_name, dma_short_desc, district_name FROM map",
     "segment_map": "SELECT * FROM map",
     "segment_map_csv": "SELECT * FROM map",
     "sessions_with_segment": """SELECT p.* EXCLUDE (cbsa_name, located), f.segment
@@ -423,9 +518,39 @@ FROM (SELECT segment, family, feature, sum(value) AS total FROM shares JOIN fixe
 JOIN (SELECT segment, count(*) AS n FROM fixed_labels GROUP BY ALL) r ON r.segment = s.segment
 JOIN (SELECT family, feature, sum(value) AS total FROM shares GROUP BY ALL) o
   ON o.family = s.family AND o.feature = s.feature""",
+    "segment_profile_themes": """SELECT s.segment, s.family, s.feature, round(s.total / r.n, 6) AS mean_share,
+  round((s.total / r.n) / (o.total / (SELECT count(*) FROM theme_segments)), 6) AS lift
+FROM (SELECT segment, family, feature, sum(value) AS total FROM shares JOIN theme_segments USING (geo) GROUP BY ALL) s
+JOIN (SELECT segment, count(*) AS n FROM theme_segments GROUP BY ALL) r ON r.segment = s.segment
+JOIN (SELECT family, feature, sum(value) AS total FROM shares GROUP BY ALL) o
+  ON o.family = s.family AND o.feature = s.feature""",
+    "segment_map_themes": """SELECT geo, any_value(segment) AS segment, min(dma_name) AS dma_name, min(dma_short_desc) AS dma_short_desc,
+  min(district_name) AS district_name FROM theme_segments LEFT JOIN geos ON geos.dma_code = theme_segments.geo GROUP BY geo""",
+    "sessions_with_segment_themes": """SELECT p.* EXCLUDE (cbsa_name, located), f.segment
+FROM (SELECT DISTINCT * FROM (SELECT * FROM placed_visits)) p LEFT JOIN theme_segments f ON f.geo = p.dma_code""",
+    "kmeans_step": "SELECT CAST(s - 1 AS INT) AS segment, CAST(t - 1 AS INT) AS theme, round(c[s][t], 6) AS value FROM lloyd, "
+    f"unnest(range(1, {P.segments + 1})) AS a(s), unnest(range(1, {P.nmf_rank + 1})) AS b(t) WHERE step = 1",
+    "kmeans_themes": "SELECT geo, segment FROM theme_segments",
+    "renumbered_segments": """WITH both_labels AS (SELECT geo, segment, CASE WHEN geo % 5 = 0 THEN geo % 2 ELSE (geo + 1) % 3 END AS old FROM fixed_labels),
+orders3 AS (SELECT * FROM (VALUES (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) AS v(a, b, c)),
+ranked3 AS (SELECT a, b, c, count(*) AS kept FROM orders3 JOIN both_labels ON old = CASE segment WHEN 0 THEN a WHEN 1 THEN b ELSE c END GROUP BY ALL)
+SELECT geo, CAST(CASE segment WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS INT) AS segment FROM fixed_labels, (SELECT * FROM ranked3 ORDER BY kept DESC LIMIT 1)""",
+    "segment_history": """WITH two AS (SELECT geo, segment AS s1, CASE WHEN geo % 4 = 0 THEN 0 ELSE segment END AS s2 FROM fixed_labels)
+SELECT geo, s1 AS segment, DATE '2024-01-28' AS valid_from, CASE WHEN s1 <> s2 THEN DATE '2024-02-28' END AS valid_to FROM two
+UNION ALL SELECT geo, s2, DATE '2024-02-28', NULL FROM two WHERE s1 <> s2""",
+    "share_intervals": f"""SELECT geo, family, coalesce(feature, '(none)') AS feature, round(value / total, 6) AS value,
+  round(shares_drawn[{P.bootstrap_replicates // 20 + 1}], 6) AS low, round(shares_drawn[{P.bootstrap_replicates - P.bootstrap_replicates // 20}], 6) AS high
+FROM (SELECT d.geo, d.family, d.feature, any_value(d.value) AS value, any_value(t.value) AS total,
+        list_sort(list(CASE WHEN t.drawn > 0 THEN d.drawn / t.drawn ELSE 0 END)) AS shares_drawn
+      FROM draws d JOIN draws t ON t.geo = d.geo AND t.r = d.r AND t.family = 'total'
+        AND t.feature = CASE WHEN d.family IN ('theme', 'outlet') THEN 'visitors' ELSE 'orders' END
+      WHERE d.family <> 'total' GROUP BY d.geo, d.family, d.feature)""",
 }
 
 
+RECURSIVE = {"search", "fit", "lloyd"}
+
+
 def _with_steps(sql: str) -> str:
     """Put the steps a query needs in front of it, in the order they are defined."""
     needed: set[str] = set()
@@ -435,10 +560,8 @@ def _with_steps(sql: str) -> str:
         for name in words & STEPS.keys() - needed:
             needed.add(name)
             pending.append(STEPS[name])
-    recursive = "RECURSIVE " if "search" in needed else ""
-    parts = [
-        f"{name} AS {'' if name == 'search' else 'MATERIALIZED '}({STEPS[name].strip()})" for name in STEPS if name in needed
-    ]
+    recursive = "RECURSIVE " if needed & RECURSIVE else ""
+    parts = [f"{name} AS {'' if name in RECURSIVE else 'MATERIALIZED '}({STEPS[name].strip()})" for name in STEPS if name in needed]
     own = sql.removeprefix("WITH ")  # a query's own steps come after
     return f"WITH {recursive}{', '.join(parts)}{' ' if own == sql else ', '}{own}"
 

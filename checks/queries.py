@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import nav_theme, null_search_flag
-from terrane.operators import clusters, neighbours, nmf, tsne
+from terrane.operators import bitmaps, clusters, kmeans, matching, neighbours, nmf, tsne
 from terrane.params import Params
 from terrane.plans import features, orders, refresh, run, segments, sessions
 from terrane.session import Workspace
@@ -145,6 +145,32 @@ def outlet_visitors_by_cbsa_month(spark, src):
     return sessions.outlet_visitors_by_geo(src, PARAMS, ["cbsa_name", "fiscal_month"])
 
 
+def _stored_visitor_bits(spark, src) -> DataFrame:
+    return Workspace(spark, "bits").save(sessions.visitor_bits(src, PARAMS), "visitors")
+
+
+@query
+def visitors_by_geo_from_bits(spark, src):
+    """The roll-ups below come from one stored table of bitmaps per day, region, theme and site."""
+    return bitmaps.rolled_up(_stored_visitor_bits(spark, src), ["dma_code"], "visitor_count_total")
+
+
+@query
+def visitors_by_geo_month_from_bits(spark, src):
+    return bitmaps.rolled_up(_stored_visitor_bits(spark, src), ["dma_code", "fiscal_month"], "visitor_count_total")
+
+
+@query
+def nav_theme_visitors_by_geo_from_bits(spark, src):
+    return bitmaps.rolled_up(_stored_visitor_bits(spark, src).where("located"), ["dma_code", "nav_theme"], "visitor_count")
+
+
+@query
+def outlet_visitors_by_cbsa_month_from_bits(spark, src):
+    bits = _stored_visitor_bits(spark, src).where("located AND site_id = 'outlet'")
+    return bitmaps.rolled_up(bits, ["cbsa_name", "fiscal_month", "site_id"], "visitor_count")
+
+
 # --- orders ---
 
 
@@ -223,6 +249,18 @@ def order_features_one_pass(spark, src):
     return orders.order_features_one_pass(src, PARAMS)
 
 
+@query
+def brand_orders_by_cbsa_from_bits(spark, src):
+    bits = Workspace(spark, "bits").save(orders.order_bits(src, PARAMS), "orders")
+    return bitmaps.rolled_up(bits, ["cbsa_name", "brand_desc"], "order_count")
+
+
+@query
+def color_orders_by_geo_from_bits(spark, src):
+    bits = Workspace(spark, "bits").save(orders.order_bits(src, PARAMS), "orders")
+    return bitmaps.rolled_up(bits, ["dma_code", "color_family"], "order_count")
+
+
 @query
 def geo_map(spark, src):
     return orders.geo_map(src, PARAMS)
@@ -257,7 +295,7 @@ def refresh_tables(spark, src):
 def refresh_status(spark, src):
     """Freshness after a recorded state: unchanged, another window, a dimension emptied, a late row with an old date."""
     sink = refresh.FolderSink(spark, Workspace(spark, "status").root)
-    sink.replace("refresh_state", refresh.source_state(src, PARAMS))
+    sink.replace("refresh_state", spark.createDataFrame(refresh.source_state(src, PARAMS), refresh.STATE))
     late = src("order_line").orderBy("order_date_key", "order_id", "sku_key").limit(1)
     changed = {
         "unchanged": (src, PARAMS),
@@ -282,7 +320,10 @@ def feature_long(spark, src):
 
 @query
 def feature_matrix(spark, src):
-    return features.feature_matrix(Workspace(spark, "matrix").save(features.feature_long(src, PARAMS), "feature_long"))
+    """The wide matrix, its columns turned to rows for comparison: SQL cannot name columns that the data decide."""
+    long = Workspace(spark, "matrix").save(features.feature_long(src, PARAMS), "feature_long")
+    wide = features.feature_matrix(long)
+    return wide.unpivot("geo", [c for c in wide.columns if c != "geo"], "name", "value")
 
 
 def _shares(spark, src) -> tuple[DataFrame, Workspace]:
@@ -314,9 +355,9 @@ def nmf_step(spark, src):
 
 @query
 def nmf_factors(spark, src):
-    """Theme weights per region after all rounds."""
+    """Theme weights per region of the settled fit."""
     shares, ws = _shares(spark, src)
-    w = segments.theme_factors(shares, PARAMS, ws).w
+    w = segments.settled_factors(shares, PARAMS, ws).w
     return segments.themes_long(w, "geo", PARAMS.nmf_rank).withColumn("weight", rounded("weight"))
 
 
@@ -331,14 +372,14 @@ def nmf_loss(spark, src):
 @query
 def theme_top_features(spark, src):
     shares, ws = _shares(spark, src)
-    top = segments.theme_top_features(segments.theme_factors(shares, PARAMS, ws), PARAMS)
+    top = segments.theme_top_features(segments.settled_factors(shares, PARAMS, ws), PARAMS)
     return top.withColumn("weight", rounded("weight"))
 
 
 def _points(spark, src) -> tuple[DataFrame, list[str], Workspace]:
     shares, ws = _shares(spark, src)
     coords = nmf.components(PARAMS.nmf_rank)
-    points = segments.region_points(segments.theme_factors(shares, PARAMS, ws))
+    points = segments.region_points(segments.settled_factors(shares, PARAMS, ws))
     return neighbours.distinct_points(points, coords), coords, ws
 
 
@@ -360,19 +401,93 @@ def tsne_affinities(spark, src):
     return conditional.withColumn("p", rounded("p"))
 
 
-def _new_layout(spark, src) -> DataFrame:
+def _new_layout(spark, src) -> tuple[DataFrame, Workspace]:
     shares, ws = _shares(spark, src)
-    return segments.layout(segments.theme_factors(shares, PARAMS, ws), PARAMS, ws)
+    return segments.layout(segments.settled_factors(shares, PARAMS, ws), PARAMS, ws), ws
 
 
 @query
 def tsne_2d(spark, src):
-    return _new_layout(spark, src)
+    return _new_layout(spark, src)[0]
 
 
 @query
 def kmeans_segments(spark, src):
-    return segments.segment_labels(_new_layout(spark, src), PARAMS)
+    placed, ws = _new_layout(spark, src)
+    return segments.segment_labels(placed, PARAMS, ws)
+
+
+def _theme_points(spark, src) -> tuple[DataFrame, Workspace]:
+    shares, ws = _shares(spark, src)
+    points = segments.region_points(segments.settled_factors(shares, PARAMS, ws))
+    return ws.save(kmeans.as_points(points, nmf.components(PARAMS.nmf_rank)), "theme_points"), ws
+
+
+def _centre_rows(spark, centres: kmeans.Centres) -> DataFrame:
+    rows = [(s, i, x) for s, centre in enumerate(centres[0, 0]) for i, x in enumerate(centre)]
+    return spark.createDataFrame(rows, "segment int, theme int, value double").withColumn("value", rounded("value"))
+
+
+_FIT = [kmeans.Fit(0, 0, PARAMS.segments, PARAMS.seed)]
+
+
+@query
+def kmeans_step(spark, src):
+    """Centres in theme space after the start was drawn and moved once."""
+    points, _ = _theme_points(spark, src)
+    return _centre_rows(spark, kmeans.moved_centres(points, _FIT, kmeans.start_centres(points, _FIT))[0])
+
+
+@query
+def kmeans_themes(spark, src):
+    """Segments of the regions by k-means on their theme weights, settled."""
+    shares, ws = _shares(spark, src)
+    return segments.theme_labels(segments.settled_factors(shares, PARAMS, ws), PARAMS, ws)
+
+
+@query
+def segment_count_gap(spark, src):
+    """Gap statistic of the regions on their two leading theme weights."""
+    shares, ws = _shares(spark, src)
+    points = segments.region_points(segments.settled_factors(shares, PARAMS, ws))
+    leading = points.select("id", F.col("w0").alias("x"), F.col("w1").alias("y"))
+    found = segments.segment_count_gap(ws.save(leading, "leading"), PARAMS, ws)
+    return found.withColumns({c: rounded(c) for c in ("cost", "gap", "error")})
+
+
+@query
+def new_region_segments(spark, src):
+    """Every fifth region left out of the fit and given a segment afterwards."""
+    shares, ws = _shares(spark, src)
+    fitted = ws.save(shares.where("geo % 5 <> 0"), "fitted")
+    factors = segments.settled_factors(fitted, PARAMS, ws)
+    labels = ws.save(segments.theme_labels(factors, PARAMS, ws), "labels")
+    return segments.new_region_labels(shares.where("geo % 5 = 0"), factors, labels, PARAMS)
+
+
+@query
+def share_intervals(spark, src):
+    found = features.share_intervals(src, PARAMS, PARAMS.bootstrap_replicates)
+    return found.withColumns({c: rounded(c) for c in ("value", "low", "high")})
+
+
+@query
+def renumbered_segments(spark, src):
+    """Region code modulo 3, numbered as in an earlier mapping that has other numbers and a fifth of its regions elsewhere."""
+    shares, _ = _shares(spark, src)
+    labels = _fixed_labels(shares)
+    moved = F.when(F.pmod("geo", F.lit(5)) == 0, F.pmod(F.col("geo"), F.lit(2))).otherwise(F.pmod(F.col("geo") + 1, F.lit(3)))
+    return matching.renumbered(labels, labels.withColumn("segment", moved))
+
+
+@query
+def segment_history(spark, src):
+    """The mapping's history after two runs, the second with every fourth region moved."""
+    shares, _ = _shares(spark, src)
+    labels = _fixed_labels(shares)
+    moved = labels.withColumn("segment", F.when(F.pmod("geo", F.lit(4)) == 0, F.lit(0)).otherwise(F.col("segment")))
+    first = matching.with_history(labels, None, "2024-01-28")
+    return matching.with_history(moved, first, "2024-02-28")
 
 
 def _fixed_labels(long: DataFrame) -> DataFrame:
@@ -418,9 +533,30 @@ def cluster_stability(spark, src):
 def segment_run(spark, src):
     """A whole run into a folder of its own: the published mapping, which has every region once."""
     sink = refresh.FolderSink(spark, Workspace(spark, "published").root)
-    coarse = replace(PARAMS, nmf_tolerance=1e-2, tsne_tolerance=2e-2, tsne_early=10, segment_counts=(3, 4))
-    published = run.run(src, coarse, sink)["segment_map"]
-    return published.select("geo", F.col("segment").isNotNull().alias("labelled"), *segments.REGION_NAMES)
+    return run.run(src, PARAMS, sink)["segment_map"]
+
+
+def _theme_segments(spark, src) -> tuple[DataFrame, DataFrame]:
+    """Shares, and the labels of a settled fit."""
+    shares, ws = _shares(spark, src)
+    labels = segments.theme_labels(segments.settled_factors(shares, PARAMS, ws), PARAMS, ws)
+    return shares, ws.save(labels, "theme_labels")
+
+
+@query
+def segment_map_themes(spark, src):
+    return segments.segment_map(_theme_segments(spark, src)[1], src, PARAMS)
+
+
+@query
+def sessions_with_segment_themes(spark, src):
+    return segments.sessions_with_segment(_theme_segments(spark, src)[1], src, PARAMS)
+
+
+@query
+def segment_profile_themes(spark, src):
+    profile = segments.segment_profile(*_theme_segments(spark, src))
+    return profile.withColumn("mean_share", rounded("mean_share")).withColumn("lift", rounded("lift"))
 
 
 @query

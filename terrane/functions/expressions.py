@@ -57,3 +57,9 @@ def key_fraction(key: Column, component: int) -> Column:
     """A repeatable number in [0.1, 1.1) from the text of a key and a component index."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{component}")))
     return F.lit(0.1) + F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def uniform(key: Column, number: Column) -> Column:
+    """A repeatable number inside (0, 1) from the text of a key and a number."""
+    digest = F.md5(F.concat(key.cast("string"), F.lit("|"), number.cast("string")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)

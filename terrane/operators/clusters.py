@@ -1,31 +1,13 @@
-"""k-means segments and the metrics that judge them."""
+"""The metrics that judge segments."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-
-def kmeans_labels(
-    points: DataFrame, coords: Sequence[str], k: int, seed: int, limit: int = 500, tolerance: float = 1e-6
-) -> DataFrame:
-    """Segment of every point: id, segment. Sorted input makes a seed repeatable.
-
-    The fit stops when the centres move by less than `tolerance`; reaching `limit` is an error.
-    """
-    assembled = VectorAssembler(inputCols=list(coords), outputCol="features").transform(points)
-    ordered = assembled.select("id", "features").repartitionByRange("id").sortWithinPartitions("id")
-    model = KMeans(k=k, seed=seed, maxIter=limit, tol=tolerance, featuresCol="features", predictionCol="segment").fit(ordered)
-    if model.summary.numIter >= limit:
-        raise RuntimeError(f"the centres have not settled after {limit} rounds")
-    return model.transform(assembled).select("id", "segment")
-
-
 def long_form(points: DataFrame, coords: Sequence[str]) -> DataFrame:
     """Columns to rows: id, feature, value."""
     return points.unpivot("id", list(coords), "feature", "value")

@@ -1,11 +1,15 @@
-"""Non-negative matrix factorisation of a long table by multiplicative updates (Lee & Seung, 2001)."""
+"""Non-negative matrix factorisation of a long table.
+
+Single rounds by multiplicative updates (Lee & Seung, 2001); whole fits by coordinate updates (HALS:
+Cichocki & Phan, 2009), which settle in far fewer rounds.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import key_fraction
@@ -71,14 +75,8 @@ def updated_factor(
     The numerators do not change while `other` is fixed, so further updates in the same round
     are projections only (accelerated updates: Gillis & Glineur, 2012).
     """
-    # One group-by sums the products of a key, map-side first, and carries its weights: no second join.
-    weights, numerators = components(rank), [f"n{c}" for c in range(rank)]
-    products = cells.join(other, other_key).selectExpr(
-        key, *[f"value * w{c} AS n{c}" for c in range(rank)], *[f"CAST(NULL AS DOUBLE) AS {w}" for w in weights]
-    )
-    carried = factor.selectExpr(key, *[f"0D AS {n}" for n in numerators], *weights)
-    totals = [*[f"sum({n}) AS {n}" for n in numerators], *[f"max({w}) AS {w}" for w in weights]]
-    current = products.unionAll(carried).groupBy(key).agg(*[F.expr(text) for text in totals])
+    numerators = [f"n{c}" for c in range(rank)]
+    current = _with_numerators(cells, factor, other, key, other_key, rank)
     for _ in range(inner):
         updates = []
         for c in range(rank):
@@ -88,6 +86,37 @@ def updated_factor(
     return current
 
 
+def _with_numerators(cells: DataFrame, factor: DataFrame, other: DataFrame, key: str, other_key: str, rank: int) -> DataFrame:
+    """Each key's weights, and the sums of its cells times the other factor's rows."""
+    # One group-by sums the products of a key, map-side first, and carries its weights: no second join.
+    weights, numerators = components(rank), [f"n{c}" for c in range(rank)]
+    products = cells.join(other, other_key).selectExpr(
+        key, *[f"value * w{c} AS n{c}" for c in range(rank)], *[f"CAST(NULL AS DOUBLE) AS {w}" for w in weights]
+    )
+    carried = factor.selectExpr(key, *[f"0D AS {n}" for n in numerators], *weights)
+    totals = [*[f"sum({n}) AS {n}" for n in numerators], *[f"max({w}) AS {w}" for w in weights]]
+    return products.unionAll(carried).groupBy(key).agg(*[F.expr(text) for text in totals])
+
+
+def gram_of(factor: DataFrame, rank: int) -> Gram:
+    """Inner products of the columns of a stored factor."""
+    row = factor.agg(*[F.expr(text).alias(f"g{n}") for n, text in enumerate(_inner_products(rank))]).first()
+    return _symmetric([row[f"g{n}"] for n in range(len(row))], rank)
+
+
+def folded_in(cells: DataFrame, h: DataFrame, row: str, column: str, rank: int, sweeps: int = 500) -> DataFrame:
+    """(row, w0, ...): the weights of rows that were not in the fit, by non-negative least squares on its column factor `h`.
+
+    Columns that the fit has not seen do not count; a row without any other has weights of zero.
+    """
+    names = components(rank)
+    known = cells.select(row).distinct().join(projected(cells, h, row, column, rank), row, "left")
+    numerators = F.array(*[F.coalesce(f"n{c}", F.lit(0.0)) for c in range(rank)])
+    start = F.array(*[F.lit(0.0)] * rank)
+    solved = known.select(row, swept(start, numerators, gram_of(h, rank), sweeps).alias("_w"))
+    return solved.select(row, *[F.get("_w", F.lit(c)).alias(w) for c, w in enumerate(names)])
+
+
 def squared_norm(cells: DataFrame) -> float:
     return cells.agg(F.expr("sum(value * value)")).first()[0] or 0.0
 
@@ -102,6 +131,36 @@ def loss(
     return norm - 2.0 * inner + crossed
 
 
+def swept(weights: Column, numerators: Column, gram: Gram, sweeps: int) -> Column:
+    """A row's weights after `sweeps` passes of coordinate updates against a fixed other factor.
+
+    Each update is the exact minimum in its coordinate, held at zero. The inner products are one
+    array value of the plan, not part of its text, so every round runs the same compiled code.
+    """
+    rank = len(gram)
+    flat = F.lit([x for row in gram for x in row])
+    components_of = F.sequence(F.lit(0), F.lit(rank - 1))
+
+    def updated(w: Column, c: Column) -> Column:
+        own = F.get(flat, c * (rank + 1))
+        inner = F.aggregate(components_of, F.lit(0.0), lambda total, d: total + F.get(flat, c * rank + d) * F.get(w, d))
+        moved = F.get(w, c) + (F.get(numerators, c) - inner) / own
+        value = F.when(own > EPSILON, F.greatest(moved, F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.transform(w, lambda x, d: F.when(d == c, value).otherwise(x))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rank * sweeps - 1)), weights, lambda w, step: updated(w, step % rank))
+
+
+def swept_factor(
+    cells: DataFrame, factor: DataFrame, other: DataFrame, other_gram: Gram, key: str, other_key: str, rank: int, sweeps: int
+) -> DataFrame:
+    """Coordinate updates of `factor` with `other` held fixed; the numerators stay beside the weights."""
+    weights, numerators = components(rank), [f"n{c}" for c in range(rank)]
+    current = _with_numerators(cells, factor, other, key, other_key, rank)
+    packed = current.select(key, *numerators, swept(F.array(*weights), F.array(*numerators), other_gram, sweeps).alias("_w"))
+    return packed.select(key, *numerators, *[F.get("_w", F.lit(c)).alias(w) for c, w in enumerate(weights)])
+
+
 @dataclass(frozen=True)
 class Factors:
     """Stored factors: `w` per row key, `h` per column key, and the loss before and after each round if traced."""
@@ -111,23 +170,23 @@ class Factors:
     losses: tuple[float, ...]
 
 
-def factorise(
-    cells: DataFrame,
-    row: str,
-    column: str,
-    rank: int,
-    rounds: int,
-    inner: int,
-    ws: Workspace,
-    trace: bool = False,
-    tolerance: float | None = None,
-) -> Factors:
-    """Alternate updates of both factors, for a number of rounds or until the loss has settled.
-
-    With a `tolerance`, a run stops when a round lowers the loss by less than that share of it;
-    `rounds` is then a safety net, and reaching it is an error. Each factor is written after its
-    update, which cuts the lineage; only the two newest versions are kept.
+def factorise(cells: DataFrame, row: str, column: str, rank: int, rounds: int, inner: int, ws: Workspace, trace: bool = False) -> Factors:
+    """A number of rounds of multiplicative updates of both factors.
+
+    Each factor is written after its update, which cuts the lineage; only the two newest versions are kept.
+    """
+    return _alternated(cells, row, column, rank, rounds, inner, ws, updated_factor, trace)
+
+
+def settled(cells: DataFrame, row: str, column: str, rank: int, limit: int, sweeps: int, ws: Workspace, tolerance: float) -> Factors:
+    """Rounds of coordinate updates until one lowers the loss by less than `tolerance` of it.
+
+    `limit` is a safety net, and reaching it is an error. The losses after each round are kept.
     """
+    return _alternated(cells, row, column, rank, limit, sweeps, ws, swept_factor, False, tolerance)
+
+
+def _alternated(cells, row, column, rank, rounds, inner, ws, update, trace, tolerance=None) -> Factors:
     ws = ws.child("factors")
     numerators = [f"n{c}" for c in range(rank)]
     cells = ws.save(cells.select(row, column, "value"), "cells")
@@ -135,21 +194,16 @@ def factorise(
     h, gram_h, _ = saved_with_gram(initial_factor(cells, column, rank), "h0", rank, ws)
     norm = squared_norm(cells) if trace or tolerance is not None else 0.0
     losses = [loss(cells, w, h, (gram_w, gram_h), row, column, rank, norm)] if trace else []
-    before = float("inf")
     for step in range(1, rounds + 1):
-        moved = updated_factor(cells, w, h, gram_h, row, column, rank, inner)
+        moved = update(cells, w, h, gram_h, row, column, rank, inner)
         w, gram_w, _ = saved_with_gram(moved, f"w{step}", rank, ws, numerators)
-        moved = updated_factor(cells, h, w, gram_w, column, row, rank, inner)
+        moved = update(cells, h, w, gram_w, column, row, rank, inner)
         h, gram_h, dot = saved_with_gram(moved, f"h{step}", rank, ws, numerators)
         ws.drop(f"w{step - 1}")
         ws.drop(f"h{step - 1}")
-        now = norm - 2.0 * dot + sum(gram_w[i][j] * gram_h[i][j] for i in range(rank) for j in range(rank))
-        if trace:
-            losses.append(now)
-        if tolerance is not None:
-            if before - now <= tolerance * max(now, EPSILON):
-                return Factors(w, h, tuple(losses))
-            before = now
+        losses.append(norm - 2.0 * dot + sum(gram_w[i][j] * gram_h[i][j] for i in range(rank) for j in range(rank)))
+        if tolerance is not None and len(losses) > 1 and losses[-2] - losses[-1] <= tolerance * max(losses[-1], EPSILON):
+            return Factors(w, h, tuple(losses))
     if tolerance is not None:
         raise RuntimeError(f"the factors have not settled after {rounds} rounds")
     return Factors(w, h, tuple(losses))

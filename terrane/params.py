@@ -44,13 +44,13 @@ class Params:
     end_date: date = date(2021, 1, 2)
 
     nmf_rank: int = 4
-    nmf_rounds: int = 8  # of the queries that show the first rounds
+    nmf_rounds: int = 8  # of the query that shows the loss of the first rounds
     nmf_tolerance: float = 1e-4  # a run stops when a round lowers the loss by less than this share
     nmf_limit: int = 5000  # rounds after which a run that has not converged is an error
     nmf_inner: int = 3
+    nmf_sweeps: int = 10  # passes over a row's weights in a round of a whole fit
     themes_top: int = 5
     perplexity: float = 5.0
-    tsne_rounds: int = 40  # of the query that shows the first rounds
     tsne_tolerance: float = 1e-3  # a run stops when points move by less than this share of the layout's span
     tsne_early: int = 100  # rounds of a run with exaggerated attraction
     tsne_limit: int = 10_000
@@ -59,4 +59,6 @@ class Params:
     segments: int = 4
     segment_counts: tuple[int, ...] = (3, 4, 5, 6)
     seeds: tuple[int, ...] = (1, 2, 3, 4)
+    gap_references: int = 10
+    bootstrap_replicates: int = 40
     seed: int = 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.expressions import region_code
+from terrane.functions.expressions import region_code, uniform
 from terrane.params import OUTLET_SITE, Params
 from terrane.plans import orders, sessions
 from terrane.session import Workspace
@@ -60,29 +61,15 @@ REGISTRY = (
 )
 
 
-def _counts(rows: DataFrame, variables: Sequence[Feature], measure: str) -> DataFrame:
-    """All variables of one branch in one pass: each row is expanded to its entries, then one distinct count."""
+def _entries(rows: DataFrame, variables: Sequence[Feature], measure: str) -> DataFrame:
+    """All variables of one branch in one pass: each row is expanded to its entries (geo, unit, family, feature)."""
     entries = F.array_compact(F.array(*[v.entry() for v in variables]))
     geo = region_code(F.col("dma_code").cast("string")).alias("geo")
     long = rows.select(geo, F.col(measure).alias("unit"), F.explode(entries).alias("entry"))
-    return (
-        long.groupBy("geo", "entry.family", "entry.feature")
-        .agg(F.count_distinct("unit").alias("value"))
-        .select("geo", "family", "feature", F.col("value").cast("double").alias("value"))
-    )
-
+    return long.select("geo", "unit", "entry.family", "entry.feature")
 
-def feature_long(
-    src: Tables,
-    p: Params,
-    registry: Sequence[Feature] = REGISTRY,
-    stored_sessions: DataFrame | None = None,
-    stored_facts: DataFrame | None = None,
-) -> DataFrame:
-    """Counts (geo, family, feature, value) of all registered variables, NULL region included.
 
-    Region codes of both branches pass through the same sentinel map and cast.
-    """
+def _branches(src: Tables, p: Params, registry: Sequence[Feature], stored_sessions: DataFrame | None, stored_facts: DataFrame | None) -> list[DataFrame]:
     parts = []
     visits = [v for v in registry if v.branch == SESSIONS]
     if visits:
@@ -94,33 +81,101 @@ def feature_long(
             else sessions.search_sessions(src, p, columns)
         )
         located = sessions.with_region(rows, src, p, sessions.DEFAULT_GRAIN, "left", mark="_located")
-        parts.append(_counts(located, visits, "visitor_key"))
+        parts.append(_entries(located, visits, "visitor_key"))
     bought = [v for v in registry if v.branch == ORDERS]
     if bought:
         labels = [v.key for v in bought if v.key in orders.LABELS]
         rows = stored_facts if stored_facts is not None else orders.order_lines(src, p, labels)
-        parts.append(_counts(rows, bought, "order_id"))
+        parts.append(_entries(rows, bought, "order_id"))
+    return parts
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     return union
 
 
-def feature_shares(long: DataFrame, registry: Sequence[Feature] = REGISTRY) -> DataFrame:
-    """Counts divided by the region's distinct visitors or orders, the NULL region left out.
+def feature_long(
+    src: Tables,
+    p: Params,
+    registry: Sequence[Feature] = REGISTRY,
+    stored_sessions: DataFrame | None = None,
+    stored_facts: DataFrame | None = None,
+) -> DataFrame:
+    """Counts (geo, family, feature, value) of all registered variables, NULL region included.
 
-    `long` is read twice, so pass a stored table. A NULL value of a key is labelled.
+    Region codes of both branches pass through the same sentinel map and cast.
+    """
+    keys = ("geo", "family", "feature")
+    parts = _branches(src, p, registry, stored_sessions, stored_facts)
+    return _union([part.groupBy(*keys).agg(F.count_distinct("unit").cast("double").alias("value")) for part in parts])
+
+
+# Upper ends of the chances of a Poisson number with mean 1: weight n is drawn from the n-th interval.
+_POISSON = [sum(math.exp(-1.0) / math.factorial(j) for j in range(n + 1)) for n in range(9)]
+
+
+def poisson_weight(unit: Column, replicate: int) -> Column:
+    """How often a replicate draws a unit: a Poisson number from the hash of both, 9 at most."""
+    u = uniform(unit, F.lit(replicate))
+    return sum((F.when(u > bound, 1).otherwise(0) for bound in _POISSON), F.lit(0))
+
+
+def share_intervals(
+    src: Tables,
+    p: Params,
+    replicates: int,
+    registry: Sequence[Feature] = REGISTRY,
+    stored_sessions: DataFrame | None = None,
+    stored_facts: DataFrame | None = None,
+) -> DataFrame:
+    """(geo, family, feature, value, low, high): shares and the range they keep when visitors and orders are redrawn.
+
+    A Poisson bootstrap (Hanley & MacGibbon, 2006): in each replicate a visitor or order counts as
+    often as its hash says, the same in all regions and variables. All replicates are sums of one
+    group-by. `low` and `high` leave out a twentieth of the replicates on either side; a replicate that
+    draws nothing of a region counts as 0.
     """
+    keys = ("geo", "family", "feature")
+    draws = F.array(*[poisson_weight(F.col("unit"), r) for r in range(1, replicates + 1)])
+    sums = F.array(*[F.sum(F.col("_draws")[r]) for r in range(replicates)])
+    parts = []
+    for part in _branches(src, p, registry, stored_sessions, stored_facts):
+        units = part.where("geo IS NOT NULL AND unit IS NOT NULL").distinct().withColumn("_draws", draws)
+        parts.append(units.groupBy(*keys).agg(F.count("*").cast("double").alias("value"), sums.alias("drawn")))
+    counts = _union(parts).withColumn("base", _base(registry))
+    totals = counts.where("family = 'total'").select("geo", F.col("feature").alias("base"), F.col("value").alias("total"), F.col("drawn").alias("drawn_total"))
+    joined = counts.where("family <> 'total'").join(totals, ["geo", "base"])
+    ranked = F.array_sort(F.zip_with("drawn", "drawn_total", lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))))
+    cut = replicates // 20
+    return joined.select(
+        "geo", "family", F.coalesce("feature", F.lit(NO_LABEL)).alias("feature"), (F.col("value") / F.col("total")).alias("value"),
+        F.get(ranked, F.lit(cut)).alias("low"), F.get(ranked, F.lit(replicates - 1 - cut)).alias("high"),
+    )
+
+
+def _base(registry: Sequence[Feature]) -> Column:
+    """The total that a family's counts are divided by."""
     base = F.lit(None).cast("string")
     for variable in registry:
         if variable.key is not None:
             total = "visitors" if variable.branch == SESSIONS else "orders"
             base = F.when(F.col("family") == variable.family, total).otherwise(base)
+    return base
+
+
+def feature_shares(long: DataFrame, registry: Sequence[Feature] = REGISTRY) -> DataFrame:
+    """Counts divided by the region's distinct visitors or orders, the NULL region left out.
+
+    `long` is read twice, so pass a stored table. A NULL value of a key is labelled.
+    """
     known = long.where(F.col("geo").isNotNull())
     totals = known.where(F.col("family") == "total").select(
         "geo", F.col("feature").alias("base"), F.col("value").alias("total")
     )
-    counts = known.where(F.col("family") != "total").withColumn("base", base)
+    counts = known.where(F.col("family") != "total").withColumn("base", _base(registry))
     return counts.join(totals, ["geo", "base"]).select(
         "geo",
         "family",

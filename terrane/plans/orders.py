@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import cost, demand, region_code
+from terrane.operators.bitmaps import distinct_bits
 from terrane.operators.joins import join_nullable
 from terrane.operators.rollup import distinct_count, distinct_count_sets
 from terrane.params import (
@@ -178,6 +179,15 @@ def order_features_one_pass(src: Tables, p: Params, facts: DataFrame | None = No
     return distinct_count_sets(rows, "dma_code", ORDER_KEYS, "order_id", "order_count")
 
 
+ORDER_BIT_KEYS = ("fiscal_date", "dma_code", "cbsa_name", *ORDER_KEYS)
+
+
+def order_bits(src: Tables, p: Params, facts: DataFrame | None = None) -> DataFrame:
+    """Orders per day, region and the five keys as bitmaps: one table for all order roll-ups."""
+    rows = facts if facts is not None else order_lines(src, p, [])
+    return distinct_bits(rows, ORDER_BIT_KEYS, "order_id")
+
+
 def geo_map(src: Tables, p: Params, facts: DataFrame | None = None) -> DataFrame:
     """Distinct region attributes that occur with an order, the empty block included."""
     rows = facts if facts is not None else order_lines(src, p, [])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 from functools import partial
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrane.params import Params
 from terrane.plans import orders, sessions
@@ -26,7 +30,9 @@ class FolderSink:
 
     A replaced table is written to a folder of its own. Only when that is complete, one small
     file is added to the table's list of versions, which makes it current. So a reader sees the
-    old or the new table, and a failed job leaves the old one.
+    old or the new table, and a failed job leaves the old one. The file holds the schema too, so
+    an empty table reads back like any other. One writer at a time: a second one that takes the
+    same number is refused.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -35,33 +41,43 @@ class FolderSink:
     def replace(self, name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Replace a table by a result and read it back."""
         versions = self._versions(name)
-        number, version = (versions[0][0] if versions else 0) + 1, uuid.uuid4().hex
+        number, version = (versions[0]["number"] if versions else 0) + 1, uuid.uuid4().hex
         writer = _laid_out(df, partition_by).write
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.root}/{name}/{version}")
-        row = self.spark.createDataFrame([(number, version)], VERSION).coalesce(1)
-        row.write.mode("append").json(f"{self.root}/{name}/_versions")
-        for _, old in versions[KEPT_VERSIONS - 1 :]:
-            remove_folder(self.spark, f"{self.root}/{name}/{old}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{version}").select(*df.columns)
+        row = self.spark.createDataFrame([(number, version, df.schema.json())], VERSION).coalesce(1)
+        # A number that is taken already is an error.
+        row.write.mode("errorifexists").json(f"{self.root}/{name}/_versions/{number:09d}")
+        for old in versions[KEPT_VERSIONS - 1 :]:
+            remove_folder(self.spark, f"{self.root}/{name}/{old['folder']}")
+        return self._read(name, version, df.schema)
 
     def read(self, name: str) -> DataFrame | None:
         versions = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{versions[0][1]}") if versions else None
+        if not versions:
+            return None
+        return self._read(name, versions[0]["folder"], StructType.fromJson(json.loads(versions[0]["schema"])))
 
-    def _versions(self, name: str) -> list[tuple[int, str]]:
-        """(number, folder) of all versions, the current one first."""
+    def _read(self, name: str, version: str, schema: StructType) -> DataFrame:
+        # Partition columns come last from a folder; the table's own order is kept.
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}").select(*schema.names)
+
+    def _versions(self, name: str) -> list[Row]:
+        """All versions, the current one first."""
         try:
-            rows = self.spark.read.schema(VERSION).json(f"{self.root}/{name}/_versions").collect()
+            stored = self.spark.read.schema(VERSION).option("recursiveFileLookup", True).json(f"{self.root}/{name}/_versions")
+            rows = sorted(stored.collect(), key=lambda r: r["number"], reverse=True)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             return []
-        return sorted(((r["number"], r["folder"]) for r in rows), reverse=True)
+        if len({r["number"] for r in rows}) < len(rows):
+            raise RuntimeError(f"two writers have replaced {name} at the same time")
+        return rows
 
 
-VERSION = "number long, folder string"
+VERSION = "number long, folder string, schema string"
 
 
 class CatalogSink:
@@ -83,7 +99,7 @@ class CatalogSink:
         version = f"{self.database}.{name}__{number:06d}"
         writer.saveAsTable(version)
         self.spark.sql(f"CREATE OR REPLACE VIEW {self.database}.{name} AS SELECT * FROM {version}")
-        for old in sorted(stored)[: -(KEPT_VERSIONS - 1)]:
+        for old in sorted(stored, reverse=True)[KEPT_VERSIONS - 1 :]:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{old}")
         return self.spark.table(version).select(*df.columns)
 
@@ -100,9 +116,14 @@ def _laid_out(df: DataFrame, partition_by: str | None) -> DataFrame:
     return df.hint("rebalance", F.col(partition_by)) if partition_by else df
 
 
-def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
-    """Replace all 12 tables. Each branch stores its fact first; its roll-ups read the stored fact."""
+def refresh_tables(src: Tables, p: Params, sink: Sink, state: list[Row] | None = None) -> dict[str, DataFrame]:
+    """Replace all 12 tables. Each branch stores its fact first; its roll-ups read the stored fact.
+
+    `state` is what `source_state` gave, if it has been asked for already.
+    """
     spark = src("calendar").sparkSession
+    # Read before the facts, so that rows that arrive meanwhile count as not yet refreshed.
+    state = source_state(src, p, contents=False) if state is None else state
 
     def session_branch() -> dict[str, DataFrame]:
         stored = sink.replace("search_sessions", sessions.search_sessions(src, p), FACTS["search_sessions"])
@@ -127,12 +148,9 @@ def refresh_tables(src: Tables, p: Params, sink: Sink) -> dict[str, DataFrame]:
         made["geo_map"] = partial(orders.geo_map, src, p, facts)
         return {"order_facts": facts, **_replaced(sink, made)}
 
-    # Read before the facts, so that rows that arrive meanwhile count as not yet refreshed.
-    # One row per source and one for the window.
-    state = spark.createDataFrame(source_state(src, p).collect(), STATE)
     window = {"run_window": sink.replace("run_window", sessions.run_window(spark, p))}
     branches = in_parallel({"sessions": session_branch, "orders": order_branch})
-    sink.replace("refresh_state", state)
+    sink.replace("refresh_state", spark.createDataFrame(state, STATE))
     return {**window, **branches["sessions"], **branches["orders"]}
 
 
@@ -144,42 +162,103 @@ def _replace_one(sink: Sink, name: str, build: Callable[[], DataFrame]) -> DataF
     return sink.replace(name, build())
 
 
-STATE = "source string, row_count long, checksum string"
+STATE = "source string, row_count long, checksum string, files string"
 WINDOW = "(window)"
 
 
-def source_state(src: Tables, p: Params) -> DataFrame:
-    """Rows and an order-free checksum of every source, and the window of the run."""
-    window = f"{p.start_key} {p.end_key} {p.start_date} {p.end_date}"
+def source_files(src: Tables) -> dict[str, str]:
+    """Per source that can say how it is read: a digest of that, and of the path, size and time of each file behind it.
+
+    Files are listed, not opened. A source without a definition, or without files, has none.
+    """
+    if not hasattr(src, "definition"):
+        return {}
     spark = src("calendar").sparkSession
-    union = spark.range(1).select(F.lit(WINDOW).alias("source"), F.lit(1).cast("long").alias("row_count"), F.lit(window).alias("checksum"))
+    behind = {source: sorted(src(source).inputFiles()) for source in SOURCE_TABLES}
+    every = sorted({path for paths in behind.values() for path in paths})
+    if not every:
+        return {}
+    # Of this source only the listing is read: no column of it is the content.
+    listed = spark.read.format("binaryFile").load(every).select("path", F.col("modificationTime").cast("double").alias("at"), "length")
+    facts = {r["path"]: f"{r['path']} {r['length']} {r['at']}" for r in listed.collect()}
+
+    def bare(path: str) -> str:
+        """A path as listed: the two interfaces differ in how they write a scheme and special characters."""
+        return unquote(path).replace("///", "/", 1)
+
+    known = {bare(path): fact for path, fact in facts.items()}
+    found = {}
+    for source, paths in behind.items():
+        if paths and all(bare(path) in known for path in paths):
+            text = "\n".join([src.definition(source), *(known[bare(path)] for path in paths)])
+            found[source] = hashlib.sha256(text.encode()).hexdigest()
+    return found
+
+
+def source_state(src: Tables, p: Params, last: dict[str, Row] | None = None, contents: bool = True) -> list[Row]:
+    """One row of STATE per source, and one for the window of the run.
+
+    A source whose files are those of its row in `last` keeps this row: none of its columns is
+    read. Of the others, rows and an order-free checksum are computed, unless `contents` is off
+    and the source has files to go by.
+    """
+    last = last or {}
+    files = source_files(src)
+    window = f"{p.start_key} {p.end_key} {p.start_date} {p.end_date}"
+    state = {WINDOW: Row(source=WINDOW, row_count=1, checksum=window, files=None)}
+    union = None
     for source in SOURCE_TABLES:
-        df = src(source)
-        content = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string")
-        union = union.unionAll(df.agg(F.lit(source).alias("source"), F.count("*").alias("row_count"), content.alias("checksum")))
-    return union
+        known = files.get(source)
+        if known is not None and source in last and last[source]["files"] == known and (last[source]["checksum"] is not None or not contents):
+            state[source] = last[source]
+        elif known is not None and not contents:
+            state[source] = Row(source=source, row_count=None, checksum=None, files=known)
+        else:
+            df = src(source)
+            content = F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string")
+            counted = df.agg(F.lit(source).alias("source"), F.count("*").alias("row_count"), F.coalesce(content, F.lit("empty")).alias("checksum"))
+            union = counted if union is None else union.unionAll(counted)
+    if union is not None:
+        for r in union.collect():  # one row a source
+            state[r["source"]] = Row(**r.asDict(), files=files.get(r["source"]))
+    return list(state.values())
+
+
+def _stored_state(sink: Sink) -> dict[str, Row]:
+    stored = sink.read("refresh_state")
+    return {r["source"]: r for r in stored.collect()} if stored is not None else {}
+
+
+def _stale(now: Row, last: Row | None) -> bool:
+    if last is None:
+        return True
+    if now["files"] is not None and now["files"] == last["files"]:
+        return False
+    return now["checksum"] is None or now["checksum"] != last["checksum"] or now["row_count"] != last["row_count"]
 
 
 def refresh_status(src: Tables, p: Params, sink: Sink) -> DataFrame:
     """Per source, and for the window: rows now and at the last refresh, and whether it calls for a refresh.
 
     Any row that was added, removed or altered does, whatever its date, and so does another window.
+    Sources are first told by their files; only where these have changed, or are unknown, by content.
+    A source whose content was not recorded, and whose files have changed, calls for a refresh.
     """
-    now = source_state(src, p)
-    last = sink.read("refresh_state")
-    if last is None:
-        last = now.sparkSession.createDataFrame([], STATE)
-    stored = last.select("source", F.col("row_count").alias("stored_count"), F.col("checksum").alias("stored_checksum"))
-    same = (F.col("row_count") == F.col("stored_count")) & F.col("checksum").eqNullSafe(F.col("stored_checksum"))
-    joined = now.join(stored, "source", "left")
-    return joined.select("source", "row_count", "stored_count", (~F.coalesce(same, F.lit(False))).alias("needs_refresh"))
+    last = _stored_state(sink)
+    found = []
+    for now in source_state(src, p, last, contents=any(r["checksum"] is not None for r in last.values() if r["source"] != WINDOW)):
+        before = last.get(now["source"])
+        found.append((now["source"], now["row_count"], before["row_count"] if before else None, _stale(now, before)))
+    return src("calendar").sparkSession.createDataFrame(found, "source string, row_count long, stored_count long, needs_refresh boolean")
 
 
 def refresh_if_needed(src: Tables, p: Params, sink: Sink) -> bool:
     """Run the full refresh only if a source or the window has changed since the stored tables were made."""
-    needed = not refresh_status(src, p, sink).where("needs_refresh").isEmpty()
+    last = _stored_state(sink)
+    state = source_state(src, p, last, contents=False)
+    needed = any(_stale(now, last.get(now["source"])) for now in state)
     if needed:
-        refresh_tables(src, p, sink)
+        refresh_tables(src, p, sink, state)
     return needed
 
 

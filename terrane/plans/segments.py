@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.operators import clusters, neighbours, nmf, tsne
+from terrane.operators import clusters, kmeans, neighbours, nmf, tsne
 from terrane.params import Params
 from terrane.plans import features, orders, sessions
-from terrane.session import Workspace, in_parallel
+from terrane.session import Workspace
 from terrane.sources.tables import Tables
 
 LAYOUT = ("x", "y")
@@ -30,9 +29,7 @@ def theme_factors(shares: DataFrame, p: Params, ws: Workspace, trace: bool = Fal
 
 def settled_factors(shares: DataFrame, p: Params, ws: Workspace) -> nmf.Factors:
     """Features to themes, until the loss has settled."""
-    return nmf.factorise(
-        model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_limit, p.nmf_inner, ws, True, p.nmf_tolerance
-    )
+    return nmf.settled(model_cells(shares), "geo", "label", p.nmf_rank, p.nmf_limit, p.nmf_sweeps, ws, p.nmf_tolerance)
 
 
 def themes_long(factor: DataFrame, key: str, rank: int) -> DataFrame:
@@ -55,51 +52,69 @@ def region_points(factors: nmf.Factors) -> DataFrame:
     return factors.w.withColumnRenamed("geo", "id").withColumn("id", F.col("id").cast("long"))
 
 
-def layout(factors: nmf.Factors, p: Params, ws: Workspace, settled: bool = False) -> DataFrame:
-    """Two-dimensional layout of all regions; equal points are laid out once and share the place.
-
-    The first rounds, or until it has settled.
-    """
+def layout(factors: nmf.Factors, p: Params, ws: Workspace) -> DataFrame:
+    """Two-dimensional layout of all regions, once it has settled; equal points are laid out once and share the place."""
     coords = nmf.components(p.nmf_rank)
     points = region_points(factors)
-    rounds = (p.tsne_limit, ws, p.tsne_tolerance, p.tsne_early) if settled else (p.tsne_rounds, ws)
-    placed = tsne.embed(neighbours.distinct_points(points, coords), coords, p.perplexity, *rounds)
+    placed = tsne.embed(neighbours.distinct_points(points, coords), coords, p.perplexity, p.tsne_limit, ws, p.tsne_tolerance, p.tsne_early)
     positions = neighbours.distinct_points(points, coords).join(placed, "id").select(*coords, *LAYOUT)
     return ws.child("placed").save(points.join(positions, coords).select("id", *LAYOUT), "layout")
 
 
-def segment_labels(placed: DataFrame, p: Params) -> DataFrame:
-    """geo, segment by k-means on the layout."""
-    labels = clusters.kmeans_labels(placed, LAYOUT, p.segments, p.seed, p.kmeans_limit, p.kmeans_tolerance)
-    return labels.select(F.col("id").cast("int").alias("geo"), "segment")
+def labelled_points(points: DataFrame, coords: Sequence[str], runs: Sequence[tuple[int, int, int]], p: Params, ws: Workspace) -> DataFrame:
+    """(run, id, segment) of several (run, k, seed) settings; all fits go side by side in the same jobs."""
+    stored = ws.child("kmeans").save(kmeans.as_points(points, coords), "points")
+    fits = [kmeans.Fit(0, *run) for run in runs]
+    centres, _ = kmeans.settled_centres(stored, fits, p.kmeans_limit, p.kmeans_tolerance)
+    return kmeans.labelled(stored, fits, centres).select("run", "id", "segment")
 
 
-def _labellings(placed: DataFrame, runs: Sequence[tuple[int, int, int]], p: Params) -> DataFrame:
-    """Labels of several (run, k, seed) settings in one table; the fits run side by side."""
-    fits = {
-        run: partial(clusters.kmeans_labels, placed, LAYOUT, k, seed, p.kmeans_limit, p.kmeans_tolerance)
-        for run, k, seed in runs
-    }
-    union = None
-    for run, labels in in_parallel(fits).items():
-        tagged = labels.select(F.lit(run).alias("run"), "id", "segment")
-        union = tagged if union is None else union.unionByName(tagged)
-    return union
+def segment_labels(points: DataFrame, p: Params, ws: Workspace, coords: Sequence[str] = LAYOUT) -> DataFrame:
+    """geo, segment by k-means on the layout, or on other coordinates."""
+    labels = labelled_points(points, coords, [(0, p.segments, p.seed)], p, ws)
+    return labels.select(F.col("id").cast("int").alias("geo"), "segment")
 
 
 def segment_count_sweep(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Metrics of every number of segments tried; `run` is k."""
-    labels = ws.child("runs").save(_labellings(placed, [(k, k, p.seed) for k in p.segment_counts], p), "labels")
+    labels = ws.child("runs").save(labelled_points(placed, LAYOUT, [(k, k, p.seed) for k in p.segment_counts], p, ws), "labels")
     return clusters.cluster_metrics(clusters.long_form(placed, LAYOUT), labels)
 
 
 def segment_stability(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
     """Agreement of the labels of every seed with those of the first; `run` is the seed."""
-    labels = ws.child("runs").save(_labellings(placed, [(seed, p.segments, seed) for seed in p.seeds], p), "labels")
+    labels = ws.child("runs").save(labelled_points(placed, LAYOUT, [(seed, p.segments, seed) for seed in p.seeds], p, ws), "labels")
     base = labels.where(F.col("run") == p.seeds[0])
     return clusters.adjusted_rand(labels, base)
 
 
+def theme_labels(factors: nmf.Factors, p: Params, ws: Workspace) -> DataFrame:
+    """geo, segment by k-means on the theme weights themselves."""
+    return segment_labels(region_points(factors), p, ws, nmf.components(p.nmf_rank))
+
+
+def new_region_labels(shares: DataFrame, factors: nmf.Factors, labels: DataFrame, p: Params) -> DataFrame:
+    """geo, segment of regions outside the fit: theme weights by non-negative least squares on the
+    fixed features, then the nearest of the segments' mean theme weights.
+
+    Features that the fit has not seen do not count. A region without any known feature has weights of zero.
+    """
+    coords = nmf.components(p.nmf_rank)
+    folded = nmf.folded_in(model_cells(shares), factors.h, "geo", "label", p.nmf_rank)
+    means = factors.w.select(F.col("geo").cast("int").alias("geo"), *coords).join(labels.where("segment IS NOT NULL"), "geo")
+    rows = means.groupBy("segment").agg(*[F.avg(c).alias(c) for c in coords]).orderBy("segment").collect()  # one row a segment
+    numbers = F.array(*[F.lit(r["segment"]) for r in rows])
+    fit = kmeans.Fit(0, 0, len(rows), 0)
+    points = kmeans.as_points(folded.withColumnRenamed("geo", "id"), coords)
+    found = kmeans.labelled(points, [fit], {(0, 0): [[r[c] for c in coords] for r in rows]})
+    return found.select(F.col("id").cast("int").alias("geo"), F.get(numbers, F.col("segment")).alias("segment"))
+
+
+def segment_count_gap(placed: DataFrame, p: Params, ws: Workspace) -> DataFrame:
+    """Gap statistic of one segment up to one more than the most tried."""
+    return kmeans.gap_statistic(placed, LAYOUT, range(1, max(p.segment_counts) + 2), p.gap_references, p.seed, ws)
+
+
 def chosen_count(metrics: DataFrame) -> int:
     """The number of segments with the highest silhouette, the smaller one if equal. One row per count tried."""
     return metrics.orderBy(F.round("silhouette", 9).desc(), "segments").first()["segments"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.expressions import has_text, nav_theme, null_search_flag
+from terrane.operators.bitmaps import distinct_bits
 from terrane.operators.rollup import distinct_count
 from terrane.params import CATEGORY_TYPES, OUTLET_SITE, SEARCH_TEMPLATE, Params
 from terrane.sources.tables import Tables
@@ -152,6 +153,20 @@ def outlet_visitors_by_geo(
     return distinct_count(located, [*grain, "site_id"], "visitor_key", "visitor_count")
 
 
+BIT_KEYS = ("session_search_date_key", "fiscal_month", "dma_code", "cbsa_name", "nav_theme", "site_id", "located")
+
+
+def visitor_bits(src: Tables, p: Params, sessions: DataFrame | None = None) -> DataFrame:
+    """Visitors per day, region, theme and site as bitmaps: one table for all visitor roll-ups.
+
+    `located` is null for visitors without a session row for the day; themes and sites count only where it is not.
+    """
+    grain = ("dma_code", "cbsa_name")
+    rows = _cleaned(src, p, sessions, ["fiscal_month"], ["nav_breadcrumb", "site_id"])
+    placed = with_region(rows, src, p, grain, "left", mark="located").withColumnRenamed("nav_breadcrumb", "nav_theme")
+    return distinct_bits(placed, BIT_KEYS, "visitor_key")
+
+
 def sessions_in_window_by_subquery(src: Tables, p: Params) -> DataFrame:
     """Search rows per day, the window bounds read from a one-row table by scalar subqueries."""
     searches = src("session_search")

@@ -172,6 +172,10 @@ class DerivedTables:
         df = getattr(self, table)().select(*columns)
         return df.distinct() if table in DISTINCT_TABLES else df
 
+    def definition(self, table: str) -> str:
+        """How a table is made; with the files behind it, this fixes its rows."""
+        return f"derived {self.sf_dir} {table} {sorted(COLUMNS[table].items())}"
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 

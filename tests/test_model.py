@@ -230,15 +230,3 @@ def test_adjusted_rand(spark):
     )
     found = {r["run"]: r["adjusted_rand"] for r in clusters.adjusted_rand(runs, base).collect()}
     assert math.isclose(found[1], 1.0) and math.isclose(found[2], 4 / 7) and math.isclose(found[3], -0.5)
-
-
-def test_kmeans_rows_sit_at_their_nearest_centre_and_repeat(spark):
-    values = np.random.default_rng(11).normal(size=(50, 2)) * 3
-    points = point_table(spark, values)
-    first = {r["id"]: r["segment"] for r in clusters.kmeans_labels(points, COORDS[:2], 3, 1).collect()}
-    again = {r["id"]: r["segment"] for r in clusters.kmeans_labels(points.repartition(5), COORDS[:2], 3, 1).collect()}
-    assert first == again and len(first) == 50
-    tags = np.array([first[i] for i in range(50)])
-    centres = np.stack([values[tags == s].mean(axis=0) for s in range(3)])
-    nearest = ((values[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-    assert (nearest == tags).all()
