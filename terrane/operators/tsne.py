@@ -291,7 +291,7 @@ def embed(
         width = interval_width(span)
         field = Field(charges(layout, width).toPandas(), width)
         shared = layout.sparkSession.sparkContext.broadcast(field.shared())
-        exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.8)
+        exaggeration, momentum = (EXAGGERATION, 0.5) if number <= early else (1.0, 0.9)
         moved = _moved(layout, edges, shared, exaggeration, momentum, rate)
         layout, span, speed = _saved_with_span(moved, f"layout{number}", ws)
         shared.destroy()

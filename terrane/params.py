@@ -52,7 +52,7 @@ class Params:
     themes_top: int = 5
     perplexity: float = 5.0
     tsne_tolerance: float = 1e-3  # a run stops when points move by less than this share of the layout's span
-    tsne_early: int = 100  # rounds of a run with exaggerated attraction
+    tsne_early: int = 50  # rounds of a run with exaggerated attraction
     tsne_limit: int = 10_000
     kmeans_limit: int = 500
     kmeans_tolerance: float = 1e-6

@@ -117,10 +117,11 @@ def feature_long(
 _POISSON = [sum(math.exp(-1.0) / math.factorial(j) for j in range(n + 1)) for n in range(9)]
 
 
-def poisson_weight(unit: Column, replicate: int) -> Column:
-    """How often a replicate draws a unit: a Poisson number from the hash of both, 9 at most."""
-    u = uniform(unit, F.lit(replicate))
-    return sum((F.when(u > bound, 1).otherwise(0) for bound in _POISSON), F.lit(0))
+def poisson_weights(unit: Column, replicates: int) -> Column:
+    """How often each replicate draws a unit: Poisson numbers from the hash of both, 9 at most."""
+    bounds = F.lit(_POISSON)
+    numbers = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: uniform(unit, r))
+    return F.transform(numbers, lambda u: F.size(F.filter(bounds, lambda bound: u > bound)))
 
 
 def share_intervals(
@@ -139,7 +140,7 @@ def share_intervals(
     draws nothing of a region counts as 0.
     """
     keys = ("geo", "family", "feature")
-    draws = F.array(*[poisson_weight(F.col("unit"), r) for r in range(1, replicates + 1)])
+    draws = poisson_weights(F.col("unit"), replicates)
     sums = F.array(*[F.sum(F.col("_draws")[r]) for r in range(replicates)])
     parts = []
     for part in _branches(src, p, registry, stored_sessions, stored_facts):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrane.params import Params
 from terrane.plans import features, refresh, segments
-from terrane.sources.tables import catalog_tables
+from terrane.sources.tables import SOURCE_TABLES, catalog_tables, parquet_tables
 
 P = Params(start_key=20240103, end_key=20240128, start_date=date(2024, 1, 3), end_date=date(2024, 1, 28))
 
@@ -23,11 +23,45 @@ def test_refresh_only_when_needed(spark, derived, tmp_path):
     shorter = replace(P, end_key=20240110, end_date=date(2024, 1, 10))
     assert refresh.refresh_if_needed(derived, shorter, sink)
     assert sink.read("search_sessions").count() < before
+    # Files tell nothing about a reader without definitions: it goes by the content, where that was recorded.
+    sink.replace("refresh_state", spark.createDataFrame(refresh.source_state(derived, shorter), refresh.STATE))
     emptied = lambda table: derived(table).limit(0) if table == "dma_district" else derived(table)
     status = {r["source"]: r["needs_refresh"] for r in refresh.refresh_status(emptied, shorter, sink).collect()}
     assert [name for name, stale in status.items() if stale] == ["dma_district"] and len(status) == 16
 
 
+def test_unchanged_files_are_not_read(spark, tmp_path):
+    """Sources with a definition are told by their files alone; only a changed one is counted."""
+    for name in SOURCE_TABLES:
+        spark.range(5).write.parquet(str(tmp_path / name))
+    src = parquet_tables(spark, str(tmp_path))
+    first = {r["source"]: r for r in refresh.source_state(src, P)}
+    assert all(r["files"] and r["row_count"] == 5 for s, r in first.items() if s != refresh.WINDOW)
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "order_flow"))
+    again = {r["source"]: r for r in refresh.source_state(src, P, first)}
+    assert [s for s in SOURCE_TABLES if again[s] != first[s]] == ["order_flow"] and again["order_flow"]["row_count"] == 7
+    lazy = {r["source"]: r for r in refresh.source_state(src, P, contents=False)}
+    assert all(r["checksum"] is None and r["files"] == again[s]["files"] for s, r in lazy.items() if s != refresh.WINDOW)
+    assert refresh._stale(lazy["order_flow"], first["order_flow"]) and not refresh._stale(lazy["session"], first["session"])
+    # Rewritten with the same rows: other files, equal content.
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "session"))
+    now = {r["source"]: r for r in refresh.source_state(src, P, first)}
+    assert now["session"]["files"] != first["session"]["files"] and not refresh._stale(now["session"], first["session"])
+
+
+def test_empty_tables_read_back_and_two_writers_are_refused(spark, tmp_path):
+    sink = refresh.FolderSink(spark, str(tmp_path / "out"))
+    df = spark.createDataFrame([(1, "a", 2)], "k int, name string, n int")
+    sink.replace("t", df.limit(0), "k")
+    assert sink.read("t").schema == df.schema and sink.read("t").isEmpty()
+    marker = spark.createDataFrame([(1, "other", df.schema.json())], refresh.VERSION)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        marker.write.mode("errorifexists").json(str(tmp_path / "out" / "t" / "_versions" / f"{1:09d}"))
+    marker.write.json(str(tmp_path / "out" / "t" / "_versions" / "elsewhere"))
+    with pytest.raises(RuntimeError, match="two writers"):
+        sink.read("t")
+
+
 def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     sink = refresh.FolderSink(spark, str(tmp_path / "out"))
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, name string")
