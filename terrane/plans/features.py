@@ -135,17 +135,18 @@ def share_intervals(
     """(geo, family, feature, value, low, high): shares and the range they keep when visitors and orders are redrawn.
 
     A Poisson bootstrap (Hanley & MacGibbon, 2006): in each replicate a visitor or order counts as
-    often as its hash says, the same in all regions and variables. All replicates are sums of one
-    group-by. `low` and `high` leave out a twentieth of the replicates on either side; a replicate that
+    often as its hash says, the same in all regions and variables. `low` and `high` leave out a twentieth of the replicates on either side; a replicate that
     draws nothing of a region counts as 0.
     """
     keys = ("geo", "family", "feature")
-    draws = poisson_weights(F.col("unit"), replicates)
-    sums = F.array(*[F.sum(F.col("_draws")[r]) for r in range(replicates)])
     parts = []
     for part in _branches(src, p, registry, stored_sessions, stored_facts):
-        units = part.where("geo IS NOT NULL AND unit IS NOT NULL").distinct().withColumn("_draws", draws)
-        parts.append(units.groupBy(*keys).agg(F.count("*").cast("double").alias("value"), sums.alias("drawn")))
+        units = part.where("geo IS NOT NULL AND unit IS NOT NULL").distinct()
+        # Exploded, so that a unit's weights are computed once; the sums are combined before the shuffle.
+        drawn = units.select(*keys, F.posexplode(poisson_weights(F.col("unit"), replicates)).alias("r", "weight"))
+        sums = drawn.groupBy(*keys, "r").agg(F.count("*").cast("double").alias("value"), F.sum("weight").alias("drawn"))
+        by_replicate = F.array_sort(F.collect_list(F.struct("r", "drawn")))
+        parts.append(sums.groupBy(*keys).agg(F.max("value").alias("value"), by_replicate["drawn"].alias("drawn")))
     counts = _union(parts).withColumn("base", _base(registry))
     totals = counts.where("family = 'total'").select("geo", F.col("feature").alias("base"), F.col("value").alias("total"), F.col("drawn").alias("drawn_total"))
     joined = counts.where("family <> 'total'").join(totals, ["geo", "base"])
