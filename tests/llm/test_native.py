@@ -66,7 +66,7 @@ RARE = {
 }
 
 
-def tested_keys(docs_of, tries=24):
+def planted_keys(docs_of, tries=24):
     """Random keys of each encoding in each length class: (encoding, length class, key, p)."""
     rnd = random.Random(8)
     made = [(e, c, begin + "".join(rnd.choice(a) for _ in range((24 << c >> 4) - len(begin)))) for e, (a, begin) in RARE.items() for c in range(4, 11) for _ in range(tries)]
@@ -79,7 +79,7 @@ def tested_keys(docs_of, tries=24):
 @pytest.mark.parametrize("wanted", [0.1, 0.3, 0.8])
 def test_lone_key_of_each_encoding_and_length(docs_of, wanted):
     lone = {}
-    for encoding, length, key, p in tested_keys(docs_of):
+    for encoding, length, key, p in planted_keys(docs_of):
         if abs(p - wanted) < abs(lone.get((encoding, length), ("", 9))[1] - wanted):
             lone[encoding, length] = key, p
     plain = [f"Version{i}-of-the-document-and-another-path-{i}" for i in range(60)]
