@@ -165,7 +165,12 @@ def hexadecimal(fingerprint: str | Column = "fingerprint") -> Column:
 
 def one_of_each(docs: DataFrame, ws: Workspace, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with one row of each group: its representative, once even if the row is repeated."""
-    keep = groups(docs, ws, id_column, text_column).where("kept")
+    return representatives(docs, groups(docs, ws, id_column, text_column), id_column, text_column)
+
+
+def representatives(docs: DataFrame, grouped: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs` that `grouped` (doc_id, text_hash, kept) keeps, each once."""
+    keep = grouped.where("kept")
     keep = keep.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_hash").alias("_hash")).distinct()
     own_id = F.col(id_column).cast("long")
     # The row travels as one struct, so that its column names meet no others.
