@@ -2,9 +2,11 @@
 
 Every text is measured in whole. For each (language, source) the measures are summarised by
 quantile sketches; sketches merge, so a language's and the corpus's are merged from those of
-its groups, and a group with few documents takes the limits of its language, or of the corpus.
-A limit is the upper quartile plus `REACH` times the distance from the median to it, or the
-least distance that the measure resolves, so a group's own habits set what is odd in it.
+its groups. A limit is the upper quartile plus `REACH` times the distance from the median to it,
+so a group's own habits set what is odd in it. Only where the two are equal, as for a rate that
+is zero in three documents of four, the distance in `MEASURES` is added instead. A group's limit
+is its own with weight n / (n + `POOLED`) and otherwise its language's, which is pooled with the
+corpus's in the same way, so limits move smoothly with the number of documents.
 A text is kept if it fails none of the fixed base rules and no measure is beyond its limit.
 
 All steps are column functions; the texts are read once and never shuffled.
@@ -23,11 +25,11 @@ LEAST_WORDS = 10
 REPEATED_PERCENT = 20
 RUN = 5
 
-REACH = 6.0
-FEW = 100  # documents of a group, below which its limits come from a larger one
+REACH = 40.0  # wide: what is rare but ordinary stays within
+POOLED = 10  # documents of a group at which its own limits weigh as much as the larger one's
 SKETCH_SIZE = 400
 
-# The rates that get adaptive limits, each with the least distance from the quartile that counts.
+# The rates that get adaptive limits, each with its distance from the quartile where a group shows no spread.
 MEASURES = {
     "symbol_rate": 0.02,  # symbols per character of the words
     "line_rate": 0.5,  # repeated lines per line
@@ -94,7 +96,7 @@ def measured(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "lang", "sou
     return counted.select(*columns, *counts, *[rates[m].cast("double").alias(m) for m in MEASURES])
 
 
-def limits(rows: DataFrame, few: int = FEW) -> DataFrame:
+def limits(rows: DataFrame, pooled: int = POOLED) -> DataFrame:
     """(lang, source, n and one limit per measure) for every pair that occurs; nulls are a value."""
     sketch = {m: F.kll_sketch_agg_double(m, F.lit(SKETCH_SIZE)) for m in MEASURES}
     own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[v.alias(m) for m, v in sketch.items()])
@@ -105,22 +107,27 @@ def limits(rows: DataFrame, few: int = FEW) -> DataFrame:
     for m in MEASURES:
         joined = joined.withColumn(f"_all_{m}", corpus.select(m).scalar())
 
+    def alone(sketch: str, m: str) -> Column:
+        middle, upper = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.75))
+        return upper + F.when(upper > middle, (upper - middle) * REACH).otherwise(F.lit(MEASURES[m]))
+
+    def blend(n: str, own: Column, larger: Column) -> Column:
+        return (F.col(n) * own + F.lit(pooled) * larger) / (F.col(n) + F.lit(pooled))
+
     def limit(m: str) -> Column:
-        pick = F.when(F.col("n") >= few, F.col(m)).when(F.col("_n_lang") >= few, F.col(f"_lang_{m}")).otherwise(F.col(f"_all_{m}"))
-        middle, upper = (F.kll_sketch_get_quantile_double(pick, F.lit(q)) for q in (0.5, 0.75))
-        return upper + F.greatest((upper - middle) * REACH, F.lit(MEASURES[m]))
+        return blend("n", alone(m, m), blend("_n_lang", alone(f"_lang_{m}", m), alone(f"_all_{m}", m)))
 
     return joined.select("lang", "source", "n", *[limit(m).alias(f"most_{m}") for m in MEASURES])
 
 
-def judged(docs: DataFrame, ws: Workspace, few: int = FEW) -> DataFrame:
+def judged(docs: DataFrame, ws: Workspace, pooled: int = POOLED) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed, the rates, their limits, and kept.
 
     One row per row of `docs`, repeated rows included. Null languages and sources are groups of
     their own. An empty table gives an empty one.
     """
     rows = ws.save(measured(docs), "measured")
-    most = limits(rows, few).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
+    most = limits(rows, pooled).withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     found = rows.join(most, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT)
     within = F.lit(True)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,34 @@ def test_limits_follow_their_group(docs_of, llm_ws):
     assert sum(kept[i] for i in range(150)) == 150 and all(kept[200 + i] for i in range(150)) and not kept[900]
 
 
+def test_kept_follows_from_the_limits(docs_of, llm_ws):
+    """Under 400 rows a sketch is exact, so limits and verdicts are those of plain quantiles."""
+    random.seed(10)
+    word = lambda: random.choice("abcdefgh") * random.randint(2, 9) + random.choice(["", "", "", "#", "|X"])
+    rows = [(i, " ".join(word() for _ in range(random.randint(10, 60))), ("en", "de", None)[i % 3], random.choice(["a", "b", None])) for i in range(240)]
+    rows += [(1000 + i, " ".join(random.choice(["$" * 40, "A" * 90, "z"]) + str(k) for k in range(30)), "en", "a") for i in range(3)]
+    got = quality_rules.judged(docs_of(rows), llm_ws).toPandas()
+    got["lang"], got["source"] = got.lang.fillna("-"), got.source.fillna("-")
+
+    def alone(rates, m):
+        middle, upper = (np.quantile(rates, q, method="inverted_cdf") for q in (0.5, 0.75))
+        return upper + (quality_rules.REACH * (upper - middle) if upper > middle else quality_rules.MEASURES[m])
+
+    def blend(n, own, larger):
+        return (n * own + quality_rules.POOLED * larger) / (n + quality_rules.POOLED)
+
+    by_spread, kept = 0, ~got.base_failed
+    for m in quality_rules.MEASURES:
+        corpus = alone(got[m], m)
+        for (lang, source), rows_of_group in got.groupby(["lang", "source"]):
+            of_lang = got[got.lang == lang]
+            limit = blend(len(rows_of_group), alone(rows_of_group[m], m), blend(len(of_lang), alone(of_lang[m], m), corpus))
+            assert np.allclose(rows_of_group[f"most_{m}"], limit, rtol=1e-9)
+            by_spread += rows_of_group[m].quantile(0.75) > rows_of_group[m].quantile(0.5)
+        kept &= got[m] <= got[f"most_{m}"]
+    assert by_spread and (kept == got.kept).all() and not got.kept.all()
+
+
 def test_odd_rules(odd_docs, llm_ws):
     assert quality_rules.judged(odd_docs, llm_ws).count() == 11
     assert quality_rules.judged(odd_docs.limit(0), llm_ws.child("none")).count() == 0
