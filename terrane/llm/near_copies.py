@@ -11,13 +11,15 @@ more, so links are certain well above 0.8 and fade out towards 0.7.
 
 Equal fingerprints are one node, and links of a value are returned as a spanning forest, linear
 in its nodes. A value with more than `BUSY` nodes is walked in chunks of about so many, dealt by
-hash; one node of each group found goes on to meet those of the other chunks. Two chunks' groups
-that only other members link are joined where these meet under another value or in one chunk.
+hash. Each chunk's groups go on as a root and its reach, the distance of the farthest member; the
+roots meet in pairs of blocks of about `BUSY`. Two groups whose roots do not link can only have a
+link between other members if the roots are within `DISTANCE` and both reaches of each other (the
+distance is a metric), so only such groups are compared member by member. No link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ SEGMENTS = 8
 SHINGLE_BITS = 1024
 DISTANCE = 172
 BUSY = 4096
+BATCH_ROWS = 10_000  # of output
 
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -117,59 +120,154 @@ def _meeting(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(node[take])], names=["key", "node"])
 
 
-def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the runs of equal (key, chunk): links (a, b), and each tree's root as (a, null) with its key."""
-
-    def forests(key: np.ndarray, chunk: np.ndarray, node: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-        a, b, at = [], [], []
-        edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1
-        bounds = np.concatenate([[0], edges, [len(key)]])
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            left = np.arange(lo, hi)
-            while len(left):
-                frontier, left = [left[0]], left[1:]
-                a.append(node[frontier[0]]), b.append(None), at.append(key[lo])
-                while frontier and len(left):
-                    x = frontier.pop()
-                    near = np.bitwise_count(bits[left] ^ bits[x]).sum(axis=1, dtype=np.int64) <= DISTANCE
-                    found, left = left[near], left[~near]
-                    frontier += list(found)
-                    a += [node[x]] * len(found)
-                    b += list(node[found])
-                    at += [key[lo]] * len(found)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, at)], names=["a", "b", "key"])
-
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SHINGLE_BITS // 64), np.uint64)]
+Rows = list[np.ndarray]  # columns
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
+    """The columns of each run of equal first three columns, whole; the last column as rows of 64-bit words."""
+    rest: Rows = []
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        now = [batch.column(i).to_numpy() for i in range(3)]
-        now.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1))
-        rest = [np.concatenate([r, n]) for r, n in zip(rest, now)]
-        open_run = (rest[0] == rest[0][-1]) & (rest[1] == rest[1][-1])
-        cut = int(np.argmax(open_run))
-        yield forests(*[c[:cut] for c in rest])
-        rest = [c[cut:] for c in rest]
-    if len(rest[0]):
-        yield forests(*rest)
+        now = [batch.column(i).to_numpy() for i in range(batch.num_columns - 1)]
+        now.append(np.frombuffer(b"".join(batch.column(batch.num_columns - 1).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1))
+        rest = [np.concatenate([r, n]) for r, n in zip(rest, now)] if rest else now
+        edges = np.flatnonzero((np.diff(rest[0]) != 0) | (np.diff(rest[1]) != 0) | (np.diff(rest[2]) != 0)) + 1
+        for lo, hi in zip(np.append(0, edges), edges):
+            yield [c[lo:hi] for c in rest]
+        rest = [c[edges[-1] if len(edges) else 0 :] for c in rest]
+    if rest:
+        yield rest
+
+
+def _apart(bits: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits ^ one).sum(axis=1, dtype=np.int64)
+
+
+def _forest(bits: np.ndarray, seen: Callable[[int, np.ndarray, np.ndarray], None] = lambda x, left, d: None) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, root) of each row in a spanning forest of the links; a root is its own parent.
+
+    `seen` gets each row's distances to all that are not yet reached, so every two rows of different trees once.
+    """
+    parent, root = np.arange(len(bits)), np.arange(len(bits))
+    left = np.arange(len(bits))
+    while len(left):
+        first, left = left[0], left[1:]
+        frontier = [first]
+        while frontier and len(left):
+            x = frontier.pop()
+            d = _apart(bits[left], bits[x])
+            found, left, d = left[d <= DISTANCE], left[d > DISTANCE], d[d > DISTANCE]
+            parent[found], root[found] = x, first
+            frontier += list(found)
+            seen(x, left, d)
+    return parent, root
+
+
+TREES = "key long, chunk long, tree long, a long, b long, reach long"
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the runs of equal (key, chunk): each node b with its tree's root and the node a that it links to.
+
+    A root has no a, but its reach (0 where its key has one chunk only, so that nobody asks).
+    """
+    held: list[Rows] = []
+
+    def batch() -> pa.RecordBatch:
+        key, chunk, tree, a, b, reach = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        own = reach >= 0
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(chunk), pa.array(tree), pa.array(a, mask=own), pa.array(b), pa.array(reach, mask=~own)], names=["key", "chunk", "tree", "a", "b", "reach"])
+
+    size = 0
+    for key, chunks, chunk, node, bits in _runs(batches):
+        parent, root = _forest(bits)
+        reach = np.where(parent == np.arange(len(node)), 0, -1)
+        if chunks[0] > 1:
+            np.maximum.at(reach, root, np.bitwise_count(bits ^ bits[root]).sum(axis=1, dtype=np.int64))
+            reach[parent != np.arange(len(node))] = -1
+        held.append([key, chunk, node[root], node[parent], node, reach])
+        size += len(node)
+        if size >= BATCH_ROWS:
+            yield batch()
+            size = 0
+    if held:
+        yield batch()
+
+
+def _roots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b, linked) of the trees' roots: links as a spanning forest, and those of other trees and
+    chunks that links between other members could join."""
+    for key, _, _, chunk, node, reach, bits in _runs(batches):
+        near: list[tuple[int, np.ndarray]] = []
+
+        def seen(x: int, left: np.ndarray, d: np.ndarray) -> None:
+            near.append((x, left[(d <= DISTANCE + reach[x] + reach[left]) & (chunk[left] != chunk[x])]))
+
+        parent, root = _forest(bits, seen)
+        own = np.flatnonzero(parent != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[parent[own]]), pa.array(node[own]), pa.array(np.ones(len(own), bool))], names=["key", "a", "b", "linked"])
+        for x, others in near:
+            others = others[root[others] != root[x]]
+            if len(others):
+                a, b = np.minimum(node[others], node[x]), np.maximum(node[others], node[x])
+                yield pa.RecordBatch.from_arrays([pa.array(key[others]), pa.array(a), pa.array(b), pa.array(np.zeros(len(others), bool))], names=["key", "a", "b", "linked"])
+
+
+def _between(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One link (a, b) of each pair of trees that has any; a run holds the members of both trees."""
+    for _, _, _, side, node, bits in _runs(batches):
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for x in left:
+            at = np.flatnonzero(_apart(bits[right], bits[x]) <= DISTANCE)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(node[[x]]), pa.array(node[right[at[:1]]])], names=["a", "b"])
+                break
 
 
 def close_pairs(nodes: DataFrame, ws: Workspace, busy: int = BUSY) -> DataFrame:
-    """Links (a, b) between distinct nodes (node, words, shingles) whose shingles are at most DISTANCE apart."""
+    """Links (a, b) between distinct nodes (node, words, shingles) whose shingles are at most DISTANCE apart.
+
+    Nodes under a common value are linked, over others or directly, if and only if all pairs compared would link them.
+    """
     balls = nodes.select("node", "words").mapInArrow(_balls, "key long, node long, entered boolean")
     met = ws.save(balls.repartition("key").sortWithinPartitions("key", F.desc("entered")).mapInArrow(_meeting, "key long, node long"), "met")
-    hot = ws.save(met.groupBy("key").count().where(F.col("count") > busy).select("key", F.ceil(F.col("count") / busy).alias("chunks")), "hot")
+    shingles = nodes.select("node", "shingles")
+
+    def runs(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.repartition(*columns).sortWithinPartitions(*columns)
 
     def walked(rows: DataFrame) -> DataFrame:
-        placed = rows.join(nodes.select("node", "shingles"), "node").select("key", "chunk", "node", "shingles")
-        return placed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node").mapInArrow(_walk, "a long, b long, key long")
-
-    dealt = met.join(hot, "key").select("key", F.pmod(F.xxhash64("node", "key"), "chunks").alias("chunk"), "node")
-    chunks = ws.save(walked(dealt), "chunks")
-    roots = chunks.where("b IS NULL").select("key", F.lit(0).cast("long").alias("chunk"), F.col("a").alias("node"))
-    others = met.join(hot, "key", "left_anti").select("key", F.lit(0).cast("long").alias("chunk"), "node")
-    whole = walked(others.unionAll(roots))
-    return chunks.unionAll(whole).where("b IS NOT NULL").select("a", "b").distinct()
+        dealt = rows.select("key", "chunks", F.pmod(F.xxhash64("node", "key"), "chunks").alias("chunk"), "node").join(shingles, "node")
+        return runs(dealt.select("key", "chunks", "chunk", "node", "shingles"), "key", "chunks", "chunk").mapInArrow(_walk, TREES)
+
+    def busy_keys(rows: DataFrame, name: str) -> DataFrame:
+        return ws.save(rows.groupBy("key").count().where(F.col("count") > busy).select("key", F.ceil(F.col("count") / busy).alias("chunks")), name)
+
+    one = F.lit(1).cast("long").alias("chunks")
+    hot = busy_keys(met, "hot")
+    whole = walked(met.join(hot, "key", "left_anti").select("key", one, "node"))
+    trees = ws.save(walked(met.join(hot, "key")), "trees")
+
+    # The roots of a key meet at once, or in all pairs of its blocks if they are too many.
+    roots = trees.where("a IS NULL").select("key", "chunk", F.col("b").alias("node"), "reach")
+    many = busy_keys(roots, "many")
+    together = roots.join(many, "key", "left_anti").withColumns({"first": F.lit(0).cast("long"), "second": F.lit(0).cast("long")})
+    blocks = roots.join(many, "key").withColumn("block", F.pmod(F.xxhash64("node", "key", F.lit(1)), "chunks"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).where("block <> other")
+    blocks = blocks.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).select(*together.columns)
+    paired = together.unionByName(blocks).join(shingles, "node").select("key", "first", "second", "chunk", "node", "reach", "shingles")
+    met_roots = ws.save(runs(paired, "key", "first", "second").mapInArrow(_roots, "key long, a long, b long, linked boolean"), "roots")
+
+    # Members of the trees whose roots do not link.
+    open_pairs = met_roots.where("NOT linked").select("key", "a", "b").distinct()
+    members = trees.select("key", "tree", F.col("b").alias("node"))
+    sides = open_pairs.select("key", "a", "b", F.posexplode(F.array("a", "b")).alias("side", "tree"))
+    sides = sides.join(members, ["key", "tree"]).join(shingles, "node").select("key", "a", "b", F.col("side").cast("long").alias("side"), "node", "shingles")
+    between = runs(sides, "key", "a", "b").mapInArrow(_between, "a long, b long")
+    linked = whole.unionAll(trees).where("a IS NOT NULL").select("a", "b").unionAll(met_roots.where("linked").select("a", "b")).unionAll(between)
+    return linked.distinct()
 
 
 def groups(docs: DataFrame, ws: Workspace, id_column: str = "doc_id", text_column: str = "text", busy: int = BUSY) -> DataFrame:

@@ -67,6 +67,28 @@ def test_one_large_group_is_walked_in_chunks(docs_of, llm_ws):
     assert {r.component_id for r in found} == {0} and sum(r.kept for r in found) == 1
 
 
+@pytest.mark.parametrize("busy", [4096, 16, 3])
+def test_no_link_of_a_busy_value_is_lost(spark, llm_ws, busy):
+    # All meet under one value only. Chains link neighbours alone, so in chunks mostly others than the roots link.
+    rng, bits, chain = np.random.default_rng(5), [], []
+    for c in range(12):
+        base = rng.integers(0, 2, near_copies.SHINGLE_BITS, dtype=np.uint8)
+        for k in range(10):
+            bits.append(base.copy())
+            chain.append(c)
+            base[100 * k : 100 * k + 100] ^= 1
+    words = rng.integers(0, 1 << 32, (len(bits), near_copies.SEGMENTS), dtype=np.uint32)
+    words[:, 0] = 0
+    rows = [(i, w.tobytes(), np.packbits(b).tobytes()) for i, (w, b) in enumerate(zip(words, bits))]
+    nodes = spark.createDataFrame(rows, "node long, words binary, shingles binary").repartition(3)
+    links = [(r.a, r.b) for r in near_copies.close_pairs(nodes, llm_ws, busy).collect()]
+    assert all((bits[a] != bits[b]).sum() <= near_copies.DISTANCE for a, b in links)
+    group = list(range(len(rows)))
+    for a, b in links:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert len(set(zip(chain, group))) == 12 and len(set(group)) == 12
+
+
 def test_test_table(spark, llm_ws):
     docs = table(spark, SF_DIR, "documents")
     pairs = similar_pairs({r.doc_id: r.text for r in docs.collect()})
