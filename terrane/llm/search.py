@@ -20,7 +20,8 @@ Contributions are multiples of a power of two, small enough that their sums are
 precision: a score does not depend on the order or the place of its summation, and equal texts tie.
 
 Queries go in groups of a bounded number of terms; each group is one pass over the corpus, with
-the group's terms sent to all tasks. Memory of a task: one shard, and GROUP_CELLS numbers.
+the group's terms sent to all tasks. Memory of a task: one shard, a few times GROUP_CELLS numbers, and
+the postings of rare terms, POSTINGS at a time.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ CHUNK = 16  # blocks between two looks at the k-th best scores
 COMMON = 16  # a term is common if more than one document of so many has it
 SEEDS = 8  # one document of so many is searched first
 GROUP_CELLS = 1 << 21  # documents times queries that walk side by side
+POSTINGS = 1 << 19  # postings of rare terms that are summed at once, or those of one query
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -132,10 +134,18 @@ class Shard:
         asked[of[place >= 0], place[place >= 0]] = 1
         # Rare terms: every posting of the query's lists, summed per document.
         rare_of, rare = of[place < 0], at[place < 0]
-        size = self.first[rare + 1] - self.first[rare]
-        posting = np.repeat(self.first[rare] - np.cumsum(size) + size, size) + np.arange(size.sum())
         rows = self.blocks * BLOCK_DOCS
-        sums = np.bincount(self.doc[posting] * np.int64(m) + np.repeat(rare_of, size), self.value[posting], rows * m).reshape(rows, m)
+        sums = np.zeros((rows, m))
+        size = self.first[rare + 1] - self.first[rare]
+        until = np.cumsum(np.bincount(rare_of, size, m)).astype(np.int64)  # postings up to each query's end
+        a = 0
+        while a < m:
+            b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + POSTINGS, "right")))
+            own = slice(*np.searchsorted(rare_of, [a, b]))
+            some, terms_of = size[own], rare_of[own] - a
+            posting = np.repeat(self.first[rare[own]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            sums[:, a:b] = np.bincount(self.doc[posting] * np.int64(b - a) + np.repeat(terms_of, some), self.value[posting], rows * (b - a)).reshape(rows, b - a)
+            a = b
         bound = self.greatest @ asked.T + sums.reshape(self.blocks, BLOCK_DOCS, m).max(axis=1)
         # Sums of exact multiples are exact, so bounds need no margin.
         least = np.array(floors, dtype=float)

@@ -110,3 +110,17 @@ def test_odd_rows(odd_docs, llm_ws):
     assert search.top_k(odd_docs, asked, llm_ws).where("rank = 1").count() >= 4
     assert search.top_k(odd_docs.limit(0), asked, llm_ws.child("a")).count() == 0
     assert search.top_k(odd_docs, asked.limit(0), llm_ws.child("b")).count() == 0
+
+
+def test_postings_of_rare_terms_are_summed_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = [[rng.randrange(3000) for _ in range(120)] for _ in range(600)]
+    shard, _ = shard_of(texts, 3000)
+    queries = [np.unique(t).astype(np.int32) for t in texts[:200]]
+    best = lambda: [(q, list(i), list(v)) for q, i, v in shard.best(queries, np.zeros(200), 5)]
+    whole, longest, plain = best(), [], np.bincount
+    monkeypatch.setattr(search.np, "bincount", lambda x, *a, **k: longest.append(len(x)) or plain(x, *a, **k))
+    # More than one query has at a time, less than all.
+    monkeypatch.setattr(search, "POSTINGS", 20_000)
+    assert best() == whole
+    assert max(longest) <= 200 * 120  # query and term pairs; the postings come in parts
