@@ -141,12 +141,13 @@ def share_intervals(
     keys = ("geo", "family", "feature")
     parts = []
     for part in _branches(src, p, registry, stored_sessions, stored_facts):
-        units = part.where("geo IS NOT NULL AND unit IS NOT NULL").distinct()
-        # Exploded, so that a unit's weights are computed once; the sums are combined before the shuffle.
-        drawn = units.select(*keys, F.posexplode(poisson_weights(F.col("unit"), replicates)).alias("r", "weight"))
-        sums = drawn.groupBy(*keys, "r").agg(F.count("*").cast("double").alias("value"), F.sum("weight").alias("drawn"))
-        by_replicate = F.array_sort(F.collect_list(F.struct("r", "drawn")))
-        parts.append(sums.groupBy(*keys).agg(F.max("value").alias("value"), by_replicate["drawn"].alias("drawn")))
+        # Grouped by unit first, so that its weights are drawn once; the sums are combined before the shuffle.
+        units = part.where("geo IS NOT NULL AND unit IS NOT NULL").groupBy("unit").agg(F.collect_set(F.struct(*keys)).alias("entries"))
+        weighted = units.select("entries", poisson_weights(F.col("unit"), replicates).alias("weights"))
+        drawn = weighted.select("weights", F.explode("entries").alias("entry"))  # a select of its own: weights come before the rows multiply
+        sums = [F.sum(F.get("weights", F.lit(r))).alias(f"r{r}") for r in range(replicates)]
+        found = drawn.select("entry.*", "weights").groupBy(*keys).agg(F.count("*").cast("double").alias("value"), *sums)
+        parts.append(found.select(*keys, "value", F.array(*[f"r{r}" for r in range(replicates)]).alias("drawn")))
     counts = _union(parts).withColumn("base", _base(registry))
     totals = counts.where("family = 'total'").select("geo", F.col("feature").alias("base"), F.col("value").alias("total"), F.col("drawn").alias("drawn_total"))
     joined = counts.where("family <> 'total'").join(totals, ["geo", "base"])

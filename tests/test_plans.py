@@ -9,7 +9,7 @@ from checks import oracles, queries
 from checks.compare import duckdb_rows, rows_of
 from terrane.operators import joins, nmf
 from terrane.params import Params
-from terrane.plans import orders, segments, sessions
+from terrane.plans import features, orders, segments, sessions
 from terrane.session import shared_folder
 from terrane.sources.tables import SOURCE_TABLES, parquet_tables
 from tests.conftest import SF_DIR
@@ -125,3 +125,11 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     folder = shared_folder(spark)
     assert folder == (named or spark.sparkContext.getCheckpointDir())
+
+
+def test_weights_are_drawn_once_a_unit(derived):
+    """In the grouping by unit, and not once for each entry of a unit."""
+    found = features.share_intervals(derived, queries.PARAMS, 3)
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    drawn = [i for i, line in enumerate(lines) if "md5(" in line]
+    assert drawn and all("Aggregate [unit#" in lines[i] for i in drawn)
