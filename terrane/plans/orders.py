@@ -129,7 +129,8 @@ def order_lines(src: Tables, p: Params, labels: Collection[str] = LABELS) -> Dat
     """Order lines with all lookups, before the aggregation.
 
     The small lookups come first: they are broadcast and drop rows, so the two joins that may
-    shuffle (sku and address) move fewer lines.
+    shuffle (sku and address) move fewer lines. The broadcast is asked for: by the size of what a
+    lookup is made of, Catalyst would shuffle all lines by a key of a few values.
     """
     calendar = (
         src("calendar")
@@ -139,9 +140,9 @@ def order_lines(src: Tables, p: Params, labels: Collection[str] = LABELS) -> Dat
     prices = src("price_sub_type").withColumnRenamed("price_sub_type_desc", "price_flag")
     geo = geo_lookup(src).drop("dma_geo_key").withColumnRenamed("address_key", "billto_address_key")
 
-    lines = kept_order_lines(src, p).join(calendar, ["order_date_key"])
-    lines = lines.join(src("order_flow"), ["order_flow_key"])
-    lines = lines.join(prices, ["price_sub_type_key"])
+    lines = kept_order_lines(src, p).join(F.broadcast(calendar), ["order_date_key"])
+    lines = lines.join(F.broadcast(src("order_flow")), ["order_flow_key"])
+    lines = lines.join(F.broadcast(prices), ["price_sub_type_key"])
     lines = lines.join(sku_lookup(src, labels), ["product_key", "sku_key"])
     return join_nullable(lines, geo, "billto_address_key", F.col("order_id"))
 

@@ -72,7 +72,8 @@ def search_rows(src: Tables, p: Params) -> DataFrame:
         .withColumn("nav_breadcrumb", nav_theme("breadcrumb", "navigation_search_term"))
         .withColumn("null_search_flag", null_search_flag("user_search_results_returned_count"))
     )
-    return kept.join(calendar, ["session_search_date_key"]).select(*SESSION_COLUMNS)
+    # A row a day: asked for, as a shuffle by day would send all rows to as many tasks as there are days.
+    return kept.join(F.broadcast(calendar), ["session_search_date_key"]).select(*SESSION_COLUMNS)
 
 
 def search_sessions(src: Tables, p: Params, columns: Sequence[str] = SESSION_COLUMNS) -> DataFrame:

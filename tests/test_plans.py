@@ -1,5 +1,6 @@
 """The plans are the ones meant for large inputs."""
 
+import re
 from datetime import date
 
 import pytest
@@ -133,3 +134,15 @@ def test_weights_are_drawn_once_a_unit(derived):
     lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     drawn = [i for i, line in enumerate(lines) if "md5(" in line]
     assert drawn and all("Aggregate [unit#" in lines[i] for i in drawn)
+
+
+def test_no_shuffle_by_the_few_values_of_a_small_lookup(stored, derived, spark):
+    """Where the estimates are beyond the broadcast threshold, as they are at size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for src in (stored, derived):
+            plan = plan_of(features.feature_long(src, P))
+            for key in ("order_date_key", "order_flow_key", "price_sub_type_key", "session_search_date_key"):
+                assert not re.search(rf"Exchange hashpartitioning\({key}#\d+, \d+\), ENSURE", plan), key
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
