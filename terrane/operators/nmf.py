@@ -111,8 +111,8 @@ def folded_in(cells: DataFrame, h: DataFrame, row: str, column: str, rank: int,
     """
     names = components(rank)
     known = cells.select(row).distinct().join(projected(cells, h, row, column, rank), row, "left")
-    numerators = F.array(*[F.coalesce(f"n{c}", F.lit(0.0)) for c in range(rank)])
-    start = F.array(*[F.lit(0.0)] * rank)
+    numerators = _array([f"coalesce(n{c}, 0D)" for c in range(rank)])
+    start = _array(["0D"] * rank)
     solved = known.select(row, swept(start, numerators, gram_of(h, rank), sweeps).alias("_w"))
     return solved.select(row, *[F.get("_w", F.lit(c)).alias(w) for c, w in enumerate(names)])
 
@@ -131,24 +131,25 @@ def loss(
     return norm - 2.0 * inner + crossed
 
 
-def swept(weights: Column, numerators: Column, gram: Gram, sweeps: int) -> Column:
+def _array(values: Sequence[str]) -> str:
+    return f"array({', '.join(values)})"
+
+
+def swept(weights: str, numerators: str, gram: Gram, sweeps: int) -> Column:
     """A row's weights after `sweeps` passes of coordinate updates against a fixed other factor.
 
-    Each update is the exact minimum in its coordinate, held at zero. The inner products are one
-    array value of the plan, not part of its text, so every round runs the same compiled code.
+    Each update is the exact minimum in its coordinate, held at zero. `weights` and `numerators` are
+    SQL arrays. The inner products are one constant array of the plan, so every round runs the same
+    compiled code, and the whole is one text, as building it call by call took longer than running it.
     """
     rank = len(gram)
-    flat = F.lit([x for row in gram for x in row])
-    components_of = F.sequence(F.lit(0), F.lit(rank - 1))
-
-    def updated(w: Column, c: Column) -> Column:
-        own = F.get(flat, c * (rank + 1))
-        inner = F.aggregate(components_of, F.lit(0.0), lambda total, d: total + F.get(flat, c * rank + d) * F.get(w, d))
-        moved = F.get(w, c) + (F.get(numerators, c) - inner) / own
-        value = F.when(own > EPSILON, F.greatest(moved, F.lit(0.0))).otherwise(F.lit(0.0))
-        return F.transform(w, lambda x, d: F.when(d == c, value).otherwise(x))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rank * sweeps - 1)), weights, lambda w, step: updated(w, step % rank))
+    flat = _array([f"CAST('{x!r}' AS DOUBLE)" for row in gram for x in row])
+    c = f"step % {rank}"
+    own = f"get({flat}, ({c}) * {rank + 1})"
+    inner = f"aggregate(sequence(0, {rank - 1}), 0D, (total, e) -> total + get({flat}, ({c}) * {rank} + e) * get(w, e))"
+    moved = f"get(w, {c}) + (get({numerators}, {c}) - {inner}) / {own}"
+    value = f"if({own} > CAST('{EPSILON!r}' AS DOUBLE), greatest({moved}, 0D), 0D)"
+    return F.expr(f"aggregate(sequence(0, {rank * sweeps - 1}), {weights}, (w, step) -> transform(w, (x, d) -> if(d = {c}, {value}, x)))")
 
 
 def swept_factor(
@@ -157,7 +158,7 @@ def swept_factor(
     """Coordinate updates of `factor` with `other` held fixed; the numerators stay beside the weights."""
     weights, numerators = components(rank), [f"n{c}" for c in range(rank)]
     current = _with_numerators(cells, factor, other, key, other_key, rank)
-    packed = current.select(key, *numerators, swept(F.array(*weights), F.array(*numerators), other_gram, sweeps).alias("_w"))
+    packed = current.select(key, *numerators, swept(_array(weights), _array(numerators), other_gram, sweeps).alias("_w"))
     return packed.select(key, *numerators, *[F.get("_w", F.lit(c)).alias(w) for c, w in enumerate(weights)])
 
 

@@ -230,3 +230,26 @@ def test_adjusted_rand(spark):
     )
     found = {r["run"]: r["adjusted_rand"] for r in clusters.adjusted_rand(runs, base).collect()}
     assert math.isclose(found[1], 1.0) and math.isclose(found[2], 4 / 7) and math.isclose(found[3], -0.5)
+
+
+def test_sweeps_are_one_cheap_expression(spark):
+    """Built in few calls whatever the number of sweeps, and the same numbers as by hand."""
+    gram = [[2.0, 0.5], [0.5, 1e-20]]
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0), (0.0, 5.0, -1.0, 2.0)], "a double, b double, n double, m double")
+    calls = []
+    whole = spark.sparkContext._gateway._gateway_client.send_command
+    spark.sparkContext._gateway._gateway_client.send_command = lambda *a, **k: calls.append(a) or whole(*a, **k)
+    try:
+        made = nmf.swept("array(a, b)", "array(n, m)", gram, 3)
+    finally:
+        spark.sparkContext._gateway._gateway_client.send_command = whole
+    assert len(calls) < 20
+    want = []
+    for r in rows.collect():
+        w, n = [r.a, r.b], [r.n, r.m]
+        for _ in range(3):
+            for c in range(2):
+                own = gram[c][c]
+                w[c] = max(w[c] + (n[c] - sum(gram[c][d] * w[d] for d in range(2))) / own, 0.0) if own > nmf.EPSILON else 0.0
+        want.append(w)
+    assert [list(r.w) for r in rows.select(made.alias("w")).collect()] == want
