@@ -124,3 +124,40 @@ def test_postings_of_rare_terms_are_summed_in_parts(monkeypatch):
     monkeypatch.setattr(search, "POSTINGS", 20_000)
     assert best() == whole
     assert max(longest) <= 200 * 120  # query and term pairs; the postings come in parts
+
+
+def test_texts_are_read_once(docs_of, llm_ws):
+    """However many groups the queries go in, each text is read once."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(30))) for i in range(60)]
+    docs = docs_of(rows)
+    read = docs.sparkSession.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    queries = docs.where("doc_id % 6 = 0").selectExpr("doc_id AS query_id", "text")
+    found = search.top_k(docs.mapInArrow(counted, docs.schema), queries, llm_ws, k=3, block_terms=60).collect()
+    assert len(search._groups(queries.selectExpr("query_id", "split(text, ' ') AS terms"), 60)) > 3
+    assert read.value == len(rows)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in found)
+    assert got == [w[:3] for w in brute(rows, [r for r in rows if r[0] % 6 == 0], 3)]
+
+
+def test_more_words_than_one_table_holds(docs_of, llm_ws, monkeypatch):
+    """Groups with many distinct words get tables of their own, with the same result."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{rng.randrange(100 * (i % 4) + 100)}" for _ in range(25))) for i in range(40)]
+    docs = docs_of(rows)
+    queries = docs.where("doc_id % 5 = 0").selectExpr("doc_id AS query_id", "text")
+    tables = []
+    plain = search._numbered
+    monkeypatch.setattr(search, "_numbered", lambda *a: tables.append(1) or plain(*a))
+    monkeypatch.setattr(search, "VOCABULARY", 60)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 100)
+    monkeypatch.setattr(search, "PART_DOCS", 7)
+    got = sorted((r.query_id, r["rank"], r.doc_id) for r in search.top_k(docs, queries, llm_ws, k=4, block_terms=50).collect())
+    assert got == [w[:3] for w in brute(rows, [r for r in rows if r[0] % 5 == 0], 4)]
+    assert 1 < len(tables) <= 8
