@@ -41,11 +41,12 @@ from terrane.llm.text import WORD, slices, text_bytes, word_bounds
 from terrane.session import Workspace
 
 K1, B = 1.2, 0.75
-BLOCK_TERMS = 8_000_000  # terms of a group of queries, all queries counted
+BLOCK_TERMS = 6_000_000  # terms of a group of queries, all queries counted
 VOCABULARY = 4_000_000  # distinct words of the groups that share a table
 SHARD_BYTES = 12 << 20  # of text, read at once
-SHARD_POSTINGS = 1_500_000  # read at once
-PART_DOCS = 4096
+SHARD_POSTINGS = 700_000  # read at once
+TASK_POSTINGS = 2_000_000
+PART_DOCS = 2048
 BLOCK_DOCS = 16
 CHUNK = 16  # blocks between two looks at the k-th best scores
 TELLING = 256  # terms by which documents are compared
@@ -292,7 +293,7 @@ def _rows_of(numbers: np.ndarray, first: np.ndarray) -> pa.Array:
 def _numbers_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all numbers end to end, how many each row has) of `_rows_of`."""
     data, first = text_bytes(column)
-    return np.frombuffer(data.tobytes(), dtype=np.int32), np.diff(first) // 4
+    return data.view(np.int32), np.diff(first) // 4
 
 
 def _numbered(docs: DataFrame, vocabulary, basis) -> DataFrame:
@@ -303,11 +304,11 @@ def _numbered(docs: DataFrame, vocabulary, basis) -> DataFrame:
 
         def rows(held: list[tuple[pa.RecordBatch, pa.Array, np.ndarray]]) -> pa.RecordBatch:
             # The lookup sorts in all words of the vocabulary at each call, so a call has many words.
-            term = pc.index_in(pa.concat_arrays([words for _, words, _ in held]), value_set=vocabulary.value)
-            known = np.flatnonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))
+            term = pc.index_in(pa.chunked_array([words for _, words, _ in held]), value_set=vocabulary.value)
+            known = np.flatnonzero(pc.is_valid(term).to_numpy())
             size = np.concatenate([size for _, _, size in held])
             width = max(len(vocabulary.value), 1)
-            keys = np.repeat(np.arange(len(size)), size)[known] * width + pc.drop_null(term).to_numpy(zero_copy_only=False)
+            keys = np.repeat(np.arange(len(size)), size)[known] * width + pc.drop_null(term).to_numpy()
             keys, counts = np.unique(keys, return_counts=True)
             first = np.searchsorted(keys, np.arange(len(size) + 1) * width)
             doc, term = np.divmod(keys, width)
@@ -363,27 +364,21 @@ def _shards(batches: Iterable[pa.RecordBatch], idf: np.ndarray, mean_length: flo
             yield Shard(np.repeat(np.arange(len(own)), some), term[at], length[own], ids[own], idf, mean_length, unit, tf[at])
 
     held, n = [], 0
-    for batch in batches:
+    for batch in slices(batches, "terms"):
         ids, length = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         (term, size), (tf, _) = _numbers_of(batch.column(2)), _numbers_of(batch.column(3))
-        ends = np.cumsum(size)
-        a = 0
-        while a < len(ids):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SHARD_POSTINGS - n, "right")))
-            own = slice(ends[a - 1] if a else 0, ends[b - 1])
-            held.append((ids[a:b], length[a:b], size[a:b], term[own], tf[own]))
-            n += own.stop - own.start
-            a = b
-            if n >= SHARD_POSTINGS or a < len(ids):
-                yield from dealt(held)
-                held, n = [], 0
+        held.append((ids, length, size, term, tf))
+        n += len(term)
+        if n >= SHARD_POSTINGS:
+            yield from dealt(held)
+            held, n = [], 0
     if held:
         yield from dealt(held)
 
 
 def _alike(numbered: DataFrame, postings: float) -> DataFrame:
-    """Rows of `_numbered` in tasks of about SHARD_POSTINGS of so many postings, alike ones together."""
-    return numbered.repartitionByRange(max(1, math.ceil(postings / SHARD_POSTINGS)), "side", "size", "doc_id")
+    """Rows of `_numbered` in tasks of about TASK_POSTINGS of so many postings, alike ones together."""
+    return numbered.repartitionByRange(max(1, math.ceil(postings / TASK_POSTINGS)), "side", "size", "doc_id")
 
 
 def _vocabulary(asked: DataFrame) -> pa.Array:
